@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, sharding
+from weftline.llm import exact_dedup, packing, sharding, transducer
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_bpe_round_trip": transducer.op6_bpe_round_trip,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
