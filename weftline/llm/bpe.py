@@ -126,11 +126,29 @@ class Vocabulary:
 
     @functools.cached_property
     def _by_bytes(self) -> dict[bytes, int]:
-        return {self.tokens[i]: i for i in sorted(self.tokens, reverse=True) if i not in self.special.values()}
+        """Ids by bytes, of the tokens that their own bytes encode to; no other token is ever used."""
+        return {token: i for i, token in self.tokens.items() if i not in self.special.values() and self.merge(token) == [i]}
 
     @functools.cached_property
-    def _tails(self) -> set[bytes]:
-        return {token[k:] for token in self._by_bytes for k in range(len(token))}
+    def _heads(self) -> set[bytes]:
+        return {token[:k] for token in self._by_bytes for k in range(len(token) + 1)}
+
+    @functools.cached_property
+    def _states(self) -> tuple[dict[int, int], list[bytes], list[tuple[tuple[int, int], ...]], dict[bytes, int]]:
+        """An automaton grown as texts need it: steps, and by state its bytes and the tokens that end there."""
+        return {}, [b""], [()], {b"": 0}
+
+    def _step(self, state: int, byte: int) -> int:
+        steps, names, ending, numbers = self._states
+        name = names[state] + bytes([byte])
+        while name not in self._heads:
+            name = name[1:]
+        if (found := numbers.get(name)) is None:
+            found = numbers[name] = len(names)
+            names.append(name)
+            ending.append(tuple((len(name) - k, token) for k in range(len(name)) if (token := self._by_bytes.get(name[k:])) is not None))
+        steps[state << 8 | byte] = found
+        return found
 
     @functools.cached_property
     def _stands(self) -> dict[int, bool]:
@@ -138,11 +156,9 @@ class Vocabulary:
 
     def _pair_stands(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are when their bytes are encoded together."""
-        key = left << 20 | right
-        if (found := self._stands.get(key)) is None:
-            if len(self._stands) > 1_000_000:
-                self._stands.clear()
-            found = self._stands[key] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        if len(self._stands) > 400_000:
+            self._stands.clear()
+        found = self._stands[left << 20 | right] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
 
     def prefix_counts(self, data: bytes) -> list[int]:
@@ -151,40 +167,27 @@ class Vocabulary:
         A prefix's encoding is the encoding of a shorter prefix and one more token, and that token is the one
         that stands beside the last token of the shorter prefix. Last tokens therefore suffice as states.
         """
-        by_bytes, tails, stands, slow = self._by_bytes, self._tails, self._stands, self._pair_stands
+        steps, _, ending, _ = self._states
+        stands = self._stands
         last: list[int] = []
         counts: list[int] = []
-        for end in range(1, len(data) + 1):
-            start, found = end - 1, []
-            while start >= 0 and (tail := data[start:end]) in tails:
-                if (token := by_bytes.get(tail)) is not None:
-                    found.append((start, token))
-                start -= 1
-            for start, token in reversed(found):
-                if not start:
-                    if len(found) == 1 or self._whole(token):
-                        last.append(token)
-                        counts.append(1)
-                        break
-                    continue
-                left = last[start - 1]
-                ok = stands.get(left << 20 | token)
-                if slow(left, token) if ok is None else ok:
+        state = 0
+        for end, byte in enumerate(data, 1):
+            key = state << 8 | byte
+            state = steps[key] if key in steps else self._step(state, byte)
+            for length, token in ending[state]:
+                if length == end:
+                    last.append(token)
+                    counts.append(1)
+                    break
+                left = last[end - length - 1]
+                key = left << 20 | token
+                if stands[key] if key in stands else self._pair_stands(left, token):
                     last.append(token)
-                    counts.append(counts[start - 1] + 1)
+                    counts.append(counts[end - length - 1] + 1)
                     break
         return counts
 
-    @functools.cached_property
-    def _wholes(self) -> dict[int, bool]:
-        return {}
-
-    def _whole(self, token: int) -> bool:
-        """Whether a token's bytes encode to it alone."""
-        if (found := self._wholes.get(token)) is None:
-            found = self._wholes[token] = self.merge(self.tokens[token]) == [token]
-        return found
-
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, packing, sharding, transducer
+from weftline.llm import exact_dedup, packing, sharding, token_counts, transducer
 
 QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe_round_trip": transducer.op6_bpe_round_trip,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
