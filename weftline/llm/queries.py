@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftline.llm import exact_dedup, minhash_dedup, packing, sharding, token_counts, transducer
+from weftline.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, sharding, token_counts, transducer
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash_dedup.op2_minhash_near_dedup,
+    "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe_round_trip": transducer.op6_bpe_round_trip,
