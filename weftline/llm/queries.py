@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, sharding, token_counts, transducer
+from weftline.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, quality, sharding, token_counts, toxicity, transducer
 
 QUERIES = {
     "op2_minhash_near_dedup": minhash_dedup.op2_minhash_near_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_bpe_round_trip": transducer.op6_bpe_round_trip,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_packing": packing.op10_packing,
 }
