@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,12 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set, and the
     driver runs the tasks itself, a temporary folder takes its place.
     """
-    spark = df.sparkSession
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder, set as ``cut`` describes."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +32,32 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+#: Keys that are broadcast at most; beyond, rows and keys meet by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def fresh(name: str, rows: DataFrame) -> str:
+    """A column name like ``name`` that ``rows`` does not have in any letter case."""
+    taken = {column.lower() for column in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(rows: DataFrame, gone: DataFrame, key: list[Column], kind: str = "left_anti") -> DataFrame:
+    """Rows whose ``key`` (expressions over ``rows``) is no row of ``gone``; as ``left_semi``, only those that are.
+
+    Nulls match nulls. Keys are materialised, and broadcast only when few.
+    """
+    names = [fresh(f"key_{k}", rows) for k in range(len(key))]
+    keys = cut(gone.distinct().toDF(*names))
+    same = key[0].eqNullSafe(keys[names[0]])
+    for column, name in zip(key[1:], names[1:]):
+        same &= column.eqNullSafe(keys[name])
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, same, kind)
 
 
 def _larger_to_smaller(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import fresh, table
 from weftline.llm.labels import held_out, labelled_sample
 from weftline.llm.shingles import word_hashes
 
@@ -119,13 +119,19 @@ def fit(texts: list[str], labels: list[int]) -> Model | float:
 
 
 def score_quality(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
-    """Rows of ``docs`` with score and predicted: id and these, or with ``keep_columns`` all columns before them.
+    """Rows of ``docs`` with score and predicted: the id and these, or with ``keep_columns`` all columns of ``docs``
+    and, last, the two under names that are free there.
 
     Whole texts are scored; null texts count as empty. Texts without a known term (empty ones above all)
     score 0. The model is broadcast and bounded by its parameters; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    text = F.col(text_col).cast("string").alias(fresh("text", docs))
+    rows = docs.select("*", text) if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    added = (fresh("score", docs), fresh("predicted", docs)) if keep_columns else ("score", "predicted")
+    names = [*rows.columns[:-1], *added]
+
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
@@ -138,13 +144,11 @@ def score_quality(docs: DataFrame, model: Model | float, id_col: str = "doc_id",
                     size += len(some[-1])
                 scores = fitted.scores(some) if isinstance(fitted, Model) else np.full(len(some), fitted)
                 part = batch.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*part.schema.names[:-1], "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=names)
                 at += len(some)
 
-    text = F.col(text_col).cast("string").alias("__text")
-    rows = docs.select("*", text) if keep_columns else docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(of_partition, f"{before}, score double, predicted int")
+    return rows.mapInArrow(of_partition, f"{before}, `{added[0]}` double, `{added[1]}` int")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model | float:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, quality, sharding, token_counts, toxicity, transducer
+from weftline.llm import embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, quality, sharding, token_counts, toxicity, transducer
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_minhash_near_dedup": minhash_dedup.op2_minhash_near_dedup,
     "op3_embedding_near_dedup": embedding_dedup.op3_embedding_near_dedup,
     "op4_sharding": sharding.op4_sharding,
