@@ -27,6 +27,8 @@ WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 GRAM_BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
+#: Distinct words whose n-grams are laid out at a time; a batch of windows has fewer.
+WORDS_AT_ONCE = 20_000
 
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -47,6 +49,13 @@ class Words:
     positions: np.ndarray  # of all words of all texts
     texts: np.ndarray  # where each text begins in positions; one more at the end
 
+    def some(self, which: np.ndarray) -> Words:
+        """Chosen distinct words, apart from any text."""
+        lengths = (self.bounds[1:] - self.bounds[:-1])[which]
+        ends = np.cumsum(lengths)
+        data = self.data[np.repeat(self.bounds[:-1][which] - (ends - lengths), lengths) + np.arange(lengths.sum())]
+        return Words(self.hashes[which], data, np.concatenate(([0], ends)), np.zeros(0, np.int64), np.zeros(1, np.int64))
+
 
 def read_words(texts: list[bytes]) -> Words:
     """Runs of letters, digits and bytes above 127, with A-Z lower-cased."""
@@ -125,21 +134,25 @@ class Network:
         }
 
     def inputs(self, words: Words, drop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Vectors of the distinct words (a last one, of zeros, for blanks), their rows, and their n-grams."""
+        """Vectors of the distinct words (a last one, of zeros, for blanks), their rows, and the n-grams of the last words."""
         at = np.searchsorted(self.vocabulary, words.hashes)
         known = (at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == words.hashes) if len(self.vocabulary) else np.zeros(len(words.hashes), bool)
         if drop is not None:
             known &= ~drop
         rows = np.where(known, at + 1, 0)
-        bucket, own = grams(words)
-        counts = np.bincount(own, minlength=len(words.hashes))
         x = np.zeros((len(words.hashes) + 1, WORD_DIM + CHAR_DIM), np.float32)
         x[:-1, :WORD_DIM] = self.p["words"][rows]
-        if len(bucket):
-            full = np.flatnonzero(counts)
-            begins = np.cumsum(counts[full]) - counts[full]
-            x[full, WORD_DIM:] = np.add.reduceat(self.p["grams"][bucket], begins, axis=0) / counts[full][:, None]
-        return x, rows, (bucket, own, counts)
+        found = None
+        for at in range(0, len(words.hashes), WORDS_AT_ONCE):
+            some = words.some(np.arange(at, min(len(words.hashes), at + WORDS_AT_ONCE))) if len(words.hashes) > WORDS_AT_ONCE else words
+            bucket, own = grams(some)
+            counts = np.bincount(own, minlength=len(some.hashes))
+            if len(bucket):
+                full = np.flatnonzero(counts)
+                begins = np.cumsum(counts[full]) - counts[full]
+                x[at + full, WORD_DIM:] = np.add.reduceat(self.p["grams"][bucket], begins, axis=0) / counts[full][:, None]
+            found = (bucket, own, counts)
+        return x, rows, found
 
     def forward(self, projected: np.ndarray, at: np.ndarray, blank: int, keep: bool = False):
         """Logits of windows ``at`` (WINDOW by windows) over ``projected`` inputs of distinct words."""
@@ -244,11 +257,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, batch: int = 128,
     raw = [t.encode("utf-8", "replace") for t in texts]
     words = read_words(raw)
     owner = np.repeat(np.arange(len(raw)), np.diff(words.texts))
-    spread = np.bincount(np.unique(np.stack((words.positions, owner)), axis=1)[0], minlength=len(words.hashes))
+    spread = np.bincount(np.unique(owner * len(words.hashes) + words.positions) % max(1, len(words.hashes)), minlength=len(words.hashes))
     net = Network(words.hashes[spread >= 4], seed)  # sorted, as np.unique leaves them
     at, text = windows(words, blank := len(words.hashes))
-    bucket, own = grams(words)
-    gram_bounds = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(words.hashes)))))
     adam, squares = _Adam(0.01), {"words": np.full(len(net.p["words"]), 1e-8, np.float32), "grams": np.full(GRAM_BUCKETS, 1e-8, np.float32)}
     balance = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))).astype(np.float32)
     for turn in range(rounds):
@@ -263,8 +274,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, batch: int = 128,
         for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
             used, where = np.unique(at[:, part], return_inverse=True)
             real = used[used != blank]
-            some = Words(words.hashes[real], _take(words.data, words.bounds, real), np.concatenate(([0], np.cumsum(np.diff(words.bounds)[real]))), np.zeros(0, np.int64), np.zeros(1, np.int64))
-            x, rows, (b, o, counts) = net.inputs(some, drop=rng.random(len(real)) < 0.3)
+            x, rows, (b, o, counts) = net.inputs(words.some(real), drop=rng.random(len(real)) < 0.3)
             g, d_x = net.gradients(x, where.reshape(at[:, part].shape), len(real), y[text[part]], balance[text[part]])
             adam.rate = 0.01 * (1 - turn / rounds) + 0.001
             adam.update(net.p, g)
@@ -273,12 +283,6 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, batch: int = 128,
     return net
 
 
-def _take(data: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> np.ndarray:
-    lengths = (bounds[1:] - bounds[:-1])[which]
-    total = lengths.sum()
-    return data[np.repeat(bounds[:-1][which] - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)]
-
-
 def _sparse(values: np.ndarray, squares: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float = 0.05) -> None:
     """Adagrad on the rows that a batch touched."""
     if not len(rows):
