@@ -1,0 +1,194 @@
+"""Labelled texts: splits, weights, reports, cross-validation, classifiers."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def order_key(key: Column, seed: int) -> Column:
+    """A fixed order of rows that depends on key and seed alone, the same in any engine that has MD5."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+
+
+def stratified_split(rows: DataFrame, key: str, label: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
+    """``split``: of each label the first share by a seeded order is test, the next val, the rest train.
+
+    Shares are rounded half up within a label, so all splits are disjoint and keep the labels' proportions.
+    """
+    order = Window.partitionBy(label).orderBy(order_key(F.col(key), seed), key)
+    n = F.count("*").over(Window.partitionBy(label))
+    place = F.row_number().over(order)
+    first, second = F.floor(n * test + 0.5), F.floor(n * test + 0.5) + F.floor(n * val + 0.5)
+    return rows.withColumn("split", F.when(place <= first, "test").when(place <= second, "val").otherwise("train"))
+
+
+def folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """``fold`` from 0 to k - 1, dealt within each label by a seeded order."""
+    order = Window.partitionBy(label).orderBy(order_key(F.col(key), seed), key)
+    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+
+
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """``(label, n, weight)``: rows over (labels times rows of the label)."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(F.lit(1))  # one row a label
+    return counts.withColumn("weight", F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n")))
+
+
+def confusion(predicted: DataFrame, labels: list[str]) -> DataFrame:
+    """``(y_true, y_pred, n)`` over the complete grid of labels; other labels are left out."""
+    spark = predicted.sparkSession
+    grid = spark.createDataFrame([(a, b) for a in labels for b in labels], "y_true string, y_pred string")
+    counts = predicted.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
+    return grid.join(counts, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def per_class(matrix: DataFrame) -> DataFrame:
+    """``(label, precision, recall, f1, support)``; 0 where nothing was predicted or nothing was there."""
+    hit = F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
+    said = matrix.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("said"), hit.alias("hit"))
+    there = matrix.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"))
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    p, r = safe(F.col("hit"), F.col("said")), safe(F.col("hit"), F.col("support"))
+    return said.join(there, "label").select("label", p.alias("precision"), r.alias("recall"), safe(2 * F.col("hit"), F.col("said") + F.col("support")).alias("f1"), "support")
+
+
+def summary(predicted: DataFrame, labels: list[str]) -> DataFrame:
+    """``(accuracy, macro_f1)`` as one row."""
+    right = predicted.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
+    macro = per_class(confusion(predicted, labels)).agg(F.avg("f1").alias("macro_f1"))
+    return right.crossJoin(macro)
+
+
+def report(predicted: DataFrame, labels: list[str]) -> dict:
+    """The whole evaluation as a small dictionary, at four digits."""
+    matrix = confusion(predicted, labels).cache()
+    cells = {(r["y_true"], r["y_pred"]): r["n"] for r in matrix.collect()}  # labels squared
+    classes = {r["label"]: {"precision": round(r["precision"], 4), "recall": round(r["recall"], 4), "f1-score": round(r["f1"], 4), "support": float(r["support"])} for r in per_class(matrix).collect()}
+    whole = summary(predicted, labels).first()
+    return {"accuracy": round(whole["accuracy"], 4), "macro_f1": round(whole["macro_f1"], 4), "per_class": {c: classes[c] for c in labels}, "confusion_matrix": {"labels": labels, "matrix": [[cells[a, b] for b in labels] for a in labels]}}
+
+
+def fold_summary(scores: DataFrame, by: list[str] = ["model"]) -> DataFrame:  # noqa: B006
+    """Mean and sample deviation of a score over folds."""
+    return scores.groupBy(*by).agg(F.count("*").alias("folds"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
+
+
+def paired(scores: DataFrame, first: str, second: str) -> DataFrame:
+    """How ``first`` beats ``second`` on the same folds: mean and deviation of the differences, and folds won."""
+    a, b = (scores.filter(F.col("model") == m).select("fold", F.col("score").alias(c)) for m, c in ((first, "a"), (second, "b")))
+    d = F.col("a") - F.col("b")
+    return a.join(b, "fold").agg(F.avg(d).alias("mean"), F.stddev_samp(d).alias("std"), F.count_if(d > 0).alias("folds_won"))
+
+
+def shares(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and percentages of groups."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", 100 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+def argmax(probabilities: Column) -> Column:
+    """The key of the greatest value of a map; ties by the greatest key."""
+    return F.array_max(F.transform(F.map_entries(probabilities), lambda e: F.struct(e["value"], e["key"])))["key"]
+
+
+# -- classifiers
+
+
+def _weighted(train: DataFrame, label: str) -> DataFrame:
+    weights = class_weights(train, label).select(label, F.col("weight").alias("class_weight"))
+    return train.join(F.broadcast(weights), label)  # one row a label
+
+
+def _logistic(c: float, total: float) -> LogisticRegression:
+    """Logistic regression whose loss is a weighted sum with factor c, as a mean with the matching penalty."""
+    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="class_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial")
+
+
+def tfidf_logistic(train: DataFrame, label: str, text: str = "text", c: float = 8.0, min_words: float = 2, min_chars: float = 3, features: int = 1 << 16) -> PipelineModel:
+    """Words and word pairs, and character trigrams to fives within words, by damped counts times rarity, each at length 1."""
+    weighted = _weighted(train, label).cache()
+    total = weighted.agg(F.sum("class_weight")).first()[0]
+    words = [RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="__w", outputCol="__w1"), NGram(n=2, inputCol="__w1", outputCol="__w2"), SQLTransformer(statement="SELECT *, concat(__w1, __w2) AS __words FROM __THIS__")]
+    grams = ", ".join(f"flatten(transform(split(lower({text}), '\\\\s+'), x -> transform(sequence(1, greatest(1, length(x) + 2 - {n - 1})), i -> substr(concat(' ', x, ' '), i, {n}))))" for n in (3, 4, 5))
+    chars = [SQLTransformer(statement=f"SELECT *, concat({grams}) AS __chars FROM __THIS__")]
+
+    def block(source: str, least: float) -> list:
+        counted, damped, scaled, out = (f"{source}_{k}" for k in ("tf", "log", "idf", "unit"))
+        return [CountVectorizer(inputCol=source, outputCol=counted, minDF=least, vocabSize=features), _Damped(inputCol=counted, outputCol=damped), IDF(inputCol=damped, outputCol=scaled), Normalizer(inputCol=scaled, outputCol=out)]
+
+    stages = [*words, *block("__words", min_words), *chars, *block("__chars", min_chars), VectorAssembler(inputCols=["__words_unit", "__chars_unit"], outputCol="features"), StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), _logistic(c, total)]
+    return Pipeline(stages=stages).fit(weighted)
+
+
+def _damped_transformer():
+    from pyspark import keyword_only
+    from pyspark.ml import Transformer
+    from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+    from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+
+    class Damped(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+        """Counts n as 1 + ln n. A vector is taken apart and put together by column functions."""
+
+        @keyword_only
+        def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:  # noqa: N803
+            super().__init__()
+            self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol)) if v})
+
+        def _transform(self, dataset: DataFrame) -> DataFrame:
+            from pyspark.ml.functions import array_to_vector as to_vector
+
+            values = F.transform(vector_to_array(self.getInputCol()), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+            return dataset.withColumn(self.getOutputCol(), to_vector(values))
+
+    return Damped
+
+
+_Damped = _damped_transformer()
+
+
+def embedding_logistic(train: DataFrame, label: str, vector: str = "embedding", c: float = 4.0) -> PipelineModel:
+    weighted = _weighted(train, label).withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).cache()
+    total = weighted.agg(F.sum("class_weight")).first()[0]
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep"), _logistic(c, total)]).fit(weighted)
+
+
+def predict(model: PipelineModel, rows: DataFrame, vector: str | None = None) -> DataFrame:
+    """Rows with ``y_pred`` and ``probabilities`` by label."""
+    names = next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels
+    if vector:
+        rows = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
+    scored = model.transform(rows)
+    p = vector_to_array("probability")
+    pairs = F.map_from_arrays(F.array(*map(F.lit, names)), F.slice(p, 1, len(names)))
+    return scored.select(*[c for c in rows.columns if c != "features"], F.element_at(F.array(*map(F.lit, [*names, "?"])), F.col("prediction").cast("int") + 1).alias("y_pred"), pairs.alias("probabilities"))
+
+
+def cross_validate(rows: DataFrame, key: str, label: str, fits: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]], k: int = 5, seed: int = 42) -> DataFrame:
+    """``(model, fold, score)``: macro-F1 of each model on each fold, all models on the same folds.
+
+    A fit takes a training table and gives a function that adds ``y_pred``. Folds are few, so they loop here.
+    """
+    spark = rows.sparkSession
+    dealt = folds(rows, key, label, k, seed).cache()
+    labels = [r[0] for r in dealt.select(label).distinct().orderBy(label).collect()]
+    scores = []
+    for fold in range(k):
+        for name, fit in fits.items():
+            done = fit(dealt.filter(F.col("fold") != fold))(dealt.filter(F.col("fold") == fold))
+            scores.append((name, fold, summary(done.select(F.col(label).cast("string").alias("y_true"), F.col("y_pred").cast("string").alias("y_pred")), [str(x) for x in labels]).first()["macro_f1"]))
+    return spark.createDataFrame(scores, "model string, fold int, score double")
+
+
+def timed(fit: Callable[[], object]) -> tuple[object, float]:
+    """A result and the seconds it took."""
+    began = time.perf_counter()
+    return fit(), round(time.perf_counter() - began, 1)
