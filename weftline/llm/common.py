@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,15 +78,41 @@ def _smaller_to_smallest(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Edges that one task settles at most (16 bytes each); more are settled by rounds of joins.
+EDGES_AT_ONCE = 1_000_000
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, component_id)`` of all edges of one task: least labels, passed along edges and halved on the way."""
+    tables = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches if batch.num_rows]
+    if not tables:
+        return
+    ids, ends = np.unique(np.concatenate(tables, axis=1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    parent = np.arange(len(ids))
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[parent])], names=["id", "component_id"])
+
+
+def components(edges: DataFrame, rounds: int = 40, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): rows ``(id, component_id)`` for every vertex with an edge.
 
-    ``component_id`` is the smallest vertex reachable. Alternating large-star and small-star rounds work on
-    edges alone, so nothing but a count and a checksum comes to the driver; minima are combined before the
-    shuffle and a hub's edges meet only in joins that adaptive execution can split. Loops and repeated edges
-    are harmless; an empty table gives an empty table.
+    ``component_id`` is the smallest vertex reachable. Up to a checked number of edges one task settles them
+    all. More are settled by alternating large-star and small-star rounds on edges alone, so that nothing but a
+    count and a checksum comes to the driver; minima are combined before the shuffle, and a hub's edges meet
+    only in joins that adaptive execution can split. Loops and repeated edges are harmless; an empty table
+    gives an empty table.
     """
     at = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if at.count() <= at_once:
+        return at.coalesce(1).mapInArrow(_settled, "id long, component_id long")
     seen = None
     for _ in range(rounds):
         at = cut(_smaller_to_smallest(_larger_to_smaller(at)))

@@ -10,9 +10,12 @@ No group is expanded into all its pairs, and no link between components is lost:
 
 1. Documents with equal sets are one class, merged before any tree.
 2. Each leaf proposes a star around one of its members; the best proposal of each document is confirmed on
-   full sets, and confirmed links give first components.
-3. A leaf that lies inside one component has nothing to add. In all others, pairs between different
-   components, and only those, are compared by sketch and then on full sets.
+   full sets, and confirmed links give components. Leaves that lie inside one component have nothing to add;
+   the others propose again, around other members, to the members that are in other components.
+3. Leaves that then still hold several components compare all pairs between different components, and only
+   those: by sketch first, which leaves the members that may have a link, then on full sets. A leaf meets in
+   one place, in tiles of bounded size, so each member's text moves once a tile however many pairs it is in,
+   and only links leave.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ _FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np
 #: Pairs whose estimate is further below the threshold are dropped before full sets are compared. An
 #: estimate from 128 values has a standard deviation of 0.04 at most near 0.75, so this is over four of them.
 MARGIN = 0.17
+#: Ids of candidates that are broadcast at most (16 bytes each); beyond, ids and texts meet by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
@@ -90,25 +95,42 @@ def leaves(classes: DataFrame, trees: int, leaf: int, depth: int) -> DataFrame:
         choice = F.xxhash64("node", F.lit("choice"))
         first, second = F.pmod(choice, F.lit(COORDINATES)), F.pmod(F.shiftright(choice, 20), F.lit(COORDINATES))
         child = lambda c: F.xxhash64("node", c, F.element_at("minwise", (c + 1).cast("int")))
-        both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(2)) == 0) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
+        both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(4)) == 0) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
         rows = large.join(classes, "rep").select(F.explode(both).alias("node"), "rep")
-    return found
+    # levels add partitions up; what follows needs no more of them than a shuffle has
+    return found.coalesce(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _mixed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``(node, rep, part)`` of the nodes that hold several components."""
+    labelled = nodes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("part"))
+    several = labelled.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("node")
+    return cut(labelled.join(several, "node"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """``(a, b, similarity)`` of distinct pairs whose sketches agree enough."""
+    """``(a, b, to, similarity)`` of the distinct pairs ``(a, b, to)`` whose sketches agree enough."""
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for k in (3, 4))
             share = (x == y).mean(axis=1)
             similarity = (share - 1 / 256) / (1 - 1 / 256)
-            keep = similarity >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(similarity[keep])], names=["a", "b", "similarity"])
+            near = similarity >= least
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(near)) for k in range(3)), pa.array(similarity[near])], names=["a", "b", "to", "similarity"])
 
     of_a = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
     of_b = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(of_partition, "a long, b long, similarity double")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "to", "x", "y").mapInArrow(of_partition, "a long, b long, to long, similarity double")
+
+
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids(doc_id)``: most documents have no candidate, and need not move.
+
+    Up to a checked number of ids, texts are filtered where they are read.
+    """
+    wanted = cut(ids.distinct())
+    return cut(docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -128,14 +150,94 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, words: int) -> D
                     kept.append(common > 0 and 100 * common >= percent * (len(sets[s]) + len(sets[t]) - common))
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, k in zip(left, kept) if k], pa.int64()), pa.array([b for b, k in zip(right, kept) if k], pa.int64())], names=["a", "b"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.join(wanted, "doc_id", "left_semi"))  # most documents have no candidate; the rest move once
+    texts = _wanted(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     of_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     return cut(pairs.select("a", "b").join(of_a, "a").join(of_b, "b").select("a", "b", "x", "y").mapInArrow(of_partition, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, trees: int = 16, leaf: int = 32, depth: int = 8) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows that share their first column, whatever batches they come in."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        keys = rows.column(0).to_numpy()
+        bounds = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1)) if len(keys) else np.zeros(0, np.int64)
+        for first, end in zip(bounds, bounds[1:]):
+            yield rows.slice(first, end - first)
+        held = rows.slice(bounds[-1]) if len(bounds) else None
+    if held is not None:
+        yield held
+
+
+def _tiles(mixed: DataFrame, tile: int) -> DataFrame:
+    """``(tile, rep, part)``: nodes as they are, larger ones as pairs of blocks of hashed members."""
+    sizes = mixed.groupBy("node").count().filter(F.col("count") > tile)
+    blocks = F.ceil(2 * F.col("count") / tile)
+    rows = mixed.join(sizes, "node", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce(blocks, F.lit(1))))
+    small = rows.filter("count is null").select(F.col("node").alias("tile"), "rep", "part")
+    large = rows.filter("count is not null").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return small.union(large.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "rep", "part"))
+
+
+def _hopeful(tiles: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Rows of ``tiles`` whose sketch agrees enough with one of another component in the tile."""
+
+    def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            parts = group.column(2).to_numpy()
+            sketches = np.frombuffer(b"".join(group.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            good = np.zeros(len(parts), dtype=bool)
+            for at in range(0, len(parts), 128):
+                share = (sketches[at : at + 128, None, :] == sketches[None, :, :]).mean(axis=2)
+                near = ((share - 1 / 256) / (1 - 1 / 256) >= least) & (parts[at : at + 128, None] != parts[None, :])
+                good[at : at + 128] = near.any(axis=1)
+            if good.any():
+                yield from group.select([0, 1, 2]).filter(pa.array(good)).to_batches()
+
+    rows = tiles.join(classes.select("rep", "sketch"), "rep").select("tile", "rep", "part", "sketch")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(of_partition, "tile long, rep long, part long")
+
+
+def _links_in_tiles(rows: DataFrame, docs: DataFrame, percent: int, words: int, least: float) -> DataFrame:
+    """Links ``(a, b)`` that join components of a tile, all pairs of which are settled on full sets."""
+
+    def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            reps = group.column(1).to_pylist()
+            parent = {part: part for part in group.column(2).to_pylist()}
+            parts = group.column(2).to_pylist()
+            sets = list(shingle_sets(group.column(3).cast(pa.binary()).to_pylist(), words))
+            values = np.stack([minwise(x) for x in sets])
+
+            def root(part: int) -> int:
+                while parent[part] != part:
+                    parent[part] = part = parent[parent[part]]
+                return part
+
+            found = []
+            for i in range(len(reps) - 1):
+                near = np.flatnonzero((values[i + 1 :] == values[i]).mean(axis=1) >= least) + i + 1
+                for j in near.tolist():
+                    if (x := root(parts[i])) != (y := root(parts[j])):
+                        small, large = sorted((sets[i], sets[j]), key=len)
+                        if 100 * len(small) < percent * len(large):
+                            continue
+                        at = np.searchsorted(large, small)
+                        common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                        if 100 * common >= percent * (len(small) + len(large) - common):
+                            parent[x] = y
+                            found.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], names=["a", "b"])
+
+    texts = _wanted(docs, rows.select(F.col("rep").alias("doc_id")))
+    full = rows.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("tile", "rep", "part", "text")
+    return cut(full.repartition("tile").sortWithinPartitions("tile").mapInArrow(of_partition, "a long, b long").distinct())
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, words: int = WORDS, trees: int = 8, leaf: int = 2048, depth: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts are linked when 100 * |intersection| >= percent * |union| of their distinct shingles of ``words``
@@ -152,19 +254,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = leaves(classes.select("rep", "minwise"), trees, leaf, depth)
     least = percent / 100 - MARGIN
 
-    centres = nodes.groupBy("node").agg(F.min_by("rep", F.xxhash64("node", "rep")).alias("centre"))
-    star = nodes.join(centres, "node").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-    likely = F.struct((F.col("similarity") < percent / 100 + 0.05).alias("doubtful"), "a")
-    first = cut(_estimated(star, classes, least).groupBy("b").agg(F.min(likely)["a"].alias("a")).select("a", "b"))
-    links = _confirmed(first, texts, percent, words)
-    parts = cut(components(links))
+    # centres follow one order of all documents, so that nodes of a group agree on few of them
+    centres = nodes.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep")).alias("centre"))
+    star = nodes.join(centres, "node").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("rep").alias("to")).dropDuplicates(["a", "b"])
+    likely = F.struct((F.col("similarity") < percent / 100 + 0.05).alias("doubtful"), F.xxhash64(F.col("a") + F.col("b") - F.col("to")).alias("order"), "a", "b")
+    best = cut(_estimated(star, classes, least).groupBy("to").agg(F.min(likely).alias("best")).select("best.a", "best.b").distinct())
+    links = _confirmed(best, texts, percent, words)
+    mixed = _mixed(nodes, cut(components(links)))
+    more = _links_in_tiles(cut(_hopeful(_tiles(mixed, leaf), classes, least)), texts, percent, words, least)
 
-    labelled = nodes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("part"))
-    mixed = labelled.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("node")
-    members = cut(labelled.join(mixed, "node"))
-    left, right = members.select("node", F.col("rep").alias("a"), F.col("part").alias("part_a")), members.select("node", F.col("rep").alias("b"), F.col("part").alias("part_b"))
-    across = left.join(right, "node").filter("a < b and part_a <> part_b").select("a", "b").distinct()
-    more = _confirmed(cut(_estimated(across, classes, least).select("a", "b")), texts, percent, words)
     # Rows of one id with different sets, of which one class is not named after it, still are one document.
     same = of_class.select("doc_id", "set_key").join(ids, "set_key").filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = of_class.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high")
