@@ -81,7 +81,7 @@ class PrefixCounts:
                 flat[starts[k]] = before[k] - self._total([run]) + self._total([run + " "])
             elif head.isspace() and len(piece) == 1 and head != " " and at + k and pieces[at + k - 1].isspace():
                 run = pieces[at + k - 1]
-                flat[starts[k]] = before[k] - self._total([run]) + self._total([run + head])
+                flat[starts[k] + len(head.encode()) - 1] = before[k] - self._total([run]) + self._total([run + head])
 
     def every_prefix(self, text: str) -> np.ndarray:
         """Entry i: exact token count of the first i bytes, from 0 to all of them."""

@@ -9,6 +9,7 @@ that decides its score, so that only texts need labels.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ WINDOW, STRIDE = 64, 48
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 16, 8, 8
 GRAM_BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
+#: Steps of a round at least; a small sample is passed over again until there are so many.
+UPDATES = 24
 #: Distinct words whose n-grams are laid out at a time; a batch of windows has fewer.
 WORDS_AT_ONCE = 20_000
 
@@ -271,7 +274,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, batch: int = 128,
         order = np.lexsort((-key, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         chosen = order[rank < (2 if turn < 2 else 1)] if turn < 2 else order[(rank == 0) | ((rank < 3) & (y[text[order]] == 0))]
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // batch)):
+        parts = max(1, len(chosen) // batch)
+        for part in itertools.chain.from_iterable(np.array_split(rng.permutation(chosen), parts) for _ in range(-(-UPDATES // parts))):
             used, where = np.unique(at[:, part], return_inverse=True)
             real = used[used != blank]
             x, rows, (b, o, counts) = net.inputs(words.some(real), drop=rng.random(len(real)) < 0.3)
