@@ -84,10 +84,16 @@ def without_stop_words(mentions: DataFrame, stop: DataFrame) -> DataFrame:
 
 
 def extract(lines: DataFrame, spark: SparkSession, model: Callable[[DataFrame], DataFrame] | None = None, aliases: list[tuple[str, str]] | None = None, frequencies: DataFrame | None = None) -> DataFrame:
-    """Mentions by the cast first, then by a model where one is given; each character once a line."""
-    found = gazetteer(lines, spark, aliases)
+    """Mentions by the cast first, then by a model where one is given; each character once a line.
+
+    What the cast claims is blanked before the model reads a line, so that no part of a phrase is a name again.
+    """
+    rows = aliases or fixed.alias_rows()
+    found = gazetteer(lines, spark, rows).drop("text")
     if model is not None:
-        proposed = model(lines)
-        names = resolve(proposed.select("surface").distinct(), spark, aliases, frequencies=frequencies).filter("character is not null")
-        found = found.unionByName(proposed.join(names, "surface").withColumn("source", F.lit("model")), allowMissingColumns=True)
+        claimed = phrase_pattern([alias for alias, _ in rows])
+        proposed = model(lines.withColumn("text", F.regexp_replace("text", claimed, " "))).drop("text")
+        names = resolve(proposed.select("surface").distinct(), spark, rows, frequencies=frequencies).filter("character is not null")
+        later = proposed.join(names, "surface").withColumns({"source": F.lit("model"), "at": F.col("at") + 1_000_000})  # after all phrases
+        found = found.unionByName(later)
     return once_per_line(found)

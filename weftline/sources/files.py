@@ -22,7 +22,7 @@ def raw_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".ass
     files = files.filter(F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$"))
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {', '.join(suffixes)} files in {path}")
-    decoded = F.decode("content", "UTF-8")  # bytes that are no UTF-8 become the replacement character
+    decoded = F.make_valid_utf8(F.col("content").cast("string"))  # bytes that are no UTF-8 become the replacement character
     return files.select("path", F.regexp_replace(decoded, "^﻿", "").alias("raw"))
 
 
