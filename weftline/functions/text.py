@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode has it, spelled out, since regular expression dialects differ on it.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: The same for dialects that write code points as \x{...}.
 SPACE_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CURLY, STRAIGHT = "’‘“”", "''\"\""

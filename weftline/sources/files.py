@@ -28,20 +28,20 @@ def raw_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".ass
 
 def ass_events(files: DataFrame) -> DataFrame:
     """``(path, event_no, start, end, text)`` of ASS scripts: dialogue of the events section, by its own format line."""
-    lines = F.transform(F.split("raw", r"\r\n|\r|\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c")))
-    # Which section a line stands in, and the last format line in it, are running values along the file: one fold
-    # over the array of lines, which holds positions only.
-    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    marks = F.filter(numbered, lambda x: F.startswith(x["line"], F.lit("[")))
-    rows = files.select("path", F.explode(numbered).alias("x"), marks.alias("marks"), F.filter(numbered, lambda x: F.startswith(x["line"], F.lit("Format:"))).alias("formats"))
-    i = F.col("x.i")
-    last = lambda a: F.element_at(F.filter(a, lambda m: m["i"] < i), -1)["line"]
-    rows = rows.filter(F.startswith(F.col("x.line"), F.lit("Dialogue:")) & (F.size(F.filter("marks", lambda m: m["i"] < i)) > 0)).withColumns({"section": last(F.col("marks")), "format": F.when(F.size(F.filter("formats", lambda m: m["i"] < i)) > 0, last(F.col("formats")))})
-    rows = rows.filter((F.lower("section") == "[events]") & F.col("format").isNotNull())
+    rows = files.select("path", F.posexplode(F.split("raw", r"\r\n|\r|\n")).alias("event_no", "line")).withColumn("line", F.btrim("line", F.lit(" \t\x0b\x0c")))
+    # the section a line stands in, and the last format line of it, run along the file
+    file = Window.partitionBy("path").orderBy("event_no").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.startswith("line", F.lit("["))
+    inside = F.lower(F.last(F.when(begins, F.col("line")), ignorenulls=True).over(file)) == "[events]"
+    rows = rows.withColumn("inside", inside)
+    formats = F.when(F.col("inside") & F.startswith("line", F.lit("Format:")), F.col("line"))
+    rows = rows.withColumn("format", F.last(formats, ignorenulls=True).over(file))
+    rows = rows.filter(F.col("inside") & F.col("format").isNotNull() & F.startswith("line", F.lit("Dialogue:")))
     fields = F.transform(F.split(F.substr("format", F.lit(8)), ","), lambda f: F.lower(F.btrim(f)))
-    rows = rows.select("path", i.alias("event_no"), fields.alias("fields"), F.substr(F.col("x.line"), F.lit(10)).alias("rest"))
+    rows = rows.select("path", "event_no", fields.alias("fields"), F.substr("line", F.lit(10)).alias("rest"))
     rows = rows.withColumn("values", F.expr("split(rest, ',', size(fields))"))
-    value = lambda name: F.try_element_at("values", F.array_position("fields", F.lit(name)).cast("int"))
+    # a field that the format lacks is null; filters may run before sections are told apart
+    value = lambda name: F.try_element_at("values", F.nullif(F.array_position("fields", F.lit(name)).cast("int"), F.lit(0)))
     return rows.select("path", "event_no", X.timecode(value("start")).alias("start"), X.timecode(value("end")).alias("end"), X.clean_text(value("text")).alias("text")).filter("text <> ''")
 
 
