@@ -68,15 +68,15 @@ def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(episode, line_idx, text, start, end)``: lines of documents, timed by the characters before them.
+def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", timed: bool = False) -> DataFrame:
+    """``(episode, line_idx, text)``: lines of documents; ``timed`` adds start and end, in characters before and with them.
 
-    Offsets are sums over the lines of one document; they are computed in the row that holds the document, so
-    nothing is shuffled.
+    Lines leave the row that holds their document without a shuffle. Times are running sums along a document, so
+    they sort its lines; what follows by episode finds them partitioned.
     """
-    parts = F.split(F.col(text), "\n")
-    rows = docs.select(F.col(key).alias("episode"), parts.alias("parts"))
-    # running sums without a window: lengths first, then one fold that carries (sum, starts)
-    fold = F.aggregate("parts", F.struct(F.lit(0).cast("double").alias("at"), F.array().cast("array<struct<s:double,e:double,t:string>>").alias("out")), lambda acc, line: F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(line)).alias("e"), line.alias("t")))).alias("out")))
-    exploded = rows.select("episode", F.posexplode(fold["out"]).alias("line_idx", "x"))
-    return exploded.select("episode", "line_idx", F.col("x.t").alias("text"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
+    lines = docs.select(F.col(key).alias("episode"), F.posexplode(F.split(F.col(text), "\n")).alias("line_idx", "text"))
+    if not timed:
+        return lines
+    before = Window.partitionBy("episode").orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("double")
+    return lines.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))

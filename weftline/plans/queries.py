@@ -40,8 +40,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return dialogue.document_lines(table(spark, sf, "documents"))
+def lines(spark: SparkSession, sf: str, timed: bool = False) -> DataFrame:
+    return dialogue.document_lines(table(spark, sf, "documents"), timed=timed)
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,12 +113,12 @@ SELECT n.episode, line_idx, (norm IN (SELECT norm FROM spread) AND length(norm)
 
 @query(REPEATED)
 def repeated_line_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return dialogue.flag_repeated(lines(spark, sf)).select("episode", "line_idx", "is_song")
+    return dialogue.flag_repeated(lines(spark, sf, timed=True)).select("episode", "line_idx", "is_song")
 
 
 @query(f"SELECT episode, arc, count(*) AS n_lines, min(line_idx) AS first_line FROM (SELECT episode, line_idx, {ARC('episode')} AS arc FROM ({REPEATED}) WHERE NOT is_song) GROUP BY ALL")
 def dialogue_kept(spark: SparkSession, sf: str) -> DataFrame:
-    kept = dialogue.with_arc(dialogue.flag_repeated(lines(spark, sf)).filter("not is_song"), ARCS)
+    kept = dialogue.with_arc(dialogue.flag_repeated(lines(spark, sf, timed=True)).filter("not is_song"), ARCS)
     return kept.groupBy("episode", "arc").agg(F.count("*").alias("n_lines"), F.min("line_idx").cast("long").alias("first_line"))
 
 
