@@ -110,7 +110,7 @@ def _weighted(train: DataFrame, label: str) -> DataFrame:
 
 def _logistic(c: float, total: float) -> LogisticRegression:
     """Logistic regression whose loss is a weighted sum with factor c, as a mean with the matching penalty."""
-    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="class_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=100, family="multinomial")
+    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="class_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=50, tol=1e-4, family="multinomial")
 
 
 def tfidf_logistic(train: DataFrame, label: str, text: str = "text", c: float = 8.0, min_words: float = 2, min_chars: float = 3, features: int = 1 << 16) -> PipelineModel:
