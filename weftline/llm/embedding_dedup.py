@@ -189,3 +189,15 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs: for small tables only.
+ORACLE = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+lengths AS MATERIALIZED (SELECT vec_id, e, len(e) AS dim, sqrt(list_dot_product(e, e)) AS l FROM v),
+ways AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM lengths a JOIN lengths b USING (dim) WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.l * b.l) >= 0.9),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y),
+least AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x), counts AS (SELECT x AS vec_id, count(*) AS n FROM ways GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counts USING (vec_id)
+"""

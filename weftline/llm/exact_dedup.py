@@ -43,7 +43,8 @@ def frequent_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFra
 
     Each partition keeps a summary of its own and passes on only what may be above 1/(counters+1) of its
     rows, so that partitions of mostly different texts pass on next to nothing. Counts passed on never
-    exceed the truth and fall short by 1/(counters+1) of all rows at most; hence the guarantee.
+    exceed the truth and fall short by 1/(counters+1) of all rows at most (and by one in a partition that saw
+    a digest once, which is not passed on); hence the guarantee.
     """
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,5 +17,8 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
+    "op2_minhash_near_dedup": minhash_dedup.ORACLE,
+    "op3_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op4_sharding": sharding.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }

@@ -67,3 +67,19 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+#: SQL has no checksum function: a table of 256 values by the rule of its polynomial, and a fold over the bytes.
+ORACLE = """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8),
+rule AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (SELECT doc_id, length(h) // 2 + 8 AS size, xor(4294967295, list_reduce([('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(length(h) // 2)],
+  lambda acc, x: xor(acc >> 8, t[1 + (xor(acc, x) & 255)]), 4294967295::BIGINT)) AS text_crc32 FROM hexed, rule),
+draws AS (SELECT *, [substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || k), 1, 13) FOR k IN range(25)] AS d FROM sums),
+placed AS (SELECT *, list_position(d[1:24], list_max(d[1:24])) - 1 AS shard, list_position(d, list_max(d)) - 1 AS grown FROM draws)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM placed
+"""
