@@ -8,6 +8,7 @@ that encoding the prefix alone would give. Truncation and budget questions are t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,14 @@ from weftline.llm.common import table
 LIMIT = 1024
 #: Pre-tokens that are laid out in one array at a time.
 BLOCK = 1 << 16
+#: Only next to these does more text change how what is before it splits.
+UNEVEN = re.compile(r"\s\s|'")
 
 
 class PrefixCounts:
     """Prefix counts for texts under one vocabulary; arrays of pre-tokens met before are kept, up to a bound."""
 
-    def __init__(self, vocabulary: bpe.Vocabulary, most: int = 400_000) -> None:
+    def __init__(self, vocabulary: bpe.Vocabulary, most: int = 700_000) -> None:
         self.vocabulary = vocabulary
         self.known = bpe.Bounded(self._of_piece, most)
 
@@ -40,7 +43,7 @@ class PrefixCounts:
         """
         base = 0
         for segment, special in bpe.segments(self.vocabulary, text):
-            pieces = self.vocabulary.pieces(segment)
+            pieces, uneven = self.vocabulary.pieces(segment), bool(UNEVEN.search(segment))
             for at in range(0, len(pieces), BLOCK):
                 some = pieces[at : at + BLOCK]
                 parts = list(map(self.known.__getitem__, some))
@@ -50,7 +53,8 @@ class PrefixCounts:
                 totals = flat[ends]
                 before = base + np.cumsum(totals) - totals
                 flat += np.repeat(before, lengths)
-                self._mend(pieces, at, some, ends - lengths + 1, before, flat)
+                if uneven:
+                    self._mend(pieces, at, some, ends - lengths + 1, before, flat)
                 base = int(before[-1] + totals[-1])
                 yield flat
             if special is not None:
