@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import classify, dialogue, graph, memory, mentions, network, themes
+from weftline.session import spread
 from weftline.sources import files, wikitext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf: str, timed: bool = False) -> DataFrame:
-    return dialogue.document_lines(table(spark, sf, "documents"), timed=timed)
+    return dialogue.document_lines(spread(table(spark, sf, "documents").select("doc_id", "text")), timed=timed)
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +243,7 @@ STOP = ["this", "that", "with", "from"]
 
 
 def mention_rows(spark: SparkSession, sf: str) -> DataFrame:
-    english = dialogue.document_lines(table(spark, sf, "documents").filter("lang = 'en'"))
+    english = dialogue.document_lines(spread(table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")))
     found = mentions.capitalised(english.select("episode", "line_idx", "text"), r"\b([A-Z][a-z]{3,})").select("episode", "line_idx", F.col("surface").alias("character"))
     kept = mentions.without_stop_words(found, mentions.stop_table(spark, STOP)).distinct()
     return dialogue.with_arc(kept, ARCS).select("episode", "arc", F.col("line_idx").cast("long").alias("line_idx"), "character")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "weftline", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +14,12 @@ def session(app: str = "weftline", master: str | None = None, **conf: str) -> Sp
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table that is read in fewer parts than there are cores, dealt over all of them.
+
+    A small file of one row group would keep one core at work. Tables of more parts, any large one, stay as read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
