@@ -110,6 +110,23 @@ def test_near_duplicates_of_null_ids_repeated_ids_and_nothing(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_pairs_at_the_threshold_are_found_in_crowds(spark):
+    # 50 words in all texts, 10 in both of a pair and 10 of its own: 60 of 80 in a pair, 50 of 90 in others
+    crowd, rows = [f"all{i}" for i in range(50)], []
+    for pair in range(200):
+        for own in (0, 1):
+            words = [*crowd, *(f"p{pair}x{i}" for i in range(10)), *(f"o{pair}x{own}x{i}" for i in range(10))]
+            rows.append((2 * pair + own, " ".join(words), "", 0))
+    out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs(spark, rows), words=1, leaf=4).collect()}
+    missed = [pair for pair in range(200) if out[2 * pair + 1] != 2 * pair]
+    assert not missed and all(out[2 * pair] == 2 * pair for pair in range(200))
+
+
+def test_trees_follow_the_deepest_branching():
+    wanted = [minhash_dedup.trees_for(0.75, n) for n in range(10)]
+    assert wanted == sorted(wanted) and wanted[0] <= 8 < wanted[1] and wanted[9] > 80
+
+
 @pytest.mark.parametrize("at_once", [0, 1000])
 def test_components_both_ways(spark, at_once):
     rng = random.Random(at_once)

@@ -4,7 +4,8 @@ A set of word shingles is represented by minwise values. Each of several indepen
 coordinate: documents with the same minwise value there share a node. Nodes of more than ``leaf`` documents
 branch again, on one or two coordinates that the node's own hash selects, until they are small or ``depth``
 is reached. Pairs inside leaves are compared; a pair of similarity s stays together with chance s for each
-step, and repeated trees bring the recall to what is wanted.
+step, and repeated trees bring the recall to what is wanted: where nodes branched, classes of large nodes get
+as many more trees as the deepest branching asks for (``trees_for``).
 
 No group is expanded into all its pairs, and no link between components is lost:
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ _FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np
 #: Pairs whose estimate is further below the threshold are dropped before full sets are compared. An
 #: estimate from 128 values has a standard deviation of 0.04 at most near 0.75, so this is over four of them.
 MARGIN = 0.17
+#: Share of nodes that branch on two coordinates, and wanted chance that a pair at the threshold meets in a leaf.
+TWICE, RECALL = 0.25, 0.999
 #: Ids of candidates that are broadcast at most (16 bytes each); beyond, ids and texts meet by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -73,32 +77,60 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(of_partition, "doc_id long, n_shingles long, set_key binary, minwise array<int>, sketch binary")
 
 
+def trees_for(similarity: float, branchings: int, recall: float = RECALL) -> int:
+    """Trees with which a pair meets in a leaf with chance ``recall``, when its nodes branch ``branchings`` times.
+
+    Trees choose from the same COORDINATES values, of which a pair agrees on a binomial number.
+    """
+
+    def missed(share: float) -> float:
+        below = 0.0
+        for _ in range(branchings):
+            child = 1 - share + share * below
+            below = (1 - TWICE) * child + TWICE * child**2
+        return 1 - share + share * below
+
+    chances = [comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    misses = [missed(k / COORDINATES) for k in range(COORDINATES + 1)]
+    trees = 1
+    while sum(c * m**trees for c, m in zip(chances, misses)) > 1 - recall:
+        trees += 1
+    return trees
+
+
 def _in_shared_nodes(rows: DataFrame) -> DataFrame:
-    """Rows ``(node, rep)`` whose node has others, with the node's size; counts are combined before the shuffle."""
-    sizes = rows.groupBy("node").count().filter("count > 1").withColumnRenamed("count", "size")
+    """Rows ``(node, rep)``, or ``(node, rep, part)``, whose node has other classes (parts), with the node's size; combined before the shuffle."""
+    what = "part" if "part" in rows.columns else "rep"
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(what).alias("low"), F.max(what).alias("high")).filter("low < high").drop("low", "high")
     return cut(rows.join(sizes, "node"))
 
 
-def leaves(classes: DataFrame, trees: int, leaf: int, depth: int) -> DataFrame:
-    """``(node, rep)``: the leaves of all trees that hold more than one class of ``classes(rep, minwise)``."""
+def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[DataFrame, int, DataFrame]:
+    """``(node, rep)``: the leaves of ``trees`` that hold more than one class of ``classes(rep, minwise)``.
+
+    With a column ``part``, those that hold more than one part. Also how often nodes branched one below the
+    other, and ``(rep)`` of the classes in roots that branched.
+    """
+    labels = [c for c in classes.columns if c == "part"]
     coordinates = np.random.default_rng(3).permutation(COORDINATES)
-    roots = [F.xxhash64(F.lit(tree), F.element_at("minwise", int(coordinates[tree % COORDINATES]) + 1)) for tree in range(trees)]
-    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "rep")
-    found = None
+    roots = [F.xxhash64(F.lit(tree), F.element_at("minwise", int(coordinates[tree % COORDINATES]) + 1)) for tree in trees]
+    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "rep", *labels)
+    found = crowded = None
     for level in range(1, depth + 1):
         shared = _in_shared_nodes(rows)
         small = shared.filter(F.col("size") <= leaf) if level < depth else shared
         found = small.select("node", "rep") if found is None else found.union(small.select("node", "rep"))
         large = shared.filter(F.col("size") > leaf)
+        crowded = large.select("rep").distinct() if crowded is None else crowded
         if level == depth or large.isEmpty():
             break
         choice = F.xxhash64("node", F.lit("choice"))
         first, second = F.pmod(choice, F.lit(COORDINATES)), F.pmod(F.shiftright(choice, 20), F.lit(COORDINATES))
         child = lambda c: F.xxhash64("node", c, F.element_at("minwise", (c + 1).cast("int")))
-        both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(4)) == 0) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
-        rows = large.join(classes, "rep").select(F.explode(both).alias("node"), "rep")
+        both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(round(1 / TWICE))) == 0) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
+        rows = large.select("node", "rep").join(classes, "rep").select(F.explode(both).alias("node"), "rep", *labels)
     # levels add partitions up; what follows needs no more of them than a shuffle has
-    return found.coalesce(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return found.coalesce(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), level - 1, crowded
 
 
 def _mixed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -243,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when 100 * |intersection| >= percent * |union| of their distinct shingles of ``words``
     words, whole texts read; every link is confirmed on full sets. Texts without words, and null texts, have
     empty sets and link with nothing. Rows of one id are one document: they share a component, and each of
-    its texts may link it. Rows with a null id link with nothing, have a null component and are kept. An
+    its texts may link it. ``trees`` are the first ones; deep branching adds more until RECALL is held at
+    ``percent``. Rows with a null id link with nothing, have a null component and are kept. An
     empty table gives an empty table. Columns beside id and text are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -251,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = described.filter("set_key is not null and doc_id is not null")
     ids = of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = cut(of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")).drop("set_key").dropDuplicates(["rep"]))
-    nodes = leaves(classes.select("rep", "minwise"), trees, leaf, depth)
+    nodes, branchings, crowded = leaves(classes.select("rep", "minwise"), range(trees), leaf, depth)
     least = percent / 100 - MARGIN
 
     # centres follow one order of all documents, so that nodes of a group agree on few of them
@@ -260,7 +293,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = F.struct((F.col("similarity") < percent / 100 + 0.05).alias("doubtful"), F.xxhash64(F.col("a") + F.col("b") - F.col("to")).alias("order"), "a", "b")
     best = cut(_estimated(star, classes, least).groupBy("to").agg(F.min(likely).alias("best")).select("best.a", "best.b").distinct())
     links = _confirmed(best, texts, percent, words)
-    mixed = _mixed(nodes, cut(components(links)))
+    parts = cut(components(links))
+    while (wanted := trees_for(percent / 100, branchings)) > trees:
+        # only classes that shared large nodes lack trees, and only nodes of several components can add links
+        labelled = classes.join(crowded, "rep", "left_semi").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "minwise", F.coalesce("component_id", "rep").alias("part"))
+        again, deeper, _ = leaves(cut(labelled), range(trees, wanted), leaf, depth)
+        nodes, branchings, trees = nodes.union(again), max(branchings, deeper), wanted
+    mixed = _mixed(nodes, parts)
     more = _links_in_tiles(cut(_hopeful(_tiles(mixed, leaf), classes, least)), texts, percent, words, least)
 
     # Rows of one id with different sets, of which one class is not named after it, still are one document.
