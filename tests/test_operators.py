@@ -197,3 +197,16 @@ def test_service(spark, tmp_path):
     lines = spark.createDataFrame([(1, "Prologue", 0, "friends and friendship"), (2, "Prologue", 0, "war")], "episode int, arc string, line_idx int, text string")
     assert service.score_themes(lines, ["friendship"], 1, 5)["profile"][0]["theme"] == "friendship"
     assert isinstance(service.personas(), list) and pd.DataFrame(service.personas()).shape[0] == len(memory.CARDS)
+
+
+def test_blocks_of_queries_find_what_a_broadcast_finds(spark, monkeypatch):
+    monkeypatch.setattr(memory, "ROWS_AT_ONCE", 40)
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((90, 8)).round(1)
+    vectors[30:60] = vectors[0]  # ties, in order of their keys
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(90, None)], "line long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[::3])], "query_id long, query array<double>")
+    boost = F.when(F.col("line") % 7 == 0, 0.5).otherwise(0.0)
+    for k in (4, 100):
+        found = [sorted((r["query_id"], r["place"], r["line"], r["similarity"]) for r in search(rows.filter("embedding is not null"), asked, k, ["line"], boost).collect()) for search in (memory.nearest, memory.nearest_of_many)]
+        assert found[0] == found[1] and len(found[0]) == 30 * min(k, 90)

@@ -48,3 +48,9 @@ def test_entry(spark):
 def test_llm_queries_are_there_if_their_package_is():
     present = importlib.util.find_spec("weftline.llm") is not None
     assert ("pipeline" in __spark_entry__.queries()) == present
+
+
+@pytest.mark.parametrize("name", ["recall_exchanges_all", "recall_scenes_all"])
+def test_searches_take_every_twentieth_vector(spark, database, name):
+    asked = {r["query_id"] for r in __spark_entry__.queries()[name](spark, FOLDER).collect()}
+    assert asked == {v for (v,) in database.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()} and len(asked) > 5

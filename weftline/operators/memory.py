@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,15 +131,75 @@ def nearest(memory: DataFrame, queries: DataFrame, k: int, keys: list[str], boos
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def recall_exchanges(remembered: DataFrame, character: str, queries: DataFrame, k: int = 4) -> DataFrame:
-    """Exchanges of one character, nearest first."""
-    return nearest(remembered.filter(F.col("character") == character), queries, k, ["line"])
+#: Rows and queries of one block at most, and blocks that queries are dealt to at least.
+ROWS_AT_ONCE, QUERIES_AT_ONCE, QUERY_BLOCKS = 65_536, 16_384, 8
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
+def nearest_of_many(memory: DataFrame, queries: DataFrame, k: int, keys: list[str], boost: Column | None = None) -> DataFrame:
+    """``(query_id, place, *keys, similarity)``: what ``nearest`` finds, for any number of queries.
+
+    Blocks of queries meet blocks of rows, and only the best k of a block move on. Products are summed in the
+    order of ``X.dot``, so ties and their order are the same. Rows and queries without a vector are left out.
+    """
+    rows = memory.filter("embedding is not null").select(*keys, "embedding", (F.lit(0.0) if boost is None else boost).cast("double").alias("boost"))
+    asked = queries.filter("query is not null").select("query_id", "query")
+    row_blocks = max(1, -(-rows.count() // ROWS_AT_ONCE))
+    query_blocks = max(QUERY_BLOCKS, -(-asked.count() // QUERIES_AT_ONCE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("r", F.pmod(F.xxhash64(*keys), F.lit(row_blocks)).cast("int")).withColumn("q", every(query_blocks))
+    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("r", every(row_blocks))
+    schema = ", ".join(["query_id " + asked.schema["query_id"].dataType.simpleString(), *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys), "similarity double"])
+
+    def of_block(some: pa.Table, questions: pa.Table) -> pa.Table:
+        some = some.sort_by([(c, "ascending") for c in keys])  # of equal ones argmax takes the first
+        n, m = some.num_rows, questions.num_rows
+        best, at = np.full((m, k), -np.inf), np.full((m, k), -1)
+        if n and m:
+            vectors, extra, asks = _vectors(some["embedding"]), some["boost"].to_numpy(), _vectors(questions["query"])
+            for i in range(0, n, 512):
+                block = np.ascontiguousarray(vectors[i : i + 512].T)
+                for j in range(0, m, 256):
+                    asking = np.ascontiguousarray(asks[j : j + 256].T)
+                    scores = np.zeros((asking.shape[1], block.shape[1]))
+                    part = np.empty_like(scores)
+                    for x, y in zip(asking, block):
+                        scores += np.multiply(x[:, None], y[None, :], out=part)
+                    scores = np.concatenate([best[j : j + 256], scores + extra[i : i + 512]], axis=1)
+                    places = np.concatenate([at[j : j + 256], np.broadcast_to(np.arange(i, i + block.shape[1]), part.shape)], axis=1)
+                    each = np.arange(len(scores))
+                    for place in range(k):
+                        first = scores.argmax(axis=1)
+                        best[j : j + 256, place], at[j : j + 256, place] = scores[each, first], places[each, first]
+                        # nothing is left of what was taken, not even a place
+                        at[j : j + 256, place][np.isneginf(best[j : j + 256, place])] = -1
+                        scores[each, first] = -np.inf
+        who, place = np.nonzero(at >= 0)
+        found = some.select(keys).take(pa.array(at[who, place]))
+        return pa.table([questions["query_id"].take(pa.array(who)), *found.columns, pa.array(best[who, place])], names=["query_id", *keys, "similarity"])
+
+    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(of_block, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *keys)
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def recall_exchanges(remembered: DataFrame, character: str, queries: DataFrame, k: int = 4, search: Callable[..., DataFrame] = nearest) -> DataFrame:
+    """Exchanges of one character, nearest first; ``search`` is ``nearest``, or ``nearest_of_many`` with its fewer columns."""
+    return search(remembered.filter(F.col("character") == character), queries, k, ["line"])
+
+
+def named(character: str, name_boost: float = 0.08) -> Column:
+    """What a scene counts for more if it names the character (by its first word)."""
+    return F.when(F.contains("text", F.lit(character.split()[0])), name_boost).otherwise(0.0)
 
 
 def recall_scenes(remembered: DataFrame, character: str, queries: DataFrame, k: int = 3, name_boost: float = 0.08) -> DataFrame:
     """Scenes, nearest first; those that name the character (by its first word) count for more."""
-    named = F.when(F.contains("text", F.lit(character.split()[0])), name_boost).otherwise(0.0)
-    found = nearest(remembered, queries, k, ["episode", "first"], named)
+    found = nearest(remembered, queries, k, ["episode", "first"], named(character, name_boost))
     return found.withColumn("label", F.format_string("(Episode %d, %s) %s", "episode", "arc", "text"))
 
 

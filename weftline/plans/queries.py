@@ -525,6 +525,32 @@ def recall_scenes(spark: SparkSession, sf: str) -> DataFrame:
     return memory.recall_scenes(remembered, "Ther An", asked).select("query_id", "place", F.col("episode").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+# the two queries above ask five questions; these ask every vector whose id is divisible by 20
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 3),
+s AS (SELECT query_id, vec_id, list_dot_product(e, q) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(e, q) DESC, vec_id) AS place FROM v, q)
+SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS similarity FROM s WHERE place <= 4""")
+def recall_exchanges_all(spark: SparkSession, sf: str) -> DataFrame:
+    remembered = table(spark, sf, "embeddings").select(F.col("vec_id").alias("line"), F.col("label").cast("string").alias("character"), "embedding")
+    found = memory.recall_exchanges(remembered, "3", questions(spark, sf), search=memory.nearest_of_many)
+    return found.select("query_id", "place", F.col("line").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, text FROM embeddings JOIN documents ON doc_id = vec_id),
+s AS (SELECT query_id, vec_id, list_dot_product(e, q) + CASE WHEN contains(text, 'Ther') THEN 0.08 ELSE 0 END AS s FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS similarity FROM r WHERE place <= 3""")
+def recall_scenes_all(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("episode"), "embedding")
+    naming = table(spark, sf, "documents").select(F.col("doc_id").alias("episode"), memory.named("Ther An").alias("named"))  # no text moves
+    found = memory.nearest_of_many(vectors.join(naming, "episode"), questions(spark, sf), 3, ["episode"], F.col("named"))
+    return found.select("query_id", "place", F.col("episode").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 CENTRES = """means AS (SELECT label, i, avg(embedding[i + 1]::DOUBLE) AS x FROM embeddings, range(64) r(i) GROUP BY label, i), lengths AS (SELECT label, sqrt(sum(x * x)) AS l FROM means GROUP BY label)"""
 
 
