@@ -1,10 +1,14 @@
 import importlib.util
+import math
 import os
+import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from weftline.operators import graph
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +58,45 @@ def test_llm_queries_are_there_if_their_package_is():
 def test_searches_take_every_twentieth_vector(spark, database, name):
     asked = {r["query_id"] for r in __spark_entry__.queries()[name](spark, FOLDER).collect()}
     assert asked == {v for (v,) in database.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()} and len(asked) > 5
+
+
+def test_metrics_are_of_the_whole_network(spark, tmp_path):
+    rng = random.Random(4)
+    names = [f"Name{a}{b}" for a in "abcdef" for b in "ghijkl"]
+    texts = [[rng.choice(names) for _ in range(30)] for _ in range(60)]
+    spark.createDataFrame([(i, "\n".join(t), "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    weight = np.zeros((len(names), len(names)))
+    for text in texts:
+        for i, a in enumerate(text):
+            for j in range(i + 1, min(i + 11, len(text))):
+                if a != text[j]:
+                    x, y = names.index(a), names.index(text[j])
+                    weight[x, y] += math.exp((i - j) / 4)
+                    weight[y, x] = weight[x, y]
+    assert (weight > 0).sum() > 2 * 250
+    run = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()
+    ranks, vector = np.full(len(names), 1 / len(names)), np.ones(len(names))
+    for _ in range(20):
+        ranks = 0.15 / len(names) + 0.85 * (weight / weight.sum(axis=0)) @ ranks
+        vector = (weight + np.eye(len(names))) @ vector
+        vector /= np.linalg.norm(vector)
+    metrics = run("network_metrics").set_index("character").loc[names]
+    assert metrics["degree"].tolist() == (weight > 0).sum(axis=0).tolist()
+    assert np.allclose(metrics["strength"], weight.sum(axis=0)) and np.allclose(metrics["pagerank"], ranks) and np.allclose(metrics["eigenvector"], vector)
+    assert np.allclose(run("pagerank_all").set_index("character").loc[names, "pagerank"], ranks, atol=1e-6)
+    assert np.allclose(run("eigenvector_all").set_index("character").loc[names, "eigenvector"], vector, atol=1e-6)
+    edges = [(names[i], names[j], weight[i, j]) for i in range(len(names)) for j in range(i + 1, len(names)) if weight[i, j]]
+    labels = graph.louvain_labels(edges)
+    assert dict(run("louvain").values) == labels and metrics["community"].to_dict() == labels
+    # shortest paths by squaring, then the share of them through each name
+    with np.errstate(divide="ignore"):
+        length = np.where(weight > 0, 1 / weight, np.inf)
+    np.fill_diagonal(length, 0)
+    short = length.copy()
+    for k in range(len(names)):
+        short = np.minimum(short, short[:, [k]] + short[[k], :])
+    n = len(names)
+    on = [sum(s != v != t and s != t and math.isclose(short[s, v] + short[v, t], short[s, t]) for s in range(n) for t in range(n)) / (n - 1) / (n - 2) for v in range(n)]
+    assert np.allclose(run("betweenness").set_index("character").loc[names, "betweenness"], on, atol=1e-6)
+    best = {c: sorted((-metrics.loc[x, "pagerank"], x) for x in names if labels[x] == c)[:2] for c in set(labels.values())}
+    assert {(r.community, r.place): r.character for r in run("community_top2").itertuples()} == {(c, k + 1): x for c, two in best.items() for k, (_, x) in enumerate(two)}

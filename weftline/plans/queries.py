@@ -310,7 +310,7 @@ def edge_widths(spark: SparkSession, sf: str) -> DataFrame:
     return network.edge_styles(network.strongest(network.network(mention_rows(spark, sf)), 250)).select("source", "target", F.round("width", 6).alias("width"))
 
 
-# the graphs below are what a page draws: the strongest links
+# pagerank, eigenvector, connected_components and largest_component are of what a page draws: the strongest links
 GRAPH = f"WITH RECURSIVE {FOUND}, {edge_sql('', 8)}, g AS MATERIALIZED (SELECT source, target, weight FROM edges ORDER BY weight DESC, source, target LIMIT 250), e AS MATERIALIZED (SELECT source AS a, target AS b, weight AS w FROM g UNION ALL SELECT target, source, weight FROM g)"
 
 
@@ -318,6 +318,10 @@ def drawn(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cut(network.strongest(network.network(mention_rows(spark, sf)), 250).select("source", "target", "weight"))
 
 
+def whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.cut(network.network(mention_rows(spark, sf)).select("source", "target", "weight"))
+
+
 @query(f"""{GRAPH}, s AS MATERIALIZED (SELECT a, sum(w) AS s, (SELECT count(DISTINCT a) FROM e) AS n FROM e GROUP BY a),
 r(k, a, r) AS (SELECT 0, a, 1.0::DOUBLE / n FROM s UNION ALL SELECT r.k + 1, e.b, 0.15 / max(s.n) + 0.85 * sum(r.r * e.w / s.s) FROM r JOIN e ON e.a = r.a JOIN s ON s.a = r.a WHERE r.k < 20 GROUP BY r.k, e.b)
 SELECT a AS character, round(r, 6) AS pagerank FROM r WHERE k = 20""")
@@ -332,6 +336,19 @@ def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
     return graph.eigenvector(drawn(spark, sf)).select("character", F.round("eigenvector", 6).alias("eigenvector"))
 
 
+WHOLE = GRAPH.replace(" ORDER BY weight DESC, source, target LIMIT 250", "")
+
+
+@query(ORACLES["pagerank"].replace(GRAPH, WHOLE))
+def pagerank_all(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(whole(spark, sf)).select("character", F.round("pagerank", 6).alias("pagerank"))
+
+
+@query(ORACLES["eigenvector"].replace(GRAPH, WHOLE))
+def eigenvector_all(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.eigenvector(whole(spark, sf)).select("character", F.round("eigenvector", 6).alias("eigenvector"))
+
+
 REACH = f"{GRAPH}, reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b), parts AS (SELECT a AS character, min(b) AS component FROM reach GROUP BY a)"
 
 
@@ -348,22 +365,22 @@ def largest_component(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.betweenness(drawn(spark, sf)).select("character", F.round("betweenness", 6).alias("betweenness"))
+    return graph.betweenness(whole(spark, sf)).select("character", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query()
 def louvain(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.louvain(drawn(spark, sf))
+    return graph.louvain(whole(spark, sf))
 
 
 @query()
 def network_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return network.node_styles(graph.metrics(drawn(spark, sf), mention_rows(spark, sf), iterations=20))
+    return network.node_styles(graph.metrics(whole(spark, sf), mention_rows(spark, sf), iterations=20))
 
 
 @query()
 def community_top2(spark: SparkSession, sf: str) -> DataFrame:
-    links = drawn(spark, sf)
+    links = whole(spark, sf)
     return network.leaders(graph.louvain(links).join(graph.pagerank(links), "character"))
 
 
