@@ -210,3 +210,18 @@ def test_blocks_of_queries_find_what_a_broadcast_finds(spark, monkeypatch):
     for k in (4, 100):
         found = [sorted((r["query_id"], r["place"], r["line"], r["similarity"]) for r in search(rows.filter("embedding is not null"), asked, k, ["line"], boost).collect()) for search in (memory.nearest, memory.nearest_of_many)]
         assert found[0] == found[1] and len(found[0]) == 30 * min(k, 90)
+
+
+def test_every_term_of_enough_texts_is_a_feature(spark):
+    words = [f"w{i:05d}" for i in range(70_000)]
+    rows = [(str(i % 2), " ".join(words[i % 100 :: 100])) for i in range(200)]  # each word in two texts
+    model = classify.tfidf_logistic(spark.createDataFrame(rows, "label string, text string").repartition(4), "label")
+    found = [set(stage.vocabulary) for stage in model.stages if hasattr(stage, "vocabulary")]
+    assert set(words) <= found[0]
+    grams = {}
+    for i, (_, text) in enumerate(rows):
+        for word in text.split():
+            for n in (3, 4, 5):
+                for at in range(len(word) + 3 - n):
+                    grams.setdefault(f" {word} "[at : at + n], set()).add(i)
+    assert found[1] == {gram for gram, texts in grams.items() if len(texts) >= 3}

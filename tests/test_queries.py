@@ -100,3 +100,10 @@ def test_metrics_are_of_the_whole_network(spark, tmp_path):
     assert np.allclose(run("betweenness").set_index("character").loc[names, "betweenness"], on, atol=1e-6)
     best = {c: sorted((-metrics.loc[x, "pagerank"], x) for x in names if labels[x] == c)[:2] for c in set(labels.values())}
     assert {(r.community, r.place): r.character for r in run("community_top2").itertuples()} == {(c, k + 1): x for c, two in best.items() for k, (_, x) in enumerate(two)}
+
+
+def test_vocabulary_of_tfidf_logreg_is_not_cut(spark, monkeypatch):
+    models, fit = [], __spark_entry__.plans.classify.tfidf_logistic
+    monkeypatch.setattr(__spark_entry__.plans.classify, "tfidf_logistic", lambda *a, **b: models.append(fit(*a, **b)) or models[0])
+    assert __spark_entry__.queries()["tfidf_logreg"](spark, FOLDER).count()
+    assert max(len(stage.vocabulary) for stage in models[0].stages if hasattr(stage, "vocabulary")) > 1 << 12

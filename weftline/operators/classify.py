@@ -113,8 +113,11 @@ def _logistic(c: float, total: float) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="y", weightCol="class_weight", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=50, tol=1e-4, family="multinomial")
 
 
-def tfidf_logistic(train: DataFrame, label: str, text: str = "text", c: float = 8.0, min_words: float = 2, min_chars: float = 3, features: int = 1 << 16) -> PipelineModel:
-    """Words and word pairs, and character trigrams to fives within words, by damped counts times rarity, each at length 1."""
+def tfidf_logistic(train: DataFrame, label: str, text: str = "text", c: float = 8.0, min_words: float = 2, min_chars: float = 3, features: int = (1 << 31) - 1) -> PipelineModel:
+    """Words and word pairs, and character trigrams to fives within words, by damped counts times rarity, each at length 1.
+
+    Every term in ``min_words`` (``min_chars``) texts is a feature, unless ``features`` bounds their number.
+    """
     weighted = _weighted(train, label).cache()
     total = weighted.agg(F.sum("class_weight")).first()[0]
     words = [RegexTokenizer(inputCol=text, outputCol="__w", pattern=r"\b\w\w+\b", gaps=False), StopWordsRemover(inputCol="__w", outputCol="__w1"), NGram(n=2, inputCol="__w1", outputCol="__w2"), SQLTransformer(statement="SELECT *, concat(__w1, __w2) AS __words FROM __THIS__")]

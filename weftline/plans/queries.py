@@ -486,7 +486,7 @@ def labelled_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def tfidf_logreg(spark: SparkSession, sf: str) -> DataFrame:
     rows = labelled_texts(spark, sf)
-    model = classify.tfidf_logistic(rows.filter("split = 'train'"), "label", features=1 << 12)
+    model = classify.tfidf_logistic(rows.filter("split = 'train'"), "label")
     done = classify.predict(model, rows.filter("split = 'test'").select("doc_id", "label", "text"))
     return done.select("doc_id", F.col("label").alias("y_true"), "y_pred", classify.argmax(F.col("probabilities")).alias("likeliest"))
 
