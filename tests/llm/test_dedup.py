@@ -142,3 +142,12 @@ def test_without_matches_nulls_and_clashing_names(spark):
     gone = spark.createDataFrame([(1,), (None,), (None,)], "x long")
     assert [r["doc_id"] for r in without(rows, gone, [F.col("doc_id")]).collect()] == [2]
     assert sorted(r["key_0"] for r in without(rows, gone, [F.col("doc_id")], "left_semi").collect()) == ["a", "c"]
+
+
+@pytest.mark.parametrize("leaf", [2048, 2])
+def test_each_text_of_a_repeated_id_links_it(spark, leaf):
+    text = lambda k, last: " ".join([*(f"t{k}w{i}" for i in range(60)), last])
+    rows = [(k, text((k, side), "same"), "", 0) for k in range(20) for side in (0, 1)]
+    rows += [(100 + 2 * k + side, text((k, side), "other"), "", 0) for k in range(20) for side in (0, 1)]
+    out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs(spark, rows), leaf=leaf).collect()}
+    assert out == {**{k: k for k in range(20)}, **{100 + 2 * k + side: k for k in range(20) for side in (0, 1)}}

@@ -106,7 +106,7 @@ def _in_shared_nodes(rows: DataFrame) -> DataFrame:
 
 
 def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[DataFrame, int, DataFrame]:
-    """``(node, rep)``: the leaves of ``trees`` that hold more than one class of ``classes(rep, minwise)``.
+    """``(node, rep)``: the leaves of ``trees`` that hold classes of more than one rep of ``classes(class, rep, minwise)``.
 
     With a column ``part``, those that hold more than one part. Also how often nodes branched one below the
     other, and ``(rep)`` of the classes in roots that branched.
@@ -114,7 +114,7 @@ def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[Dat
     labels = [c for c in classes.columns if c == "part"]
     coordinates = np.random.default_rng(3).permutation(COORDINATES)
     roots = [F.xxhash64(F.lit(tree), F.element_at("minwise", int(coordinates[tree % COORDINATES]) + 1)) for tree in trees]
-    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "rep", *labels)
+    rows = classes.select(F.explode(F.array(*roots)).alias("node"), "class", "rep", *labels)
     found = crowded = None
     for level in range(1, depth + 1):
         shared = _in_shared_nodes(rows)
@@ -128,7 +128,7 @@ def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[Dat
         first, second = F.pmod(choice, F.lit(COORDINATES)), F.pmod(F.shiftright(choice, 20), F.lit(COORDINATES))
         child = lambda c: F.xxhash64("node", c, F.element_at("minwise", (c + 1).cast("int")))
         both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(round(1 / TWICE))) == 0) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
-        rows = large.select("node", "rep").join(classes, "rep").select(F.explode(both).alias("node"), "rep", *labels)
+        rows = large.select("node", "class").join(classes, "class").select(F.explode(both).alias("node"), "class", "rep", *labels)
     # levels add partitions up; what follows needs no more of them than a shuffle has
     return found.coalesce(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), level - 1, crowded
 
@@ -226,7 +226,8 @@ def _hopeful(tiles: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 near = ((share - 1 / 256) / (1 - 1 / 256) >= least) & (parts[at : at + 128, None] != parts[None, :])
                 good[at : at + 128] = near.any(axis=1)
             if good.any():
-                yield from group.select([0, 1, 2]).filter(pa.array(good)).to_batches()
+                # once for each rep: all texts of its id come along
+                yield from group.select([0, 1, 2]).filter(pa.array(good)).group_by(["tile", "rep", "part"]).aggregate([]).to_batches()
 
     rows = tiles.join(classes.select("rep", "sketch"), "rep").select("tile", "rep", "part", "sketch")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(of_partition, "tile long, rep long, part long")
@@ -283,8 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = cut(describe(texts, words))
     of_class = described.filter("set_key is not null and doc_id is not null")
     ids = of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = cut(of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")).drop("set_key").dropDuplicates(["rep"]))
-    nodes, branchings, crowded = leaves(classes.select("rep", "minwise"), range(trees), leaf, depth)
+    classes = cut(of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")).drop("set_key").withColumn("class", F.monotonically_increasing_id()))  # several of one rep, if its id has several texts
+    nodes, branchings, crowded = leaves(classes.select("class", "rep", "minwise"), range(trees), leaf, depth)
     least = percent / 100 - MARGIN
 
     # centres follow one order of all documents, so that nodes of a group agree on few of them
@@ -296,7 +297,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = cut(components(links))
     while (wanted := trees_for(percent / 100, branchings)) > trees:
         # only classes that shared large nodes lack trees, and only nodes of several components can add links
-        labelled = classes.join(crowded, "rep", "left_semi").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "minwise", F.coalesce("component_id", "rep").alias("part"))
+        labelled = classes.join(crowded, "rep", "left_semi").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("class", "rep", "minwise", F.coalesce("component_id", "rep").alias("part"))
         again, deeper, _ = leaves(cut(labelled), range(trees, wanted), leaf, depth)
         nodes, branchings, trees = nodes.union(again), max(branchings, deeper), wanted
     mixed = _mixed(nodes, parts)
