@@ -70,3 +70,9 @@ def test_rows(spark, model):
     out = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
     assert len(out) == 4 and sorted(r["n_chars"] for r in out)[:3] == [0, 0, 0] and all(r["n_chars"] == len(r["text"]) for r in out)
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+@pytest.mark.parametrize("attributes", ['title="the hidden truth"', "data-note='a hidden word'", 'aria-description="x style=display:none y"'])
+def test_words_inside_values_hide_nothing(attributes):
+    tree = H.parse(f"<div><p {attributes}>seen</p><p class=\"a\" hidden>unseen</p><p title='x' style=\"display: none\">unseen</p></div>")
+    assert "".join(tree.text).split() == ["seen"]

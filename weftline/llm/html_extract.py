@@ -25,7 +25,9 @@ from weftline.llm.common import table
 # -- pages to trees
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute after the other, so that words inside quoted values are not taken for names; those that are looked at.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+ATTRIBUTES = frozenset(("class", "id", "role", "aria-label", "hidden", "style"))
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 # Fixed values of HTML: elements without content, elements whose content is no text of the page, inline
 # elements, and what an opening tag closes.
@@ -135,6 +137,8 @@ def parse(page: str) -> Tree:
         if attributes and "=" in attributes or "hidden" in attributes:
             for key, a, b, c in ATTRIBUTE.findall(attributes):
                 value, key = a or b or c, key.lower()
+                if key not in ATTRIBUTES:
+                    continue
                 if key == "hidden" or key == "style" and HIDDEN.search(value):
                     hidden = True
                 elif key != "style":
