@@ -107,3 +107,8 @@ def test_vocabulary_of_tfidf_logreg_is_not_cut(spark, monkeypatch):
     monkeypatch.setattr(__spark_entry__.plans.classify, "tfidf_logistic", lambda *a, **b: models.append(fit(*a, **b)) or models[0])
     assert __spark_entry__.queries()["tfidf_logreg"](spark, FOLDER).count()
     assert max(len(stage.vocabulary) for stage in models[0].stages if hasattr(stage, "vocabulary")) > 1 << 12
+
+
+def test_surfaces_of_all_documents_are_resolved(spark, database):
+    got = {r["surface"] for r in __spark_entry__.queries()["surface_resolution"](spark, FOLDER).collect()}
+    assert got == {s for (s,) in database.execute("SELECT DISTINCT unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{3,})', 1)) FROM documents").fetchall()} and len(got) > 12

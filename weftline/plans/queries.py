@@ -403,6 +403,11 @@ def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return mentions.resolve(spark.createDataFrame([(x,) for x in ALIAS_CASES], "surface string"), spark).select("surface", "character")
 
 
+@query()
+def surface_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    return mentions.resolve(mentions.capitalised(lines(spark, sf)).select("surface").distinct(), spark).select("surface", "character")
+
+
 # -- labels
 
 
