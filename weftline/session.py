@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,38 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir`` and all executors share.
+
+    Only where none is set, and the driver runs the tasks itself, a temporary folder takes its place.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """The path of a table that is needed until the application ends, in the shared folder; it is deleted then."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table written in the shared folder and read again: nothing before it is computed or planned once more.
+
+    Unlike a checkpoint of rows it is columnar and compressed, a reader takes the columns that it needs, and no
+    constraints of the former plan are carried on, which loops would multiply.
+    """
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
