@@ -19,7 +19,7 @@ Format: Name, Fontname
 Format: Layer,Start,End,Style,Name,MarginL,MarginR,MarginV,Effect,Text
 Comment: 0,0:00:01.00,0:00:02.00,Default,,0000,0000,0000,,never
 Dialogue: 0,0:01:04.58,0:01:05.66,Default,,0000,0000,0000,,{\\i1}Hello!{\\i0}
-Dialogue: 0,0:00:05.95,0:00:11.99,Default,,0000,0000,0000,,A long time ago, a fox\\Nappeared.
+Dialogue: 0,0:00:05.95,0:00:11.99,Default,,0000,0000,0000,,The old bell rang,\\Nand nobody came.
 Dialogue: 0,0:00:12.00,0:00:13.00,Default,,0000,0000,0000,,{\\an8}
 """
 SRT = "1\r\n00:00:17,094 --> 00:00:18,512\r\n<i>C’mon!</i>\r\n\r\n2\r\n00:00:20.000 --> 00:00:21.500\r\ntwo\r\nlines\r\n"
@@ -31,7 +31,7 @@ def one(spark, column, value):
 
 def test_cleaning(spark):
     assert one(spark, X.clean_text, "“Hi”\\N {\\b1}there　<i>you</i>’s ") == "\"Hi\" there you's"
-    assert one(spark, X.clean_line, " (Laughing) Give it up. (Points) Losers!") == "Give it up. Losers!"
+    assert one(spark, X.clean_line, " (Sighs) Leave it. (Waves) Later!") == "Leave it. Later!"
     assert one(spark, X.lyric_norm, " La-La, don't 5 ") == "lala don't"
     assert [one(spark, X.word_count, v) for v in ("", "  ", "a", " a\tb  c", None)] == [0, 0, 1, 3, 0]
     assert one(spark, X.timecode, "1:02:03.50") == 3723.5
@@ -44,7 +44,7 @@ def test_labels_and_lists(spark):
     rows = spark.createDataFrame([(["Ninjutsu", "genjutsu x"], None), ([], "Taijutsu, Kenjutsu "), (["Kenjutsu"], "x"), (None, None)], "a array<string>, b string")
     classes = X.classes_of(F.col("a"), F.col("b"))
     assert [r[0] for r in rows.select(X.primary_label(classes, fixed.LABEL_PRIORITY)).collect()] == ["Genjutsu", "Taijutsu", None, None]
-    assert one(spark, lambda c: X.split_list(c, True), "Iruka Umino~anime, Hiruko (missing-nin), , Iruka Umino") == ["Iruka Umino", "Hiruko"]
+    assert one(spark, lambda c: X.split_list(c, True), "Mira Vell~film, Odo (a guest), , Mira Vell") == ["Mira Vell", "Odo"]
 
 
 def test_subtitles(spark, tmp_path):
@@ -52,7 +52,7 @@ def test_subtitles(spark, tmp_path):
     (tmp_path / "Show season 2 - 14.SRT").write_bytes(SRT.encode() + b"\r\n3\r\n00:00:30,000 --> 00:00:31,000\r\nbad \xff byte\r\n")
     (tmp_path / "notes.txt").write_text("x")
     rows = [tuple(r) for r in files.subtitles(spark, str(tmp_path)).orderBy("episode", "line_idx").select("episode", "season", "line_idx", "start", "end", "text").collect()]
-    assert rows == [(3, 1, 0, 5.95, 11.99, "A long time ago, a fox appeared."), (3, 1, 1, 64.58, 65.66, "Hello!"), (14, 2, 0, 17.094, 18.512, "C'mon!"), (14, 2, 1, 20.0, 21.5, "two lines"), (14, 2, 2, 30.0, 31.0, "bad � byte")]
+    assert rows == [(3, 1, 0, 5.95, 11.99, "The old bell rang, and nobody came."), (3, 1, 1, 64.58, 65.66, "Hello!"), (14, 2, 0, 17.094, 18.512, "C'mon!"), (14, 2, 1, 20.0, 21.5, "two lines"), (14, 2, 2, 30.0, 31.0, "bad � byte")]
     os.mkdir(tmp_path / "none")
     with pytest.raises(FileNotFoundError):
         files.subtitles(spark, str(tmp_path / "none"))
@@ -99,7 +99,7 @@ WIKI = """{{Infobox/Jutsu
 |jutsu classification=[[Ninjutsu]], [[Hiden|Secret]]
 |jutsu type=Fire Release<ref>x</ref>
 |jutsu rank=B
-|users=[[Iruka Umino]]~anime, Hiruko (missing-nin)<!-- no -->
+|users=[[Mira Vell]]~film, Odo (a guest)<!-- no -->, Mira Vell
 }}
 '''Name''' is a {{nihongo|thing|x{{y}}}}[[technique|skill]] of [[fire]].[[File:a.png|thumb|a [[b]]]]
 == Use ==
@@ -110,13 +110,12 @@ It burns &amp; glows.[[fr:Nom]]
 
 
 def test_wikitext(spark):
-    box = wikitext.infobox(WIKI)
-    assert box["classification"] == ["Ninjutsu", "Secret"] and box["nature"] == ["Fire Release"] and box["users"] == ["Iruka Umino", "Hiruko"] and box["rank"] == "B" and box["range"] is None
     assert wikitext.prose(WIKI) == "Name is a skill of fire. It burns & glows." and wikitext.infobox("no box") is None
     body = json.dumps({"query": {"pages": [{"pageid": 4, "title": "T", "revisions": [{"slots": {"main": {"content": WIKI}}}]}, {"pageid": 5, "title": "U"}]}})
     pages = wikitext.parse_pages(files.wiki_pages(spark.createDataFrame([(body,)], "value string")))
     row = wikitext.validated(wikitext.normalised(pages)).first()
-    assert row["page_id"] == 4 and row["users"] == ["Iruka Umino", "Hiruko"] and row["description"].startswith("Name is")
+    assert row["classification"] == ["Ninjutsu", "Secret"] and row["nature"] == ["Fire Release"] and row["hand_signs"] == [] and row["rank"] == "B" and row["range"] is None
+    assert row["page_id"] == 4 and row["users"] == ["Mira Vell", "Odo"] and row["description"].startswith("Name is")
     listing = json.dumps({"query": {"categorymembers": [{"title": f"t{i}"} for i in range(5)]}})
     assert sorted(r["titles"] for r in files.wiki_listing(spark.createDataFrame([(listing,)], "value string"), batch=3).collect()) == ["t0|t1|t2", "t3|t4"]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import classify, dialogue, graph, memory, mentions, network, themes
-from weftline.session import spread
+from weftline.session import cut, scratch, spread
 from weftline.sources import files, wikitext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,11 +315,11 @@ GRAPH = f"WITH RECURSIVE {FOUND}, {edge_sql('', 8)}, g AS MATERIALIZED (SELECT s
 
 
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cut(network.strongest(network.network(mention_rows(spark, sf)), 250).select("source", "target", "weight"))
+    return cut(network.strongest(network.network(mention_rows(spark, sf)), 250).select("source", "target", "weight"))
 
 
 def whole(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cut(network.network(mention_rows(spark, sf)).select("source", "target", "weight"))
+    return cut(network.network(mention_rows(spark, sf)).select("source", "target", "weight"))
 
 
 @query(f"""{GRAPH}, s AS MATERIALIZED (SELECT a, sum(w) AS s, (SELECT count(DISTINCT a) FROM e) AS n FROM e GROUP BY a),
