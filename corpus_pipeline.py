@@ -3,24 +3,28 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage before kept. Classifiers are
 fitted on a bounded sample of the labelled rows among ``docs``. All stages but the last return rows and
 columns of ``docs`` as they are; what a stage decides is which rows stay. Empty tables pass through. Where
-labelled rows of both labels are missing a classifier cannot be fitted and rejects nothing.
+labelled rows of both labels are missing a classifier cannot be fitted: it rejects nothing and logs so.
 """
 
 from __future__ import annotations
 
-import uuid
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, exact_dedup, minhash_dedup, packing, quality, toxicity
-from weftline.llm.common import checkpoint_dir, cut, fresh, table, without
+from weftline.llm.common import fresh, table, without
+from weftline.session import cut, scratch
+
+LOG = logging.getLogger("weftline.pipeline")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity network does not reject."""
     model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
     if not isinstance(model, toxicity.Network):
+        LOG.warning("toxicity: too few labelled documents to fit on, nothing is rejected")
         return docs
     scored = toxicity.score_toxicity(docs, model, keep_columns=True)
     return scored.filter(F.col(scored.columns[-1]) == 0).select(*_named(docs))
@@ -30,6 +34,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that their labelled neighbours vote for."""
     model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
     if not isinstance(model, quality.Model):
+        LOG.warning("quality: too few labelled documents to fit on, nothing is rejected")
         return docs
     scored = quality.score_quality(docs, model, keep_columns=True)
     return scored.filter(F.col(scored.columns[-1]) == 1).select(*_named(docs))
@@ -75,10 +80,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each result written as Parquet in the shared folder and read again."""
+    """The stages one after the other, each result written as Parquet in the shared folder and read again.
+
+    Results of stages are there until the application ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -1,8 +1,7 @@
-"""Table access, durable cut points and connected components shared by the operators."""
+"""Table access, free names and connected components shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,34 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set, and the
-    driver runs the tasks itself, a temporary folder takes its place.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder, set as ``cut`` describes."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not context.master.startswith("local[") and context.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="weftline-checkpoint-")
-        context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
-
-
 #: Keys that are broadcast at most; beyond, rows and keys meet by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
