@@ -95,11 +95,59 @@ def test_cosines_are_exact():
     projected /= np.linalg.norm(projected, axis=1, keepdims=True)
     for row, score in zip(projected, model.scores(probe)):
         cosine = np.array([row @ v for v in model.vectors])
-        near = np.argsort(-cosine)[: quality.NEIGHBOURS]
+        near = np.flatnonzero(np.round(cosine, 9) >= np.sort(np.round(cosine, 9))[-quality.NEIGHBOURS])
         weight = np.maximum(cosine[near], 0) ** 8 + 1e-9
         assert abs(score - (weight * model.labels[near]).sum() / weight.sum()) < 1e-9
 
 
+def test_ties_of_quality_all_vote_and_words_tell():
+    # 20 copies of a text, of which the sample holds both labels: whichever is looked at first, all vote
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    texts, marks = [], []
+    for k in range(200):
+        texts.append(" ".join(word("abcd" if k % 2 else "wxyz") if rng.random() < 0.5 else rng.choice(("goods", "plain") if k % 2 else ("spams", "offer")) for _ in range(60)))
+        marks.append(k % 2)
+    model = quality.fit(texts[:100] + ["same text of all"] * 20, marks[:100] + [1] * 5 + [0] * 15)
+    scores = model.scores([t.encode() for t in texts[100:]])
+    assert area(scores, marks[100:]) > 0.97  # alike in how they are written
+    assert abs(model.scores([b"same text of all"])[0] - 0.25) < 0.01
+
+
+def test_network_agrees_with_a_plain_one():
+    # gated recurrent units, attention and pooling, one window and one step after the other
+    net = toxicity.fit(*made(1, 24), rounds=1)
+    words = toxicity.read_words([t.encode() for t in made(5, 3)[0]])
+    at, _ = toxicity.windows(words, blank := len(words.hashes))
+    x, p, h = net.inputs(words)[0].astype(float), {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    got = net.forward((net.inputs(words)[0] @ net.p["w"] + net.p["b"]), at, blank)
+    for n in range(at.shape[1]):
+        states = np.zeros((len(at), 2 * h))
+        for way, order in ((0, range(len(at))), (1, range(len(at) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                a = (x[at[t, n]] @ p["w"] + p["b"])[way * 3 * h : (way + 1) * 3 * h]
+                b = state @ p["u"][way]
+                z, r = sigmoid(a[:h] + b[:h]), sigmoid(a[h : 2 * h] + b[h : 2 * h])
+                new = np.tanh(a[2 * h :] + r * (b[2 * h :] + p["c"][way]))
+                state = (1 - z) * new + z * state
+                states[t, way * h : (way + 1) * h] = state
+        real = [t for t in range(len(at)) if at[t, n] != blank]
+        score = np.array([np.tanh(states[t] @ p["att"] + p["att_b"]) @ p["att_v"] for t in real])
+        weight = np.exp(score) / np.exp(score).sum()
+        assert abs(sum(w * states[t] for w, t in zip(weight, real)) @ p["out"] + p["out_b"][0] - got[n]) < 1e-3
+
+
+def test_null_and_repeated_ids_are_scored(spark):
+    texts, marks = made(7, 60)
+    rows = spark.createDataFrame([(None, texts[0]), (None, None), (4, texts[1]), (4, texts[1]), (4, texts[2])], "doc_id long, text string")
+    for score, model in ((toxicity.score_toxicity, toxicity.fit(texts, marks, rounds=2)), (quality.score_quality, quality.fit(texts, marks))):
+        out = score(rows, model).collect()
+        assert len(out) == 5 and sum(r["doc_id"] is None for r in out) == 2
+        assert len({r["score"] for r in out if r["doc_id"] == 4}) <= 2
+
+
 def test_samples_leave_out_what_is_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}" if i != 3 else None) for i in range(400)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0) for i in range(400)] + [(None, 1), (7, None)], "doc_id long, toxic int")
@@ -115,6 +163,27 @@ def test_samples_leave_out_what_is_held_out(spark):
     assert labels.labelled_sample(docs, marks.limit(0), "toxic", 5, 0, 30, 100) == ([], [])
 
 
+def test_repeated_rows_give_the_same_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 7 else "long " * 50) for i in range(300)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    once = labels.labelled_sample(docs, marks, "toxic", 5, 0, 5, 100)
+    assert sorted(once[1]) == [0] * 5 + [1] * 5 and len(set(once[0])) == 10
+    for times in (2, 3):
+        again, more = docs, marks
+        for _ in range(times - 1):
+            again, more = again.union(docs), more.union(marks)
+        assert labels.labelled_sample(again, more, "toxic", 5, 0, 5, 100) == once
+    assert labels.labelled_sample(again, marks, "toxic", 5, 0, 5, 100) == once
+
+
+def test_a_label_without_fitting_texts_at_first_is_looked_for_further(spark):
+    # of label 1 only every fiftieth id has a text short enough
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 2 == 0 or i % 100 == 1 else "long " * 50) for i in range(1000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    texts, y = labels.labelled_sample(docs, marks, "toxic", 5, 0, 6, 100)
+    assert y.count(0) == 6 and y.count(1) == 6 and all(int(t.split()[1]) % 100 == 1 for t, m in zip(texts, y) if m)
+
+
 def test_models_without_two_labels_are_constants(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert toxicity.fit([], []) == quality.fit([], []) == 0.5 and toxicity.fit(["a"], [1]) == 1.0

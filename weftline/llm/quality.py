@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are trigrams of character classes (letters, capitals and digits fall into one class each, marks keep
-their own), and how often words repeat at short distance. Weighted term vectors of a bounded labelled sample
-are reduced by a singular value decomposition; the reduced sample, a matrix of fixed size, is broadcast.
-Every document is projected, its cosines to all labelled vectors are computed in blocks, exactly, and the
-labels of the nearest ones are weighed by similarity.
+Terms are of two blocks: hashed words and pairs of words, for what a text says, and trigrams of character
+classes (letters, capitals and digits fall into one class each, marks keep their own) with how often words
+repeat at short distance, for how it is written. Weighted term vectors of a bounded labelled sample are
+reduced by a singular value decomposition; the reduced sample, a matrix of fixed size, is broadcast. Every
+document is projected, its cosines to all labelled vectors are computed in blocks, exactly, and the labels of
+the nearest ones are weighed by similarity.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import fresh, table
 from weftline.llm.labels import held_out, labelled_sample
-from weftline.llm.shingles import word_hashes
+from weftline.llm.shingles import mix, word_hashes
 
 MODULUS, REST = 4, 2
 THRESHOLD = 0.7
 #: Bounds of the fitted sample, and so of what is broadcast: 2 * PER_CLASS vectors of RANK numbers.
 PER_CLASS, LONGEST = 1000, 30_000
 TERMS, RANK, NEIGHBOURS = 2048, 48, 15
+#: Terms of each block that are used: the most frequent ones of the sample. Buckets that words and pairs are hashed to.
+WORD_TERMS, BUCKETS = 1024, 1 << 18
+#: Share of the squared length of a vector that its words make up.
+WORD_SHARE = 0.25
 #: Bytes of text, and rows of the product, that are worked on at a time.
 BYTES, ROWS = 1 << 19, 256
 
@@ -41,10 +46,12 @@ _CLASS[_MARKS] = np.arange(7, 7 + len(_MARKS))
 CLASSES = 7 + len(_MARKS)
 #: Distances at which repeated words are terms, besides the class trigrams.
 REPEATS = (1, 2, 3, 4)
+#: Terms below this number say how a text is written, others what it says.
+WRITTEN = CLASSES**3 + len(REPEATS)
 
 
 def _raw_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of all trigrams and repeats of the texts, and the text of each."""
+    """Term numbers of all trigrams, repeats, words and pairs of the texts, and the text of each."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -58,6 +65,10 @@ def _raw_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         again = np.flatnonzero((words[distance:] == words[:-distance]) & (by[distance:] == by[:-distance])) if len(words) > distance else np.zeros(0, np.int64)
         terms.append(np.full(len(again), CLASSES**3 + k))
         of.append(by[again])
+    follows = by[1:] == by[:-1]
+    for hashes, owners in ((words, by), (mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])[follows], by[:-1][follows])):
+        terms.append(WRITTEN + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+        of.append(owners)
     return np.concatenate(terms), np.concatenate(of)
 
 
@@ -68,6 +79,7 @@ class Model:
     axes: np.ndarray  # columns by RANK
     vectors: np.ndarray  # labelled vectors, each of length 1
     labels: np.ndarray
+    written: int  # columns before this one are of the first block
 
     def weighted(self, texts: list[bytes]) -> np.ndarray:
         """Term vectors (texts by columns) of length 1, or of length 0 where no term is known."""
@@ -77,21 +89,28 @@ class Model:
         width = len(self.weights)
         counts = np.bincount(of[known] * width + column[known], minlength=len(texts) * width).reshape(len(texts), width)
         # shares, not counts: a text's length is no term of it
-        total = np.maximum(counts.sum(axis=1, keepdims=True), 1)
-        weighted = np.sqrt(counts / total) * self.weights
+        parts = []
+        for block, share in ((slice(0, self.written), 1 - WORD_SHARE), (slice(self.written, None), WORD_SHARE)):
+            part = np.sqrt(counts[:, block] / np.maximum(counts[:, block].sum(axis=1, keepdims=True), 1)) * self.weights[block]
+            parts.append(np.sqrt(share) * part / np.maximum(np.sqrt((part**2).sum(axis=1, keepdims=True)), 1e-12))
+        weighted = np.concatenate(parts, axis=1)
         return weighted / np.maximum(np.sqrt((weighted**2).sum(axis=1, keepdims=True)), 1e-12)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Shares of label 1 among the nearest labelled vectors, by similarity; 0 for texts without known terms."""
+        """Shares of label 1 among the nearest labelled vectors, by similarity; 0 for texts without known terms.
+
+        Cosines that agree to nine digits are ties: all that tie with the last of the nearest vote as well.
+        """
         out = np.zeros(len(texts))
         for at in range(0, len(texts), ROWS):
             projected = self.weighted(texts[at : at + ROWS]) @ self.axes
             length = np.sqrt((projected**2).sum(axis=1))
             cosine = (projected / np.maximum(length, 1e-12)[:, None]) @ self.vectors.T
+            cosine = np.round(cosine, 9)
             k = min(NEIGHBOURS, len(self.labels))
-            nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, nearest, axis=1), 0) ** 8 + 1e-9
-            share = (weight * self.labels[nearest]).sum(axis=1) / weight.sum(axis=1)
+            last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+            weight = np.where(cosine >= last, np.maximum(cosine, 0) ** 8 + 1e-9, 0)
+            share = weight @ self.labels / weight.sum(axis=1)
             out[at : at + ROWS] = np.where(length > 1e-9, share, 0.0)
         return np.clip(out, 0, 1)
 
@@ -102,17 +121,27 @@ def fit(texts: list[str], labels: list[int]) -> Model | float:
     if not 0 < y.sum() < len(y):
         return float(y.mean()) if len(y) else 0.5
     raw = [t.encode("utf-8", "replace") for t in texts]
-    spread = np.zeros(CLASSES**3 + len(REPEATS), dtype=np.int64)
+    spread = np.zeros(WRITTEN + BUCKETS, dtype=np.int64)
     for at in range(0, len(raw), 64):
         terms, of = _raw_terms(raw[at : at + 64])
         spread += np.bincount(np.unique(of * len(spread) + terms) % len(spread), minlength=len(spread))
-    used = np.sort(np.argsort(-spread, kind="stable")[: min(TERMS, (spread > 1).sum() or 1)])
+    used = []
+    for first, end, most in ((0, WRITTEN, TERMS), (WRITTEN, len(spread), WORD_TERMS)):
+        common = np.flatnonzero(spread[first:end] > 1) + first
+        used.append(np.sort(common[np.argsort(-spread[common], kind="stable")[:most]]))
+    written, used = len(used[0]), np.concatenate(used)
+    used = used if len(used) else np.array([int(spread.argmax())])
     columns = np.full(len(spread), -1)
     columns[used] = np.arange(len(used))
-    model = Model(columns, np.log((1 + len(raw)) / (1 + spread[used])) + 0.3, np.zeros((len(used), 0)), np.zeros((0, 0)), y)
+    model = Model(columns, np.log((1 + len(raw)) / (1 + spread[used])) + 0.3, np.zeros((len(used), 0)), np.zeros((0, 0)), y, written)
     matrix = np.concatenate([model.weighted(raw[at : at + ROWS]) for at in range(0, len(raw), ROWS)])
-    values, axes = np.linalg.eigh(matrix.T @ matrix)
-    model.axes = axes[:, np.argsort(-values)[: min(RANK, len(used), len(raw))]]
+    # axes from the products of texts or of terms, whichever are fewer
+    fewer = matrix if len(matrix) < matrix.shape[1] else matrix.T
+    values, axes = np.linalg.eigh(fewer @ fewer.T)
+    best = np.argsort(-values)[: min(RANK, len(used), len(raw))]
+    axes = axes[:, best[values[best] > 1e-9]]
+    axes = matrix.T @ axes if fewer is matrix else axes
+    model.axes = axes / np.sqrt((axes**2).sum(axis=0))
     vectors = matrix @ model.axes
     model.vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-12)
     return model
@@ -123,7 +152,8 @@ def score_quality(docs: DataFrame, model: Model | float, id_col: str = "doc_id",
     and, last, the two under names that are free there.
 
     Whole texts are scored; null texts count as empty. Texts without a known term (empty ones above all)
-    score 0. The model is broadcast and bounded by its parameters; nothing is shuffled.
+    score 0. Rows are independent: ids may be null or repeat, and an empty table gives an empty table. The
+    model is broadcast and bounded by its parameters; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -303,7 +303,8 @@ def score_toxicity(docs: DataFrame, model: Network | float, id_col: str = "doc_i
     and, last, the two under names that are free there.
 
     Whole texts are scored, in overlapping windows; null texts count as empty, and texts without words score
-    as one blank window does. The model (some MB) is broadcast; nothing is shuffled.
+    as one blank window does. Rows are independent: ids may be null or repeat, and an empty table gives an empty
+    table. The model (some MB) is broadcast; nothing is shuffled.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
