@@ -76,3 +76,86 @@ def test_rows(spark, model):
 def test_words_inside_values_hide_nothing(attributes):
     tree = H.parse(f"<div><p {attributes}>seen</p><p class=\"a\" hidden>unseen</p><p title='x' style=\"display: none\">unseen</p></div>")
     assert "".join(tree.text).split() == ["seen"]
+
+
+@pytest.mark.parametrize(
+    ("page", "seen"),
+    [
+        ('<p title="a hidden place">seen</p>', "seen"),
+        ('<p data-id="id hidden x">seen</p>', "seen"),
+        ('<p hidden-print="1">seen</p>', "seen"),
+        ('<p class="x>seen too</p><p id="y">and this</p>', "seen too and this"),
+        ("<p class='x>seen</p>", "seen"),
+        ('<p title="a > b" class="c">seen</p>', "seen"),
+        ("<p data-x='<p class=\"y\">no</p>'>seen</p>", "seen"),
+        ("<object><object>no</object>no</object>seen", "seen"),
+        ("<template><template>no</template>no</template>seen", "seen"),
+        ("<svg><svg><text>no</text></svg><text>no</text></svg>seen", "seen"),
+        ("<svg><path><p>seen</p>", "seen"),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p>", "where x=1 holds"),
+        ("<div hidden><div>no</div>no</div>seen", "seen"),
+        ("<section><div hidden>no</section>seen", "seen"),
+        ("<head><title>no</title><p>seen", "seen"),
+        ("<head><meta x></head><body>seen", "seen"),
+        ("<p>one<img src=a>two<wbr>three<br>four</p>", "onetwothree four"),
+        ("a < b <c and <i>d", "a < b <c and d"),
+        ("<p>kept</p><p class='cut", "kept"),
+        ("<!-->seen<!-- no --> <?no?><!no>too</>", "seen too"),
+    ],
+)
+def test_texts_of_broken_marks(page, seen):
+    tree = H.parse(page)
+    out = "".join((" " if breaks else "") + text for text, breaks in zip(tree.text[1:], tree.breaks[1:]))
+    assert " ".join(out.split()) == seen
+
+
+@pytest.mark.parametrize("part", ['<a b="', "<div hidden>", "<svg>", "<b>", "</i>", "<a b='x>", "<", "<li>", "<!--", "a=", "&", "<p x='\">"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    H.parse(part * 1000)
+    began = time.perf_counter()
+    H.parse(part * (300_000 // len(part)) + "'z")
+    assert time.perf_counter() - began < 2  # quadratic time would be minutes
+
+
+BODY = "The council met on Monday to talk about the bridge. Nobody had expected the vote to be so close, and the mayor said so."
+MORE = "Work begins in spring, once the river is low enough. Until then, buses will use the road along the mill."
+NAV, FOOT = '<nav><a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a></nav>', "<footer><p>&copy; The Valley Post. All rights reserved.</p></footer>"
+LAYOUTS = [
+    f"{NAV}<article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article>{FOOT}",
+    f"{NAV}<main><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></main>{FOOT}",
+    f'<div class="header"><a href="/">Post</a></div><div class="content"><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></div><div class="footer">Contact us</div>',
+    f'<div id="nav"><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></div><div id="main"><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></div>{FOOT}',
+    f'<header><h2><a href="/">The Post</a></h2>{NAV}</header><main><article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article></main>{FOOT}',
+    f'{NAV}<div class="cookie">We use cookies. <a href="#">Accept</a></div><article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article>{FOOT}',
+    f'{NAV}<article><h1>Bridge vote</h1><p>{BODY}</p><div class="ad">Buy boots now</div><p>{MORE}</p></article>{FOOT}',
+    f'{NAV}<article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article><aside><h3>Most read</h3><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></aside>{FOOT}',
+    f'{NAV}<article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article><section class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b><p>About time too, I say.</p></div></section>{FOOT}',
+    f'<form><label>Search</label><input name="q"><button>Go</button></form>{NAV}<article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article>{FOOT}',
+    f'{NAV}<table><tr><td><aside class="sidebar"><a href="/x">Links</a></aside></td><td><article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article></td></tr></table>{FOOT}',
+    f'{NAV}<article><h1>Bridge vote<p>{BODY}<p>{MORE}</article>{FOOT}',
+    f'{NAV}<article><h1>Bridge <em>vote</em></h1><p>{BODY[:20]}<a href="/c">{BODY[20:40]}</a>{BODY[40:]}</p><p>{MORE}</p></article>{FOOT}',
+    f'{NAV}<ARTICLE CLASS="Post"><H1>Bridge vote</H1><P>{BODY}</P><P>{MORE}</P></ARTICLE>{FOOT}',
+    f'{NAV}<article>\n\t<h1>\nBridge\n vote </h1>\n<!-- ad --><p>{BODY}</p>\n<script>if (a < b) document.write("<p>no</p>")</script><p>{MORE}</p></article>{FOOT}',
+    f'{NAV}<div class="page"><div class="wrap"><article><h1>Bridge vote</h1><p>{BODY}</p><blockquote><p>{MORE}</p></blockquote></article></div></div>{FOOT}',
+    f'<div class="breadcrumbs"><a href="/">Home</a> | <a href="/n">News</a></div><article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p><div class="share"><a href="#">Share</a> <a href="#">Tweet</a></div></article>{FOOT}',
+    f'{NAV}<main role="main"><section><h1>Bridge vote</h1><p>{BODY}</p></section><section><p>{MORE}</p></section></main>{FOOT}',
+    f'{NAV}<article><h1>Bridge vote</h1><p title="the hidden truth" data-x="<p>no</p>">{BODY}</p><p>{MORE}</p></article><div hidden>Sign in to read</div>{FOOT}',
+    f'{NAV}<article><h1>Bridge vote</h1><p>{BODY}</p><p>{MORE}</p></article><div class="related"><h3>Related</h3><ul><li><a href="/1">Mill road closed</a></li><li><a href="/2">River low</a></li></ul></div><div class="newsletter">Get our newsletter. <a href="#">Sign up</a></div>{FOOT}',
+    f'<body>{NAV}<article><header><h1>Bridge vote</h1></header><p>{BODY}</p><ul><li>{MORE}</li></ul></article>',
+]
+
+
+@pytest.mark.parametrize("layout", range(len(LAYOUTS)))
+def test_article_of_hand_made_layouts(model, layout):
+    assert text(LAYOUTS[layout], model) == f"Bridge vote {BODY} {MORE}"
+
+
+def test_clashing_columns_and_long_pages(spark, model):
+    long = "<article>" + "<p>Some words of a paragraph here.</p>" * 150_000 + "</article>"
+    rows = [(1, "u", long, "x", 7), (1, "u", long, "y", 8), (2, None, "<article><p>Short words of a text, here.</p></article>", "z", None)]
+    made = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    out = H.main_text(made, model).collect()
+    assert sorted(r["n_chars"] for r in out)[1:] == [len("Some words of a paragraph here. ") * 150_000 - 1] * 2
+    assert {r["url"] for r in out} == {"u", None}

@@ -13,7 +13,7 @@ import functools
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,20 +24,33 @@ from weftline.llm.common import table
 
 # -- pages to trees
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag whose quoted values hold no angle brackets; most tags are read by this alone.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^\"'<>]|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+BEGINS, NAME = re.compile(r"<(?=[a-zA-Z/!?])"), re.compile(r"</?([a-zA-Z][^\s/<>]*+)")
 #: One attribute after the other, so that words inside quoted values are not taken for names; those that are looked at.
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 ATTRIBUTES = frozenset(("class", "id", "role", "aria-label", "hidden", "style"))
+GAP, KEY, EQUALS, BARE = re.compile(r"[\s/]*+"), re.compile(r"=?[^\s/>=<]*+"), re.compile(r"\s*+=\s*+"), re.compile(r"[^\s>]*+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-# Fixed values of HTML: elements without content, elements whose content is no text of the page, inline
-# elements, and what an opening tag closes.
+#: Elements inside one another at most, as in browsers; deeper ones are children of the last.
+DEEPEST = 512
+# Fixed values of HTML: elements without content, elements whose content is no text of the page (the second
+# row: up to their end tag it holds no elements), what may stand in a head, inline elements, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style template noscript head title iframe object svg math select textarea button datalist canvas audio video".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+DROPPED = frozenset("template head object svg annotation annotation-xml select button datalist canvas audio video".split())
+RAW = frozenset("script style textarea title iframe noscript noframes noembed xmp".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
+P_SCOPE = frozenset("table button article aside section main div td li footer header nav form blockquote figure".split())
+SCOPE = CLOSES_P | {"li", "td", "th"}
+#: Names that begin a tag even where its bracket is missing.
+BREAKS = CLOSES_P | frozenset("html head body title noframes li dt dd tr td th tbody thead tfoot caption option optgroup summary legend br".split())  # end a block; others flow
+KNOWN = VOID | DROPPED | RAW | INLINE | BREAKS | {"math"}
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
+
 TAGS = "article main section div p heading list item a nav header footer aside form table cell quote inline body text other".split()
 TAG_OF = {"html": "body", "body": "body", "ul": "list", "ol": "list", "dl": "list", "menu": "list", "li": "item", "dt": "item", "dd": "item", "tbody": "table", "tr": "table", "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figure": "quote", "figcaption": "quote", "fieldset": "form", "input": "form", **{f"h{k}": "heading" for k in range(1, 7)}, **dict.fromkeys(INLINE - {"a"}, "inline")}
 TAG_OF |= {name: name for name in TAGS if name not in ("heading", "list", "item", "cell", "quote", "inline", "text", "other")}
@@ -73,97 +86,180 @@ class Tree:
     breaks: list[bool]
 
 
+class _Open:
+    """The open elements of a page. Finding and closing them takes no walk along the stack."""
+
+    def __init__(self) -> None:
+        self.names, self.nodes, self.hides = [""], [0], [False]
+        self.places: dict[str, list[int]] = {}
+        self.hiding = 0
+
+    def push(self, name: str, node: int, hides: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name), self.nodes.append(node), self.hides.append(hides)
+        self.hiding += hides
+
+    def place(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def close(self, names: Iterable[str], until: Iterable[str] = ()) -> None:
+        """Close the last open one of ``names``, and all in it, unless one of ``until`` is open inside it."""
+        at, places = 0, self.places
+        for name in names:
+            if (held := places.get(name)) and held[-1] > at:
+                at = held[-1]
+        if at:
+            for name in until:
+                if (held := places.get(name)) and held[-1] > at:
+                    return
+            while len(self.names) > at:
+                places[self.names.pop()].pop()
+                self.nodes.pop()
+                self.hiding -= self.hides.pop()
+
+
+def _odd_attributes(page: str, at: int, find) -> tuple[int, bool, list[tuple[str, str]]]:
+    """The end of a tag with brackets in its values or quotes left open, whether it is ended by its bracket, and its attributes.
+
+    A quote is left open if it is never closed, or if a bracket stands before a closing quote that more text
+    follows at once; the tag then ends at the first bracket.
+    """
+    attributes = []
+    while True:
+        at = GAP.match(page, at).end()
+        if at == len(page) or page[at] == "<":
+            return at, False, attributes
+        if page[at] == ">":
+            return at + 1, True, attributes
+        key = KEY.match(page, at)
+        at, value = key.end(), ""
+        if equals := EQUALS.match(page, at):
+            at = equals.end()
+            if (quote := page[at : at + 1]) in ('"', "'"):
+                closed, bracket = find(quote, at + 1), find(">", at + 1)
+                whole = closed < len(page) and (closed < bracket or page[closed + 1 : closed + 2] in " \t\r\n\f/>")
+                end = closed if whole else bracket
+                value, at = page[at + 1 : end], end + whole
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare.group(), bare.end()
+        attributes.append((key.group(), value))
+
+
+def _hints(attributes: Iterable[tuple[str, str]]) -> tuple[int, bool]:
+    """What words of names and roles hint at, and whether the element is hidden."""
+    hints, hidden = 0, False
+    for key, value in attributes:
+        key = key.lower()
+        if key not in ATTRIBUTES:
+            continue
+        if key == "hidden" or key == "style" and HIDDEN.search(value):
+            hidden = True
+        elif key != "style":
+            for word in WORD.findall(value.lower()):
+                if word in HINT_OF:
+                    hints |= 1 << HINT_OF[word]
+    return hints, hidden
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page, as browsers nest it in the cases that matter for text; never fails."""
+    """The tree of a page, as browsers nest it in the cases that matter for text; never fails, in linear time.
+
+    What is hidden, or no text of the page, is on the stack of open elements until it is closed like any
+    other, so elements nest in it, and texts and elements in it are left out.
+    """
     tree = Tree([-1], [TAGS.index("body")], [0], [""], [True])
-    stack: list[tuple[str, int]] = [("", 0)]
+    stack = _Open()
     fresh = True  # a block begins with the next text
-    at = 0
-    skip_until = None
     text_tag = TAGS.index("text")
+    near: dict[str, int] = {}
+
+    def find(mark: str, start: int) -> int:
+        """The next place of a mark, the page's end for none; a place found is kept, as tags may ask for it again."""
+        if near.get(mark, -1) < start:
+            found = page.find(mark, start)
+            near[mark] = found if found >= 0 else len(page)
+        return near[mark]
 
     def add_text(raw: str) -> None:
         nonlocal fresh
         if not raw:
             return
+        if stack.names[-1] == "head" and not raw.isspace():
+            stack.close(("head",))
+        if stack.hiding:
+            return
         if "&" in raw:
             raw = html.unescape(raw)
-        tree.parent.append(stack[-1][1]), tree.tag.append(text_tag), tree.hints.append(0), tree.text.append(raw), tree.breaks.append(fresh)
+        tree.parent.append(stack.nodes[-1]), tree.tag.append(text_tag), tree.hints.append(0), tree.text.append(raw), tree.breaks.append(fresh)
         if not raw.isspace():
             fresh = False
 
-    def close(names: set[str] | frozenset[str], until: set[str] | frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
-
-    for found in TOKEN.finditer(page):
-        if found.start() < at:
-            continue
-        if found.start() > at:
-            add_text(page[at : found.start()])
-        at = found.end()
-        name = found.group(2)
-        if name is None:
+    at = mark = 0  # text that is not added yet begins at ``at``
+    while begins := BEGINS.search(page, mark):
+        mark, kind = begins.start(), page[begins.end()]
+        if kind in ("!", "?"):
+            add_text(page[at:mark])
+            if page.startswith("<!--", mark):
+                end = page.find("-->", mark + 2)  # "<!-->" is a comment too
+                at = mark = end + 3 if end >= 0 else len(page)
+            else:
+                at = mark = min(find(">", mark) + 1, len(page))
             continue
-        name = name.lower()
-        block = name not in INLINE
-        fresh |= block
-        if found.group(1):
+        found = TAG.match(page, mark)
+        if found:
+            closing, name, end = found.group(1), found.group(2).lower(), found.end()
+            written = found.group(3)
+            attributes = ((k, a or b or c) for k, a, b, c in ATTRIBUTE.findall(written)) if "=" in written or "idden" in written.lower() else ()
+            alone = written.rstrip().endswith("/")
+        else:
+            begun = NAME.match(page, mark)
+            if not begun:  # an end tag of nothing
+                add_text(page[at:mark])
+                at = mark = min(find(">", mark) + 1, len(page))
+                continue
+            closing, name = kind == "/", begun.group(1).lower()
+            end, ended, attributes = _odd_attributes(page, begun.end(), find)
+            if not ended and name not in KNOWN:
+                mark += 1
+                continue
+            alone = ended and page[end - 2] == "/"
+        add_text(page[at:mark])
+        at = mark = end
+        fresh |= name in BREAKS
+        if name not in IN_HEAD and name != "head" and stack.place("head"):
+            stack.close(("head",))
+        if closing:
             if name not in VOID:
-                scope = frozenset() if block else CLOSES_P | {"li", "td", "th"}  # an inline end tag stays inside its block
-                close({name}, scope)
+                stack.close((name,), () if name not in INLINE else SCOPE)  # an inline end tag stays inside its block
             continue
-        if name in DROPPED:
-            if name in RAW or name != "head":
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (len(page) if name in RAW else at)
-            else:
-                end = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-                at = (end.end() if end.group().startswith("</") else end.start()) if end else at
+        if name in RAW:
+            if not (alone and stack.place("svg")):
+                ends = RAW_END[name].search(page, at)
+                at = mark = ends.end() if ends else len(page)
             continue
         if name in VOID:
             continue
         if name in CLOSES_P:
-            close({"p"}, {"table", "button", "article", "aside", "section", "main", "div", "td", "li", "footer", "header", "nav", "form", "blockquote", "figure"})
+            if stack.place("svg"):  # such elements end a drawing that was left open
+                stack.close(("svg",), ("foreignobject",))
+            stack.close(("p",), P_SCOPE)
         if name in CLOSES:
-            close(*CLOSES[name])
-        hints = 0
-        hidden = False
-        attributes = found.group(3)
-        if attributes and "=" in attributes or "hidden" in attributes:
-            for key, a, b, c in ATTRIBUTE.findall(attributes):
-                value, key = a or b or c, key.lower()
-                if key not in ATTRIBUTES:
-                    continue
-                if key == "hidden" or key == "style" and HIDDEN.search(value):
-                    hidden = True
-                elif key != "style":
-                    for word in WORD.findall(value.lower()):
-                        if word in HINT_OF:
-                            hints |= 1 << HINT_OF[word]
-        if hidden and not attributes.rstrip().endswith("/"):
-            at = _end_of(name, page, at)
+            stack.close(*CLOSES[name])
+        hints, hidden = _hints(attributes)
+        hidden |= name in DROPPED
+        if alone and (name in ("svg", "math") or stack.place("svg") or stack.place("math")):
             continue
-        tree.parent.append(stack[-1][1]), tree.tag.append(TAGS.index(TAG_OF.get(name, "other"))), tree.hints.append(hints), tree.text.append(""), tree.breaks.append(False)
-        stack.append((name, len(tree.parent) - 1))
+        if hidden or stack.hiding or len(stack.nodes) > DEEPEST:
+            stack.push(name, stack.nodes[-1], hidden)
+            continue
+        tree.parent.append(stack.nodes[-1]), tree.tag.append(TAGS.index(TAG_OF.get(name, "other"))), tree.hints.append(hints), tree.text.append(""), tree.breaks.append(False)
+        stack.push(name, len(tree.parent) - 1, False)
     add_text(page[at:])
     return tree
 
 
-def _end_of(name: str, page: str, at: int) -> int:
-    """The place after the end tag that matches an open element."""
-    depth = 1
-    for found in re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if found.group(1) else 1
-        if not depth:
-            return found.end()
-    return at
-
-
 @dataclasses.dataclass
 class Forest:
     """Trees of several pages as arrays: features, parents and levels."""
@@ -287,17 +383,17 @@ def fit(pages: list[tuple[Tree, np.ndarray]], steps: int = 200, decay: float = 0
 def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
     """``n`` made-up pages with the texts of their content, in order: layouts, names and wordings vary freely."""
     rng = random.Random(seed)
-    letters = "etaoinshrdlucmfwypvbgkjqxz"
+    letters, marks = "etaoinshrdlucmfwypvbgkjqxz", "!#$%()*+,-./:;=?@[]^_{|}~"
 
     def word() -> str:
         w = "".join(rng.choice(letters[: rng.choice((8, 16, 26))]) for _ in range(rng.randint(1, 11)))
-        return w + rng.choice(("***", "$$$", "!!", "###", "%%%")) if rng.random() < noise else w.upper() if rng.random() < noise / 2 else w
+        return w + rng.choice(marks) * rng.randint(1, 4) if rng.random() < noise else w.upper() if rng.random() < noise / 2 else w
 
     def prose(low: int, high: int) -> str:
         out = []
         for _ in range(rng.randint(low, high)):
             w = word()
-            out.append(w + rng.choice((".", ".", ",", "!", "?", ";", " |")) if rng.random() < 0.15 else w)
+            out.append(w + rng.choice((".", ".", ",", "!", "?", ";", f" {rng.choice(marks)}")) if rng.random() < 0.15 else w)
         return " ".join(out).capitalize() + rng.choice((".", ".", ".", "", "!"))
 
     def name(kind: str) -> str:
@@ -367,6 +463,11 @@ def labelled_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
                 parts.append(boiler(rng.choice(("ad", "share", "more", "notice"))))
         if rng.random() < 0.15:
             parts.append(boiler("comment"))
+        if parts and rng.random() < 0.15:  # sections of the article
+            cuts = sorted(rng.sample(range(1, len(parts)), min(len(parts) - 1, rng.randint(1, 3))))
+            parts = [f"<{(t := rng.choice(('section', 'section', 'div')))}>{''.join(parts[a:b])}</{t}>" for a, b in zip([0, *cuts], [*cuts, len(parts)])]
+        elif parts[0].startswith("<h1>") and rng.random() < 0.2:
+            parts[0] = f"<header>{parts[0]}</header>"
         tag = rng.choice(("article", "article", "article", "main", "div", "section"))
         label = name("content")
         while not label and tag in ("div", "section"):
@@ -402,6 +503,8 @@ def labelled_tree(page: str, kept: list[str]) -> tuple[Tree, np.ndarray]:
 
 
 PAGES, SEED = 300, 29
+#: Pages, and bytes of them, whose trees are held at a time.
+ROWS, BYTES = 100, 1 << 22
 
 
 @functools.lru_cache(maxsize=2)
@@ -433,18 +536,32 @@ def extract(pages: list[str], model: TreeModel) -> list[list[str]]:
     return out
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ROWS pages and, unless one page is longer, BYTES of them."""
+    sizes = [len(page) if page is not None else 0 for page in batch.column(2).cast(pa.binary()).to_pylist()]
+    first = size = 0
+    for k, more in enumerate(sizes):
+        if k > first and (k - first == ROWS or size + more > BYTES):
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += more
+    if len(sizes):
+        yield batch.slice(first)
+
+
 def main_text(pages: DataFrame, model: TreeModel | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars, n_blocks.
 
-    The whole page is read. Null and empty pages, and pages without main text, give an empty text. Ids and
-    addresses may be null or repeat. Rows are independent: nothing is shuffled; the model has some hundred numbers.
+    The whole page is read, in time and memory that grow with its length alone, however broken it is. Null and
+    empty pages, and pages without main text, give an empty text. Ids and addresses may be null or repeat; each
+    row gives one. An empty table gives an empty table. Other columns of ``pages`` are not read, so their names
+    cannot clash. Rows are independent: nothing is shuffled; the model has some hundred numbers.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                some = batch.slice(at, 100)
+            for some in _slices(batch):
                 blocks = extract([page or "" for page in some.column(2).to_pylist()], shared.value)
                 texts = [" ".join(b) for b in blocks]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, blocks), pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks"])
