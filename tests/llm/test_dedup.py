@@ -111,12 +111,7 @@ def test_near_duplicates_of_null_ids_repeated_ids_and_nothing(spark):
 
 
 def test_pairs_at_the_threshold_are_found_in_crowds(spark):
-    # 50 words in all texts, 10 in both of a pair and 10 of its own: 60 of 80 in a pair, 50 of 90 in others
-    crowd, rows = [f"all{i}" for i in range(50)], []
-    for pair in range(200):
-        for own in (0, 1):
-            words = [*crowd, *(f"p{pair}x{i}" for i in range(10)), *(f"o{pair}x{own}x{i}" for i in range(10))]
-            rows.append((2 * pair + own, " ".join(words), "", 0))
+    rows = [(i, text, "", 0) for i, text in at_threshold(200)]
     out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs(spark, rows), words=1, leaf=4).collect()}
     missed = [pair for pair in range(200) if out[2 * pair + 1] != 2 * pair]
     assert not missed and all(out[2 * pair] == 2 * pair for pair in range(200))
@@ -124,7 +119,37 @@ def test_pairs_at_the_threshold_are_found_in_crowds(spark):
 
 def test_trees_follow_the_deepest_branching():
     wanted = [minhash_dedup.trees_for(0.75, n) for n in range(10)]
-    assert wanted == sorted(wanted) and wanted[0] <= 8 < wanted[1] and wanted[9] > 80
+    assert wanted == sorted(wanted) and wanted[0] <= 8 < wanted[1] and 30 < wanted[9] < 80
+    assert 0.75 * (1 + minhash_dedup.twice(0.75)) >= 1  # a pair at the threshold does not die out
+
+
+def at_threshold(n):
+    """Pairs with 60 of 80 words in common, 50 of which are in all texts: 60 / 80 in a pair, 50 / 90 in others."""
+    crowd = [f"all{i}" for i in range(50)]
+    return [(2 * k + own, " ".join([*crowd, *(f"p{k}x{i}" for i in range(10)), *(f"o{k}x{own}x{i}" for i in range(10))])) for k in range(n) for own in (0, 1)]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_recall_of_trees_by_depth(spark, depth):
+    n = 150
+    rows = spark.createDataFrame(at_threshold(n), "doc_id long, text string")
+    described = minhash_dedup.describe(rows, 1).select(F.col("doc_id").alias("class"), F.col("doc_id").alias("rep"), "minwise").cache()
+    trees = minhash_dedup.trees_for(0.75, depth - 1)
+    nodes, branchings, _ = minhash_dedup.leaves(described, range(trees), 2, depth)
+    met = {(a, b) for r in nodes.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("x")).collect() for a in r["x"] if a % 2 == 0 for b in r["x"] if b == a + 1}
+    print(f"depth {depth}: {branchings} branchings, {trees} trees, recall {len(met) / n:.3f}")
+    assert branchings == depth - 1 and len(met) >= 0.95 * n
+
+
+@pytest.mark.parametrize(("nodes", "ids"), [(0, 0), (30, 0), (100_000, 1_000_000)])
+def test_what_is_not_broadcast_gives_the_same(spark, monkeypatch, nodes, ids):
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_NODES", nodes)
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_IDS", ids)
+    texts = made_texts(8)
+    sets = [reference_shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs(spark, [(i, t, "", 0) for i, t in enumerate(texts)]), leaf=8).collect()}
+    assert out == group_minima(range(len(texts)), links)
 
 
 @pytest.mark.parametrize("at_once", [0, 1000])

@@ -4,8 +4,9 @@ A set of word shingles is represented by minwise values. Each of several indepen
 coordinate: documents with the same minwise value there share a node. Nodes of more than ``leaf`` documents
 branch again, on one or two coordinates that the node's own hash selects, until they are small or ``depth``
 is reached. Pairs inside leaves are compared; a pair of similarity s stays together with chance s for each
-step, and repeated trees bring the recall to what is wanted: where nodes branched, classes of large nodes get
-as many more trees as the deepest branching asks for (``trees_for``).
+child, and a node has 1/s children on average, so that a pair at the threshold does not die out on the way.
+Repeated trees bring the recall to what is wanted: where nodes branched, classes of large nodes get as many
+more trees as the deepest branching asks for (``trees_for``).
 
 No group is expanded into all its pairs, and no link between components is lost:
 
@@ -22,16 +23,17 @@ No group is expanded into all its pairs, and no link between components is lost:
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, cut, table
+from weftline.llm.common import components, table
 from weftline.llm.shingles import WORDS, shingle_sets
+from weftline.session import cut
 
 #: Minwise values that trees choose from, and bytes of a sketch (one for each of as many minwise values).
 COORDINATES, SKETCH = 64, 128
@@ -39,10 +41,17 @@ _FACTORS = np.random.default_rng(11).integers(1 << 62, 1 << 63, SKETCH, dtype=np
 #: Pairs whose estimate is further below the threshold are dropped before full sets are compared. An
 #: estimate from 128 values has a standard deviation of 0.04 at most near 0.75, so this is over four of them.
 MARGIN = 0.17
-#: Share of nodes that branch on two coordinates, and wanted chance that a pair at the threshold meets in a leaf.
-TWICE, RECALL = 0.25, 0.999
+#: Wanted chance that a pair at the threshold meets in a leaf.
+RECALL = 0.999
 #: Ids of candidates that are broadcast at most (16 bytes each); beyond, ids and texts meet by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes that are broadcast at most (some 40 bytes each), and parts of a node's rows where even large nodes are more.
+BROADCAST_NODES, SALTS = 100_000, 8
+
+
+def twice(similarity: float) -> float:
+    """Share of nodes that branch on two coordinates, for 1/similarity children on average (in 1024ths, rounded up)."""
+    return min(1024, math.ceil(1024 * (1 / similarity - 1))) / 1024
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
@@ -83,14 +92,16 @@ def trees_for(similarity: float, branchings: int, recall: float = RECALL) -> int
     Trees choose from the same COORDINATES values, of which a pair agrees on a binomial number.
     """
 
+    two = twice(similarity)
+
     def missed(share: float) -> float:
         below = 0.0
         for _ in range(branchings):
             child = 1 - share + share * below
-            below = (1 - TWICE) * child + TWICE * child**2
+            below = (1 - two) * child + two * child**2
         return 1 - share + share * below
 
-    chances = [comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    chances = [math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
     misses = [missed(k / COORDINATES) for k in range(COORDINATES + 1)]
     trees = 1
     while sum(c * m**trees for c, m in zip(chances, misses)) > 1 - recall:
@@ -98,14 +109,30 @@ def trees_for(similarity: float, branchings: int, recall: float = RECALL) -> int
     return trees
 
 
-def _in_shared_nodes(rows: DataFrame) -> DataFrame:
-    """Rows ``(node, rep)``, or ``(node, rep, part)``, whose node has other classes (parts), with the node's size; combined before the shuffle."""
+def _at_nodes(rows: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
+    """``rows`` with what ``nodes(node, size, ...)``, materialised, says of their node; rows of other nodes go.
+
+    No node's rows need to meet in one task. A checked number of nodes is broadcast. Where there are more, it
+    is the nodes of more than ``leaf`` rows, and only rows of small ones are shuffled; where even these are
+    many, rows are dealt over SALTS parts of each node.
+    """
+    if nodes.count() <= BROADCAST_NODES:
+        return rows.join(F.broadcast(nodes), "node")
+    large, small = nodes.filter(F.col("size") > leaf), nodes.filter(F.col("size") <= leaf)
+    if large.count() <= BROADCAST_NODES:
+        return rows.join(F.broadcast(large), "node").unionByName(rows.join(F.broadcast(large.select("node")), "node", "left_anti").join(small, "node"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    return salted.join(nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["node", "salt"]).drop("salt")
+
+
+def _in_shared_nodes(rows: DataFrame, leaf: int) -> DataFrame:
+    """Rows ``(node, class, rep)``, or ``(node, class, rep, part)``, whose node has other reps (parts), with the node's size; combined before the shuffle."""
     what = "part" if "part" in rows.columns else "rep"
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(what).alias("low"), F.max(what).alias("high")).filter("low < high").drop("low", "high")
-    return cut(rows.join(sizes, "node"))
+    sizes = cut(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(what).alias("low"), F.max(what).alias("high")).filter("low < high").drop("low", "high"))
+    return cut(_at_nodes(rows, sizes, leaf))
 
 
-def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[DataFrame, int, DataFrame]:
+def leaves(classes: DataFrame, trees: range, leaf: int, depth: int, similarity: float = 0.75) -> tuple[DataFrame, int, DataFrame]:
     """``(node, rep)``: the leaves of ``trees`` that hold classes of more than one rep of ``classes(class, rep, minwise)``.
 
     With a column ``part``, those that hold more than one part. Also how often nodes branched one below the
@@ -117,7 +144,7 @@ def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[Dat
     rows = classes.select(F.explode(F.array(*roots)).alias("node"), "class", "rep", *labels)
     found = crowded = None
     for level in range(1, depth + 1):
-        shared = _in_shared_nodes(rows)
+        shared = _in_shared_nodes(rows, leaf)
         small = shared.filter(F.col("size") <= leaf) if level < depth else shared
         found = small.select("node", "rep") if found is None else found.union(small.select("node", "rep"))
         large = shared.filter(F.col("size") > leaf)
@@ -127,17 +154,17 @@ def leaves(classes: DataFrame, trees: range, leaf: int, depth: int) -> tuple[Dat
         choice = F.xxhash64("node", F.lit("choice"))
         first, second = F.pmod(choice, F.lit(COORDINATES)), F.pmod(F.shiftright(choice, 20), F.lit(COORDINATES))
         child = lambda c: F.xxhash64("node", c, F.element_at("minwise", (c + 1).cast("int")))
-        both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(round(1 / TWICE))) == 0) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
+        both = F.when((F.pmod(F.shiftright(choice, 45), F.lit(1024)) < round(1024 * twice(similarity))) & (first != second), F.array(child(first), child(second))).otherwise(F.array(child(first)))
         rows = large.select("node", "class").join(classes, "class").select(F.explode(both).alias("node"), "class", "rep", *labels)
     # levels add partitions up; what follows needs no more of them than a shuffle has
     return found.coalesce(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), level - 1, crowded
 
 
-def _mixed(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+def _mixed(nodes: DataFrame, parts: DataFrame, leaf: int) -> DataFrame:
     """``(node, rep, part)`` of the nodes that hold several components."""
-    labelled = nodes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("part"))
-    several = labelled.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("node")
-    return cut(labelled.join(several, "node"))
+    labelled = cut(nodes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("node", "rep", F.coalesce("component_id", "rep").alias("part")))
+    several = cut(labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("node", "size"))
+    return cut(_at_nodes(labelled, several, leaf))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -204,12 +231,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _tiles(mixed: DataFrame, tile: int) -> DataFrame:
-    """``(tile, rep, part)``: nodes as they are, larger ones as pairs of blocks of hashed members."""
-    sizes = mixed.groupBy("node").count().filter(F.col("count") > tile)
-    blocks = F.ceil(2 * F.col("count") / tile)
-    rows = mixed.join(sizes, "node", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce(blocks, F.lit(1))))
-    small = rows.filter("count is null").select(F.col("node").alias("tile"), "rep", "part")
-    large = rows.filter("count is not null").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    """``(tile, rep, part)``: nodes ``(node, size, rep, part)`` as they are, larger ones as pairs of blocks of hashed members."""
+    blocks = F.ceil(2 * F.col("size") / tile)
+    small = mixed.filter(F.col("size") <= tile).select(F.col("node").alias("tile"), "rep", "part")
+    large = mixed.filter(F.col("size") > tile).withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return small.union(large.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "rep", "part"))
 
 
@@ -285,12 +310,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = described.filter("set_key is not null and doc_id is not null")
     ids = of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = cut(of_class.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("minwise").alias("minwise"), F.first("sketch").alias("sketch")).drop("set_key").withColumn("class", F.monotonically_increasing_id()))  # several of one rep, if its id has several texts
-    nodes, branchings, crowded = leaves(classes.select("class", "rep", "minwise"), range(trees), leaf, depth)
+    nodes, branchings, crowded = leaves(classes.select("class", "rep", "minwise"), range(trees), leaf, depth, percent / 100)
     least = percent / 100 - MARGIN
 
     # centres follow one order of all documents, so that nodes of a group agree on few of them
-    centres = nodes.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep")).alias("centre"))
-    star = nodes.join(centres, "node").filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("rep").alias("to")).dropDuplicates(["a", "b"])
+    centres = cut(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("rep")).alias("centre")))
+    star = _at_nodes(nodes, centres, leaf).filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.col("rep").alias("to")).dropDuplicates(["a", "b"])
     likely = F.struct((F.col("similarity") < percent / 100 + 0.05).alias("doubtful"), F.xxhash64(F.col("a") + F.col("b") - F.col("to")).alias("order"), "a", "b")
     best = cut(_estimated(star, classes, least).groupBy("to").agg(F.min(likely).alias("best")).select("best.a", "best.b").distinct())
     links = _confirmed(best, texts, percent, words)
@@ -298,9 +323,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while (wanted := trees_for(percent / 100, branchings)) > trees:
         # only classes that shared large nodes lack trees, and only nodes of several components can add links
         labelled = classes.join(crowded, "rep", "left_semi").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("class", "rep", "minwise", F.coalesce("component_id", "rep").alias("part"))
-        again, deeper, _ = leaves(cut(labelled), range(trees, wanted), leaf, depth)
+        again, deeper, _ = leaves(cut(labelled), range(trees, wanted), leaf, depth, percent / 100)
         nodes, branchings, trees = nodes.union(again), max(branchings, deeper), wanted
-    mixed = _mixed(nodes, parts)
+    mixed = _mixed(nodes, parts, leaf)
     more = _links_in_tiles(cut(_hopeful(_tiles(mixed, leaf), classes, least)), texts, percent, words, least)
 
     # Rows of one id with different sets, of which one class is not named after it, still are one document.
