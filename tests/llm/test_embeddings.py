@@ -49,3 +49,23 @@ def test_null_ids_and_empty_tables(spark):
     out = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in embedding_dedup.similar_vectors(spark.createDataFrame(rows, schema)).collect())
     assert out == [(-1, 0, -1, True), (2, 1, 2, True), (4, 1, 2, False)]
     assert embedding_dedup.similar_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_vectors_close_to_the_threshold(spark):
+    # 2,048 dimensions, large equal parts so that sums pass 2**24, pairs within 1e-7 of 0.9 on both sides
+    rng = np.random.default_rng(7)
+    vectors = []
+    for k in range(24):
+        u = np.sign(rng.standard_normal(2048)) * rng.uniform(0.9, 1, 2048)
+        u /= np.linalg.norm(u)
+        w = rng.standard_normal(2048)
+        w -= (w @ u) * u
+        w /= np.linalg.norm(w)
+        cosine = 0.9 + (1e-7, -1e-7, 1e-8, -1e-8, 3e-9, -3e-9)[k % 6]
+        vectors += [u.tolist(), (cosine * u + np.sqrt(1 - cosine**2) * w).tolist()]
+    out = {r["vec_id"]: r for r in embedding_dedup.similar_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    links = reference(vectors)
+    assert len(links) == 12 and {i: r["n_links"] for i, r in out.items()} == {i: sum(i in link for link in links) for i in out}
+    codes = embedding_dedup.quantise(np.array(vectors))[0]
+    exact = codes.astype(np.int64) @ codes.astype(np.int64).T
+    assert exact.max() > 1 << 24 and (embedding_dedup._products_of(codes.astype(np.float32), codes.astype(np.float32)) == exact).all()

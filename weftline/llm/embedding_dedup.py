@@ -2,8 +2,9 @@
 
 Each unit vector u is held as s * q with q of int8 and the error e = |u - s q| measured in double precision.
 For two vectors |u.w - s_u s_w (q_u.q_w)| <= e_u + e_w + e_u e_w, so a tile of int8 products decides every
-pair outside a narrow band around the threshold; only pairs in the band are computed again in full. Products
-of int8 values of up to 1,000 dimensions stay below 2**24, so 32-bit matrix products give them exactly.
+pair outside a narrow band around the threshold; only pairs in the band are computed again in full, in the
+tile, where both vectors are at hand. Sums of int8 products over up to 1,040 dimensions stay below 2**24, so
+32-bit matrix products give them exactly; longer vectors are summed over blocks of as many, in 64 bits.
 """
 
 from __future__ import annotations
@@ -15,11 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import components, cut, table
+from weftline.llm.common import components, table
+from weftline.session import cut
 
 #: Vectors of a tile's side; a task holds two sides and one strip of products.
 TILE = 4096
 STRIP = 512
+#: Dimensions whose products of int8 values, at most 127 * 127 each, 32-bit floats add exactly.
+EXACT = (1 << 24) // (127 * 127)
+#: Pairs in the band that are computed in full at a time.
+PAIRS = 1 << 14
 #: Rounding of double precision itself, far above what sums of some thousand terms can lose.
 SLACK = 1e-9
 
@@ -40,7 +46,7 @@ def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _quantised(classes: DataFrame) -> DataFrame:
-    """``(id, size, codes, scale, error)`` for rows ``(id, vector, size, dim)``; vectors of a batch may differ in length."""
+    """``(id, size, codes, scale, error, vector)`` for rows ``(id, vector, size)``; vectors of a batch may differ in length."""
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,9 +54,9 @@ def _quantised(classes: DataFrame) -> DataFrame:
             for dim in np.unique(lengths):
                 some = batch.filter(pa.array(lengths == dim))
                 codes, scales, errors = quantise(_matrix(some))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(3), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scales), pa.array(errors)], names=["id", "size", "codes", "scale", "error"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(3), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scales), pa.array(errors), some.column(1)], names=["id", "size", "codes", "scale", "error", "vector"])
 
-    return classes.select("id", "vector", F.size("vector").alias("dim"), "size").mapInArrow(of_partition, "id long, size long, codes binary, scale double, error double")
+    return classes.select("id", "vector", F.size("vector").alias("dim"), "size").mapInArrow(of_partition, "id long, size long, codes binary, scale double, error double, vector array<double>")
 
 
 class _Forest:
@@ -70,11 +76,25 @@ class _Forest:
         return a
 
 
+def _products_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact products of codes: in 32 bits where these hold their sums, else by blocks of dimensions."""
+    if left.shape[1] <= EXACT:
+        return left @ right.T
+    return sum((left[:, k : k + EXACT] @ right[:, k : k + EXACT].T).astype(np.float64) for k in range(0, left.shape[1], EXACT))
+
+
+def _cosines(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, in double precision."""
+    u, w = (v / np.abs(v).max(axis=1, keepdims=True) for v in (u, w))  # no square overflows or vanishes
+    return (u * w).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (w * w).sum(axis=1))
+
+
 def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iterator[dict]:
-    """Sure links counted and spanned, and pairs in the band, of one tile."""
+    """Links of one tile: spanned, and counted by vector. Bounds decide most pairs, full precision those in the band."""
     ids = [np.asarray(t.column("id")) for t in (left, right)]
     sizes = [np.asarray(t.column("size")) for t in (left, right)]
     codes = [np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.int8).reshape(len(t), -1).astype(np.float32) for t in (left, right)]
+    full = [t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (left, right)]
     scales = [np.asarray(t.column("scale")) for t in (left, right)]
     errors = [np.asarray(t.column("error")) for t in (left, right)]
     n, m = len(left), len(right)
@@ -84,7 +104,7 @@ def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iter
     for at in range(0, n, STRIP):
         rows = slice(at, min(n, at + STRIP))
         # in units of the left scale, and in 32 bits: a coarse pass finds the few pairs that bounds must decide
-        products = codes[0][rows] @ codes[1].T
+        products = _products_of(codes[0][rows], codes[1])
         floor = (threshold - SLACK - errors[0][rows][:, None] - (1 + errors[0][rows][:, None]) * errors[1][None, :].max()) / scales[0][rows][:, None]
         i, j = np.nonzero(products * scales[1].astype(np.float32)[None, :] >= (floor * (1 - 1e-5) - 1e-5).astype(np.float32))
         if same:
@@ -94,9 +114,12 @@ def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iter
             continue
         value = products[i, j].astype(np.float64) * scales[0][i + at] * scales[1][j]
         bound = errors[0][i + at] + errors[1][j] + errors[0][i + at] * errors[1][j] + SLACK
-        sure, band = value - bound >= threshold, np.abs(value - threshold) <= bound
-        band &= ~sure
-        a, b = i[sure] + at, j[sure]
+        linked = value - bound >= threshold
+        band = np.flatnonzero(~linked & (np.abs(value - threshold) <= bound))
+        for k in range(0, len(band), PAIRS):
+            some = band[k : k + PAIRS]
+            linked[some] = _cosines(full[0][i[some] + at], full[1][j[some]]) >= threshold
+        a, b = i[linked] + at, j[linked]
         np.add.at(counts[0], a, sizes[1][b])
         np.add.at(counts[1], b, sizes[0][a])
         # links inside one tree of the forest add nothing to components
@@ -111,15 +134,13 @@ def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iter
             last = np.unique(high, return_index=True)[1]  # one step up for each tree; the others wait for the next turn
             forest.parent[high[last]] = low[last]
             yield {"a": ids[0][a[last]], "b": ids[1][b[last]], "n": np.zeros(len(last), np.int64), "kind": np.full(len(last), 1, np.int8)}
-        if band.any():
-            yield {"a": ids[0][i[band] + at], "b": ids[1][j[band]], "n": np.zeros(band.sum(), np.int64), "kind": np.full(band.sum(), 2, np.int8)}
     for side, count in zip(ids, counts):
         some = count > 0
         yield {"a": side[some], "b": side[some], "n": count[some], "kind": np.zeros(some.sum(), np.int8)}
 
 
 def _products(quantised: DataFrame, n: int, threshold: float, tile: int) -> DataFrame:
-    """``(a, b, n, kind)``: 0 counts n sure links of a, 1 a sure link, 2 a pair to be computed in full."""
+    """``(a, b, n, kind)``: 0 counts n links of a in a tile, 1 is a link that joins two parts of a tile."""
     blocks = max(1, -(-n // tile))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -148,7 +169,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component and are kept. An empty table gives an empty table.
 
     All classes meet all classes, in blocks of ``tile``: that is what an exact join of this kind costs. Groups
-    are two blocks at most, of hashed ids, so that neither copies nor clusters make one larger.
+    are two blocks at most, of hashed ids, so that neither copies nor clusters make one larger. Pairs never
+    leave their tile; what does are counts, and links that join parts of it, fewer than its vectors.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -162,25 +184,8 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = classes.count()
     found = cut(_products(_quantised(classes), n, threshold, tile))
 
-    whole = classes.select("id", "size", "vector")
-    x, y = whole.toDF("a", "size_a", "u"), whole.toDF("b", "size_b", "w")
-    pairs = found.filter("kind = 2").select("a", "b").join(x, "a").join(y, "b")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.asarray(batch.column(6))
-            for dim in np.unique(lengths):
-                some = batch.filter(pa.array(lengths == dim))
-                u, w = (some.column(k).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1) for k in (4, 5))
-                u, w = (v / np.abs(v).max(axis=1, keepdims=True) for v in (u, w))  # no square overflows or vanishes
-                cosine = (u * w).sum(axis=1) / np.sqrt((u * u).sum(axis=1) * (w * w).sum(axis=1))
-                kept = pa.array(cosine >= threshold)
-                yield some.select([0, 1, 2, 3]).filter(kept)
-
-    confirmed = cut(pairs.select("a", "b", "size_a", "size_b", "u", "w", F.size("u").alias("dim")).mapInArrow(exact, "a long, b long, size_a long, size_b long"))
-    counted = found.filter("kind = 0").select(F.col("a").alias("id"), "n").union(confirmed.select("a", "size_b")).union(confirmed.select("b", "size_a"))
-    links = counted.groupBy("id").agg(F.sum("n").alias("n"))
-    parts = cut(components(found.filter("kind = 1").select("a", "b").union(confirmed.select("a", "b"))))
+    links = found.filter("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    parts = cut(components(found.filter("kind = 1").select("a", "b")))
     of_class = classes.select("key", "id", "size").join(links, "id", "left").join(parts, "id", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     linked = keyed.filter("key is not null").select("vec_id", "key").join(of_class, "key").select("vec_id", "n_links", "component_id")
     alone = keyed.filter("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
