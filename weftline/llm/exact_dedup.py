@@ -2,7 +2,8 @@
 
 Digests that may be frequent are found by a Misra-Gries summary, their exact figures are computed by a
 map-side filter and a partial aggregate, and the verified winners (never more than ``counters``) are
-broadcast, so that rows of hot groups are settled where they are read. All other digests are shuffled.
+broadcast, so that rows of hot groups are settled where they are read. All other digests are shuffled, after
+each task has combined its own rows of a digest.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, table
+from weftline.llm.common import table
+from weftline.session import cut
 
 #: Counters of a summary; also the most rows that are ever broadcast (about 100 bytes each).
 COUNTERS = 2048
@@ -70,11 +72,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = F.broadcast(frequent_candidates(rows, counters))  # at most `counters` rows
     winners = rows.join(candidates, "digest", "left_semi").groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
     heavy = cut(winners.filter("n > 1").limit(counters))  # bounded by the candidates
-    split = rows.join(F.broadcast(heavy), "digest", "left")
-    hot = split.filter("n is not null")
-    same = Window.partitionBy("digest")
-    rest = split.filter("n is null").select("doc_id", "digest", "row").withColumns({"best": best.over(same), "n": F.count("*").over(same)})
-    return hot.select("doc_id", "digest", "row", "best", "n").union(rest.select("doc_id", "digest", "row", "best", "n")).select(
+    hot = rows.join(F.broadcast(heavy), "digest").select("doc_id", "digest", "row", "best", "n")
+    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    # a row of a digest of its own is its own best; only rows of groups, found by combined counts, are joined back
+    counted = rest.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
+    groups = cut(counted.filter("n > 1"))
+    alone = counted.filter("n = 1").select("best.doc_id", "digest", "best.row", "best", "n")
+    together = rest.join(groups, "digest").select("doc_id", "digest", "row", "best", "n")
+    return hot.union(alone).union(together).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
