@@ -129,3 +129,25 @@ def test_packing_invariants(spark, vocabulary):
     full = sum(r["length"] for r in out) / 64
     assert len(by_sequence) <= full * 1.15 + 3 * 4
     assert packing.pack(rows.limit(0), bpe.default_path()).count() == 0
+
+
+def test_placement_agrees_with_a_plain_list_of_bins():
+    # the open bins as a list of [number, space], the last used first among equals; the fullest closes first
+    rng = random.Random(12)
+    for capacity, most in ((50, 3), (50, 8), (17, 1), (200, 40)):
+        bins, opened, packing_ = [], 0, packing.BestFit(capacity, most)
+        for _ in range(3000):
+            length = rng.choice((1, capacity, rng.randint(1, capacity), rng.randint(1, max(1, capacity // 4))))
+            fits = [b for b in bins if b[1] >= length]
+            if fits:
+                space = min(b[1] for b in fits)
+                chosen = [b for b in fits if b[1] == space][-1]
+                bins.remove(chosen)
+            else:
+                if length < capacity and len(bins) == most:
+                    fullest = min(b[1] for b in bins)
+                    bins.remove([b for b in bins if b[1] == fullest][-1])
+                chosen, opened = [opened, capacity], opened + 1
+            assert packing_.place(length) == (chosen[0], capacity - chosen[1])
+            if chosen[1] - length:
+                bins.append([chosen[0], chosen[1] - length])

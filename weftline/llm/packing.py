@@ -26,7 +26,8 @@ class BestFit:
     """A fixed number of open bins, found by free space through a bitset.
 
     Bit f is set while some open bin has f places left. The bin with the least sufficient space takes an
-    item; if none has enough, a new bin opens, and where all may be open already the fullest closes first.
+    item, of equal ones the last used; if none has enough, a new bin opens, and where all may be open already the
+    fullest closes first, of equal ones the last used.
     """
 
     def __init__(self, capacity: int, open_bins: int) -> None:
