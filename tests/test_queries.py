@@ -54,7 +54,7 @@ def test_llm_queries_are_there_if_their_package_is():
     assert ("pipeline" in __spark_entry__.queries()) == present
 
 
-@pytest.mark.parametrize("name", ["recall_exchanges_all", "recall_scenes_all"])
+@pytest.mark.parametrize("name", ["recall_exchanges", "recall_scenes"])
 def test_searches_take_every_twentieth_vector(spark, database, name):
     asked = {r["query_id"] for r in __spark_entry__.queries()[name](spark, FOLDER).collect()}
     assert asked == {v for (v,) in database.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()} and len(asked) > 5
@@ -76,15 +76,15 @@ def test_metrics_are_of_the_whole_network(spark, tmp_path):
     assert (weight > 0).sum() > 2 * 250
     run = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()
     ranks, vector = np.full(len(names), 1 / len(names)), np.ones(len(names))
-    for _ in range(20):
+    for _ in range(300):
         ranks = 0.15 / len(names) + 0.85 * (weight / weight.sum(axis=0)) @ ranks
         vector = (weight + np.eye(len(names))) @ vector
         vector /= np.linalg.norm(vector)
     metrics = run("network_metrics").set_index("character").loc[names]
     assert metrics["degree"].tolist() == (weight > 0).sum(axis=0).tolist()
     assert np.allclose(metrics["strength"], weight.sum(axis=0)) and np.allclose(metrics["pagerank"], ranks) and np.allclose(metrics["eigenvector"], vector)
-    assert np.allclose(run("pagerank_all").set_index("character").loc[names, "pagerank"], ranks, atol=1e-6)
-    assert np.allclose(run("eigenvector_all").set_index("character").loc[names, "eigenvector"], vector, atol=1e-6)
+    assert np.allclose(run("pagerank").set_index("character").loc[names, "pagerank"], ranks, atol=1e-6)
+    assert np.allclose(run("eigenvector").set_index("character").loc[names, "eigenvector"], vector, atol=1e-6)
     edges = [(names[i], names[j], weight[i, j]) for i in range(len(names)) for j in range(i + 1, len(names)) if weight[i, j]]
     labels = graph.louvain_labels(edges)
     assert dict(run("louvain").values) == labels and metrics["community"].to_dict() == labels

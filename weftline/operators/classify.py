@@ -18,22 +18,36 @@ def order_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
 
 
+def _placed(rows: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Rows with ``__place``, from 1, in the seeded order of their label, and ``__n``, the label's rows.
+
+    The first digits of the order's key are 4,096 buckets of it: rows are numbered within one, and counts of
+    buckets (as many a label) say where each begins, so a label's rows need not meet in one task.
+    """
+    rows = rows.withColumn("__order", order_key(F.col(key), seed)).withColumn("__bucket", F.substring("__order", 1, 3))
+    counts = rows.groupBy(label, "__bucket").agg(F.count("*").alias("__c"))
+    of_label = Window.partitionBy(label)
+    before = F.coalesce(F.sum("__c").over(of_label.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.select(F.col(label).alias("__label"), F.col("__bucket").alias("__b"), before.alias("__first"), F.sum("__c").over(of_label).alias("__n"))
+    met = rows.join(firsts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__b")))
+    within = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy("__order", key))
+    return met.withColumn("__place", F.col("__first") + within).drop("__order", "__bucket", "__label", "__b", "__first")
+
+
 def stratified_split(rows: DataFrame, key: str, label: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """``split``: of each label the first share by a seeded order is test, the next val, the rest train.
 
     Shares are rounded half up within a label, so all splits are disjoint and keep the labels' proportions.
     """
-    order = Window.partitionBy(label).orderBy(order_key(F.col(key), seed), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    place = F.row_number().over(order)
+    n, place = F.col("__n"), F.col("__place")
     first, second = F.floor(n * test + 0.5), F.floor(n * test + 0.5) + F.floor(n * val + 0.5)
-    return rows.withColumn("split", F.when(place <= first, "test").when(place <= second, "val").otherwise("train"))
+    split = F.when(place <= first, "test").when(place <= second, "val").otherwise("train")
+    return _placed(rows, key, label, seed).withColumn("split", split).drop("__n", "__place")
 
 
 def folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """``fold`` from 0 to k - 1, dealt within each label by a seeded order."""
-    order = Window.partitionBy(label).orderBy(order_key(F.col(key), seed), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    return _placed(rows, key, label, seed).withColumn("fold", ((F.col("__place") - 1) % k).cast("int")).drop("__n", "__place")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

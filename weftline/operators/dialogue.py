@@ -32,14 +32,16 @@ def flag_repeated(lines: DataFrame, min_episodes: int = 5, window_s: float = 150
 
     The spread is a two-step aggregate (distinct pairs, then counts), both combined before the shuffle; only
     forms that spread far enough come back, so the join's other side is small, and a form that all episodes
-    share is one row of it.
+    share is one row of it. Lines too short to be looked up, many of which have one form, are dealt over all
+    tasks by a key that no form can have.
     """
     norm = X.lyric_norm(F.col("text"))
     rows = lines.withColumn("__norm", norm)
     wide = rows.filter(X.spaces(F.col("__norm")) >= 2).select("__norm", "episode").distinct().groupBy("__norm").count().filter(F.col("count") >= min_episodes).select("__norm", F.lit(True).alias("__wide"))
     ends = rows.groupBy("episode").agg(F.max("end").alias("__duration"))
     inside = (F.col("start") <= window_s) | (F.col("start") >= F.col("__duration") - window_s)
-    flagged = rows.join(ends, "episode").join(wide, "__norm", "left").withColumn("is_song", F.coalesce("__wide", F.lit(False)) & F.coalesce(inside, F.lit(False)))
+    asked = F.when(X.spaces(F.col("__norm")) >= 2, F.col("__norm")).otherwise(F.concat(F.lit("#"), F.xxhash64("episode", "start").cast("string")))
+    flagged = rows.withColumn("__norm", asked).join(ends, "episode").join(wide, "__norm", "left").withColumn("is_song", F.coalesce("__wide", F.lit(False)) & F.coalesce(inside, F.lit(False)))
     return flagged.select(*lines.columns, "is_song")
 
 
@@ -62,10 +64,13 @@ def with_previous(lines: DataFrame, keys: list[str], order: str, columns: dict[s
     return lines.withColumns({new: F.coalesce(c, F.lit(empty)) if empty is not None else c for new, c in lagged.items()})
 
 
-def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by ``order``, which must be total for the result to be fixed."""
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+def keep_first(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:
+    """The first row of each key by ``order``, which must be total for the result to be fixed.
+
+    Each task keeps the first row of its own, so of a key's rows one a task is shuffled at most.
+    """
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__first")
+    return rows.groupBy(*keys).agg(first).select("__first.*")
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", timed: bool = False) -> DataFrame:

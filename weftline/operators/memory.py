@@ -96,14 +96,13 @@ Embedder = Callable[[pd.Series], np.ndarray]
 
 
 def hashed_grams(texts: pd.Series, dim: int = 64) -> np.ndarray:
-    """The stand-in for a sentence encoder: counts of hashed letter trigrams, at length 1."""
-    import zlib
-
-    out = np.zeros((len(texts), dim))
-    for row, value in zip(out, texts.fillna("").str.lower()):
-        padded = f" {value} "
-        for i in range(len(padded) - 2):
-            row[zlib.crc32(padded[i : i + 3].encode()) % dim] += 1
+    """The stand-in for a sentence encoder: counts of letter trigrams by a polynomial of their code points, at length 1."""
+    padded = (" " + texts.fillna("").str.lower() + " ").tolist()
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+    row = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+    inside = row[:-2] == row[2:]
+    grams = ((codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % dim)[inside]
+    out = np.bincount(row[:-2][inside] * dim + grams, minlength=len(padded) * dim).reshape(-1, dim).astype(float)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -200,7 +199,12 @@ def named(character: str, name_boost: float = 0.08) -> Column:
 def recall_scenes(remembered: DataFrame, character: str, queries: DataFrame, k: int = 3, name_boost: float = 0.08) -> DataFrame:
     """Scenes, nearest first; those that name the character (by its first word) count for more."""
     found = nearest(remembered, queries, k, ["episode", "first"], named(character, name_boost))
-    return found.withColumn("label", F.format_string("(Episode %d, %s) %s", "episode", "arc", "text"))
+    return found.withColumn("label", scene_label())
+
+
+def scene_label() -> Column:
+    """How a prompt cites a scene."""
+    return F.format_string("(Episode %d, %s) %s", "episode", "arc", "text")
 
 
 # -- prompts

@@ -48,6 +48,12 @@ def zipf(count: Column, total: Column) -> Column:
     return F.log10(count * 1e9 / total)
 
 
+def frequencies(words: DataFrame) -> DataFrame:
+    """``(word, zipf)`` of ``(word)``: what tells common words from names, counted over a whole corpus."""
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("word", zipf(F.col("n"), F.col("total")).alias("zipf"))  # one row
+
+
 def resolve(surfaces: DataFrame, spark: SparkSession, aliases: list[tuple[str, str]] | None = None, stop: list[str] = fixed.STOPLIST, frequencies: DataFrame | None = None, max_zipf: float = fixed.MAX_ZIPF) -> DataFrame:
     """``character`` for distinct proposed names in ``surface``, null for those that are none.
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators import classify, dialogue, graph, memory, mentions, network, themes
-from weftline.session import cut, scratch, spread
-from weftline.sources import files, wikitext
+from weftline.session import cut, spread
+from weftline.sources import wikitext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,8 +23,6 @@ ORACLES: dict[str, str] = {}
 ARCS = [(0, 99, "first"), (100, 299, "second"), (300, 599, "third"), (600, 999, "fourth")]
 LABELS = ["the", "tion", "batt", "erst"]
 BUDGET = 320
-#: Names that the small graphs are made of need so many mentions; larger tables need more.
-STRONG = 250
 
 
 def query(sql: str | None = None):
@@ -147,7 +145,8 @@ def exchanges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
 def keep_first_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return dialogue.keep_first(table(spark, sf, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dialogue.keep_first(docs, [F.sha2(F.col("text").cast("binary"), 256)], ["doc_id"])
 
 
 @query("SELECT doc_id, first_value(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS first_of_source FROM documents")
@@ -310,8 +309,11 @@ def edge_widths(spark: SparkSession, sf: str) -> DataFrame:
     return network.edge_styles(network.strongest(network.network(mention_rows(spark, sf)), 250)).select("source", "target", F.round("width", 6).alias("width"))
 
 
-# pagerank, eigenvector, connected_components and largest_component are of what a page draws: the strongest links
-GRAPH = f"WITH RECURSIVE {FOUND}, {edge_sql('', 8)}, g AS MATERIALIZED (SELECT source, target, weight FROM edges ORDER BY weight DESC, source, target LIMIT 250), e AS MATERIALIZED (SELECT source AS a, target AS b, weight AS w FROM g UNION ALL SELECT target, source, weight FROM g)"
+GRAPH = f"WITH RECURSIVE {FOUND}, {edge_sql('', 8)}, g AS MATERIALIZED (SELECT source, target, weight FROM edges), e AS MATERIALIZED (SELECT source AS a, target AS b, weight AS w FROM g UNION ALL SELECT target, source, weight FROM g)"
+
+
+# what a page draws is the strongest links, and of these the largest component
+DRAWN = GRAPH.replace(" FROM edges)", " FROM edges ORDER BY weight DESC, source, target LIMIT 250)")
 
 
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,29 +325,16 @@ def whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{GRAPH}, s AS MATERIALIZED (SELECT a, sum(w) AS s, (SELECT count(DISTINCT a) FROM e) AS n FROM e GROUP BY a),
-r(k, a, r) AS (SELECT 0, a, 1.0::DOUBLE / n FROM s UNION ALL SELECT r.k + 1, e.b, 0.15 / max(s.n) + 0.85 * sum(r.r * e.w / s.s) FROM r JOIN e ON e.a = r.a JOIN s ON s.a = r.a WHERE r.k < 20 GROUP BY r.k, e.b)
-SELECT a AS character, round(r, 6) AS pagerank FROM r WHERE k = 20""")
+r(k, a, r) AS (SELECT 0, a, 1.0::DOUBLE / n FROM s UNION ALL SELECT r.k + 1, e.b, 0.15 / max(s.n) + 0.85 * sum(r.r * e.w / s.s) FROM r JOIN e ON e.a = r.a JOIN s ON s.a = r.a WHERE r.k < 80 GROUP BY r.k, e.b)
+SELECT a AS character, round(r, 6) AS pagerank FROM r WHERE k = 80""")
 def pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(drawn(spark, sf)).select("character", F.round("pagerank", 6).alias("pagerank"))
+    return graph.pagerank(whole(spark, sf)).select("character", F.round("pagerank", 6).alias("pagerank"))
 
 
 @query(f"""{GRAPH}, loops AS MATERIALIZED (SELECT * FROM e UNION ALL SELECT DISTINCT a, a, 1.0 FROM e),
-v(k, a, x) AS (SELECT 0, a, 1.0::DOUBLE FROM (SELECT DISTINCT a FROM e) UNION ALL SELECT k, b, y / sqrt(sum(y * y) OVER ()) FROM (SELECT v.k + 1 AS k, l.b, sum(v.x * l.w) AS y FROM v JOIN loops l ON l.a = v.a WHERE v.k < 20 GROUP BY v.k, l.b))
-SELECT a AS character, round(x, 6) AS eigenvector FROM v WHERE k = 20""")
+v(k, a, x) AS (SELECT 0, a, 1.0::DOUBLE FROM (SELECT DISTINCT a FROM e) UNION ALL SELECT k, b, y / sqrt(sum(y * y) OVER ()) FROM (SELECT v.k + 1 AS k, l.b, sum(v.x * l.w) AS y FROM v JOIN loops l ON l.a = v.a WHERE v.k < 80 GROUP BY v.k, l.b))
+SELECT a AS character, round(x, 6) AS eigenvector FROM v WHERE k = 80""")
 def eigenvector(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.eigenvector(drawn(spark, sf)).select("character", F.round("eigenvector", 6).alias("eigenvector"))
-
-
-WHOLE = GRAPH.replace(" ORDER BY weight DESC, source, target LIMIT 250", "")
-
-
-@query(ORACLES["pagerank"].replace(GRAPH, WHOLE))
-def pagerank_all(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pagerank(whole(spark, sf)).select("character", F.round("pagerank", 6).alias("pagerank"))
-
-
-@query(ORACLES["eigenvector"].replace(GRAPH, WHOLE))
-def eigenvector_all(spark: SparkSession, sf: str) -> DataFrame:
     return graph.eigenvector(whole(spark, sf)).select("character", F.round("eigenvector", 6).alias("eigenvector"))
 
 
@@ -354,10 +343,10 @@ REACH = f"{GRAPH}, reach(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a,
 
 @query(f"{REACH} SELECT character, component FROM parts")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.components(drawn(spark, sf))
+    return graph.components(whole(spark, sf))
 
 
-@query(f"{REACH}, best AS (SELECT component FROM parts GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), keep AS (SELECT character FROM parts WHERE component IN (SELECT component FROM best)) SELECT source, target, round(weight, 6) AS weight FROM g WHERE source IN (SELECT character FROM keep) AND target IN (SELECT character FROM keep)")
+@query(f"{REACH.replace(GRAPH, DRAWN)}, best AS (SELECT component FROM parts GROUP BY component ORDER BY count(*) DESC, component LIMIT 1), keep AS (SELECT character FROM parts WHERE component IN (SELECT component FROM best)) SELECT source, target, round(weight, 6) AS weight FROM g WHERE source IN (SELECT character FROM keep) AND target IN (SELECT character FROM keep)")
 def largest_component(spark: SparkSession, sf: str) -> DataFrame:
     links = drawn(spark, sf)
     return network.induced(links, graph.largest_component(links)).withColumn("weight", F.round("weight", 6))
@@ -375,7 +364,7 @@ def louvain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def network_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return network.node_styles(graph.metrics(whole(spark, sf), mention_rows(spark, sf), iterations=20))
+    return network.node_styles(graph.metrics(whole(spark, sf), mention_rows(spark, sf)))
 
 
 @query()
@@ -395,19 +384,6 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("episode", "line_idx", "character")
 
 
-ALIAS_CASES = ["Sasuke-kun", "Lady Tsunade", "Naruto's", "SAKURA", "Sakur--", "Gennai", "Uchiha", "hey", "Pervy Sage", "Naruto Uzumaki-kun", "Kak-", "Bo"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a.replace(chr(39), chr(39) * 2)}', {repr(b) if b else 'NULL'})" for a, b in zip(ALIAS_CASES, ["Sasuke", "Tsunade", "Naruto", "Sakura", "Sakura", "Gennai", None, None, "Jiraiya", "Naruto", "Kakashi", None])) + ") t(surface, character)")
-def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions.resolve(spark.createDataFrame([(x,) for x in ALIAS_CASES], "surface string"), spark).select("surface", "character")
-
-
-@query()
-def surface_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions.resolve(mentions.capitalised(lines(spark, sf)).select("surface").distinct(), spark).select("surface", "character")
-
-
 # -- labels
 
 
@@ -526,30 +502,6 @@ def scene_windows(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("first", F.col("first").cast("long"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 3),
-s AS (SELECT query_id, vec_id, list_dot_product(e, q) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(e, q) DESC, vec_id) AS place FROM v, q)
-SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS similarity FROM s WHERE place <= 4""")
-def recall_exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # five questions
-    remembered = vectors.select(F.col("vec_id").alias("line"), F.col("label").cast("string").alias("character"), "embedding")
-    return memory.recall_exchanges(remembered, "3", asked).select("query_id", "place", F.col("line").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
-
-
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, text FROM embeddings JOIN documents ON doc_id = vec_id),
-s AS (SELECT query_id, vec_id, list_dot_product(e, q) + CASE WHEN contains(text, 'Ther') THEN 0.08 ELSE 0 END AS s FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM s)
-SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS similarity FROM r WHERE place <= 3""")
-def recall_scenes(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
-    asked = vectors.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # five questions
-    docs = dialogue.with_arc(table(spark, sf, "documents").select(F.col("doc_id").alias("episode"), "text"), ARCS)
-    remembered = docs.join(vectors.select(F.col("vec_id").alias("episode"), "embedding"), "episode").withColumn("first", F.lit(0))
-    return memory.recall_scenes(remembered, "Ther An", asked).select("query_id", "place", F.col("episode").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
-
-
-# the two queries above ask five questions; these ask every vector whose id is divisible by 20
-
-
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
@@ -557,7 +509,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 3),
 s AS (SELECT query_id, vec_id, list_dot_product(e, q) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(e, q) DESC, vec_id) AS place FROM v, q)
 SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS similarity FROM s WHERE place <= 4""")
-def recall_exchanges_all(spark: SparkSession, sf: str) -> DataFrame:
+def recall_exchanges(spark: SparkSession, sf: str) -> DataFrame:
     remembered = table(spark, sf, "embeddings").select(F.col("vec_id").alias("line"), F.col("label").cast("string").alias("character"), "embedding")
     found = memory.recall_exchanges(remembered, "3", questions(spark, sf), search=memory.nearest_of_many)
     return found.select("query_id", "place", F.col("line").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
@@ -566,7 +518,7 @@ def recall_exchanges_all(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e, text FROM embeddings JOIN documents ON doc_id = vec_id),
 s AS (SELECT query_id, vec_id, list_dot_product(e, q) + CASE WHEN contains(text, 'Ther') THEN 0.08 ELSE 0 END AS s FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM s)
 SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS similarity FROM r WHERE place <= 3""")
-def recall_scenes_all(spark: SparkSession, sf: str) -> DataFrame:
+def recall_scenes(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("episode"), "embedding")
     naming = table(spark, sf, "documents").select(F.col("doc_id").alias("episode"), memory.named("Ther An").alias("named"))  # no text moves
     found = memory.nearest_of_many(vectors.join(naming, "episode"), questions(spark, sf), 3, ["episode"], F.col("named"))
@@ -626,19 +578,9 @@ def sft_records(spark: SparkSession, sf: str) -> DataFrame:
     return memory.training_records(voices, CARD[0]).select(F.col("prompt")[1]["content"].alias("user_content"), F.col("completion")[0]["content"].alias("completion"))
 
 
-@query()
-def embedded_scenes(spark: SparkSession, sf: str) -> DataFrame:
-    return memory.embed(memory.scenes(dialogue.with_arc(lines(spark, sf), ARCS)), F.col("text"))
-
-
 # -- pages, tables, streams
 
 
-@query()
-def html_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", wikitext.html_plain(F.col("html")).alias("text"))
-
-
 @query("SELECT min(page_id) AS page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages GROUP BY 2")
 def page_dedup(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
@@ -675,9 +617,3 @@ def hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     from weftline.streaming import events
 
     return events.window_counts(table(spark, sf, "events"), "ts", ["event_type"]).select("event_type", "start", "n")
-
-
-@query()
-def wiki_listing_requests(spark: SparkSession, sf: str) -> DataFrame:
-    members = table(spark, sf, "pages").agg(F.to_json(F.struct(F.struct(F.sort_array(F.collect_list(F.struct(F.col("url").alias("title")))).alias("categorymembers")).alias("query"))).alias("value"))
-    return files.wiki_listing(members)

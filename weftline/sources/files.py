@@ -55,16 +55,20 @@ def srt_events(files: DataFrame) -> DataFrame:
 
 
 def subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """``(episode, season, start, end, text, line_idx)``: events by start, ties in the order of the file."""
-    files = raw_files(spark, path)
+    """``events`` of the subtitle files below a path."""
+    return events(raw_files(spark, path))
+
+
+def events(files: DataFrame) -> DataFrame:
+    """``(episode, season, start, end, text, line_idx)`` of ``(path, raw)``: events by start, ties in the order of the file."""
     srt = F.lower("path").endswith(".srt")
-    events = ass_events(files.filter(~srt)).unionByName(srt_events(files.filter(srt)))
+    found = ass_events(files.filter(~srt)).unionByName(srt_events(files.filter(srt)))
     name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
     season, episode = F.regexp_extract(name, EPISODE, 1), F.regexp_extract(name, EPISODE, 2)
     unnamed = F.raise_error(F.concat(F.lit("no season and episode in "), name))
-    events = events.select(F.when(episode == "", unnamed.cast("int")).otherwise(episode.cast("int")).alias("episode"), season.cast("int").alias("season"), "start", "end", "text", "event_no")
+    found = found.select(F.when(episode == "", unnamed.cast("int")).otherwise(episode.cast("int")).alias("episode"), season.cast("int").alias("season"), "start", "end", "text", "event_no")
     order = Window.partitionBy("episode").orderBy("start", "event_no")
-    return events.withColumn("line_idx", F.row_number().over(order) - 1).drop("event_no")
+    return found.withColumn("line_idx", F.row_number().over(order) - 1).drop("event_no")
 
 
 def transcript(spark: SparkSession, path: str, min_words: int = 1) -> DataFrame:
@@ -154,9 +158,14 @@ def wiki_pages(responses: DataFrame, body: Column | str = "value") -> DataFrame:
     return pages.filter(F.size("p.revisions") > 0).select(F.col("p.pageid").alias("page_id"), F.col("p.title").alias("title"), F.col("p.revisions")[0]["slots"]["main"]["content"].alias("wikitext"))
 
 
-def wiki_listing(responses: DataFrame, body: Column | str = "value", batch: int = 50) -> DataFrame:
-    """``(request, titles)`` of staged category listings: the titles that follow, by requests of ``batch``."""
+def wiki_listing(responses: DataFrame, body: Column | str = "value", batch: int = 50, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """``(*keys, request, titles)`` of staged category listings: the titles that follow, by requests of ``batch``.
+
+    A response is a row, and its ``keys`` tell it from others; without any, its own hash does.
+    """
     shape = "query struct<categorymembers: array<struct<title: string>>>"
-    members = responses.select(F.posexplode(F.from_json(body, shape)["query"]["categorymembers"]).alias("at", "m"), F.xxhash64(body).alias("response"))
-    grouped = members.groupBy("response", F.floor(F.col("at") / batch).alias("request")).agg(F.sort_array(F.collect_list(F.struct("at", "m.title"))).alias("x"))
-    return grouped.select("request", F.array_join(F.transform("x", lambda x: x["title"]), "|").alias("titles"))
+    by = keys or ["response"]
+    rows = responses if keys else responses.withColumn("response", F.xxhash64(body))
+    members = rows.select(*by, F.posexplode(F.from_json(body, shape)["query"]["categorymembers"]).alias("at", "m"))
+    grouped = members.groupBy(*by, F.floor(F.col("at") / batch).alias("request")).agg(F.sort_array(F.collect_list(F.struct("at", "m.title"))).alias("x"))
+    return grouped.select(*keys, "request", F.array_join(F.transform("x", lambda x: x["title"]), "|").alias("titles"))
