@@ -131,6 +131,23 @@ def test_packing_invariants(spark, vocabulary):
     assert packing.pack(rows.limit(0), bpe.default_path()).count() == 0
 
 
+def test_unfilled_sequences_are_packed_again(spark):
+    # 24 partitions of few documents: one by one they would leave nearly every sequence unfilled
+    rows = spark.range(0, 720, 1, 24).selectExpr("if(id % 7 = 0, null, id) doc_id", "repeat(' word', cast(id * 37 % 90 as int)) text", "id sequence_id")
+    total = 720 + sum(i * 37 % 90 for i in range(720))
+    for left in (1 << 24, 20_000):
+        out = packing.pack(rows, bpe.default_path(), capacity=256, left_tokens=left).collect()
+        held = defaultdict(list)
+        for r in out:
+            held[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert len(out) == 720 and sum(r["length"] for r in out) == total
+        for items in held.values():
+            items.sort()
+            assert [at for at, _ in items] == list(np.cumsum([0, *(n for _, n in items)])[:-1]) and sum(n for _, n in items) <= 256
+        tasks = -(-(total + 64 * 720) // left)
+        assert len(held) <= -(-total // 256) + 2 * tasks
+
+
 def test_placement_agrees_with_a_plain_list_of_bins():
     # the open bins as a list of [number, space], the last used first among equals; the fullest closes first
     rng = random.Random(12)
