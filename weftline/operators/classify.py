@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import statistics
 import time
 from collections.abc import Callable
 
@@ -12,6 +14,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.runtime import logger
+from weftline.session import cut
+
+log = logger(__name__)
+
 
 def order_key(key: Column, seed: int) -> Column:
     """A fixed order of rows that depends on key and seed alone, the same in any engine that has MD5."""
@@ -153,7 +160,7 @@ def _damped_transformer():
     from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 
     class Damped(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-        """Counts n as 1 + ln n. A vector is taken apart and put together by column functions."""
+        """Counts n as 1 + ln n. Vectors are taken apart and put together by column functions."""
 
         @keyword_only
         def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:  # noqa: N803
@@ -161,10 +168,15 @@ def _damped_transformer():
             self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol)) if v})
 
         def _transform(self, dataset: DataFrame) -> DataFrame:
-            from pyspark.ml.functions import array_to_vector as to_vector
+            from pyspark.ml.linalg import VectorUDT
+            from pyspark.sql.types import StructField, StructType
 
-            values = F.transform(vector_to_array(self.getInputCol()), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
-            return dataset.withColumn(self.getOutputCol(), to_vector(values))
+            # the stored form of a vector, so that a sparse one stays sparse whatever the vocabulary's size
+            stored = F.unwrap_udt(self.getInputCol())
+            values = F.transform(stored["values"], lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+            parts = F.struct(*[stored[c].alias(c) for c in ("type", "size", "indices")], values.alias("values"))
+            vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+            return dataset.withColumn(self.getOutputCol(), vector)
 
     return Damped
 
@@ -189,20 +201,104 @@ def predict(model: PipelineModel, rows: DataFrame, vector: str | None = None) ->
     return scored.select(*[c for c in rows.columns if c != "features"], F.element_at(F.array(*map(F.lit, [*names, "?"])), F.col("prediction").cast("int") + 1).alias("y_pred"), pairs.alias("probabilities"))
 
 
-def cross_validate(rows: DataFrame, key: str, label: str, fits: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]], k: int = 5, seed: int = 42) -> DataFrame:
-    """``(model, fold, score)``: macro-F1 of each model on each fold, all models on the same folds.
+#: What fits on a table and gives a function that adds ``y_pred``. A table of folds has ``part``, train or val: a
+#: fit that selects among models keeps val for that, any other fits on both.
+Fit = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+
+
+def baseline_fits(label: str, text: str = "text", vector: str = "embedding") -> dict[str, Fit]:
+    """The two classical baselines, by name; one reads texts, the other vectors."""
+    return {
+        "tfidf_logreg": lambda train: functools.partial(predict, tfidf_logistic(train, label, text)),
+        "embedding_logreg": lambda train: functools.partial(predict, embedding_logistic(train, label, vector), vector=vector),
+    }
+
+
+def judge(done: DataFrame, label: str, labels: list[str]) -> dict:
+    """The report of predictions, which are computed once."""
+    pairs = cut(done.select(F.col(label).cast("string").alias("y_true"), F.col("y_pred").cast("string").alias("y_pred")))
+    return report(pairs, labels)
+
 
-    A fit takes a training table and gives a function that adds ``y_pred``. Folds are few, so they loop here.
+def run_baselines(rows: DataFrame, label: str, fits: dict[str, Fit], labels: list[str] | None = None) -> dict[str, dict]:
+    """Each model fitted on the rows whose ``split`` is train and judged on those of test, with its seconds."""
+    rows = cut(rows)
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    names = labels or _labels(train, label)
+    out = {}
+    for name, fit in fits.items():
+        done, seconds = timed(lambda fit=fit: judge(fit(train)(test), label, names))
+        out[name] = {**done, "train_seconds": seconds}
+        log.info("%s: macro-F1 %.3f, accuracy %.3f", name, done["macro_f1"], done["accuracy"])
+    return out
+
+
+def _labels(rows: DataFrame, label: str) -> list[str]:
+    return [str(r[0]) for r in rows.select(label).distinct().orderBy(label).collect()]  # one row a class
+
+
+def nested_folds(rows: DataFrame, key: str, label: str, k: int = 5, val: float = 0.15, seed: int = 42) -> DataFrame:
+    """Every row once for each ``fold``, with its ``part`` there: test in its own fold, elsewhere val or train.
+
+    Of the rows left in a fold, the first share of each label by the seeded order is val, rounded half up.
     """
-    spark = rows.sparkSession
-    dealt = folds(rows, key, label, k, seed).cache()
-    labels = [r[0] for r in dealt.select(label).distinct().orderBy(label).collect()]
-    scores = []
+    dealt = folds(rows, key, label, k, seed).withColumnRenamed("fold", "__own").withColumn("fold", F.explode(F.array(*map(F.lit, range(k)))))
+    test = dealt.filter("__own = fold").withColumn("part", F.lit("test"))
+    rest = _placed(dealt.filter("__own <> fold").withColumn("__group", F.struct(label, "fold")), key, "__group", seed)
+    part = F.when(F.col("__place") <= F.floor(F.col("__n") * val + 0.5), "val").otherwise("train")
+    return test.unionByName(rest.withColumn("part", part).select(test.columns)).drop("__own")
+
+
+def fold_reports(rows: DataFrame, key: str, label: str, fits: dict[str, Fit], k: int = 5, seed: int = 42) -> list[tuple[str, int, dict]]:
+    """``(model, fold, report)`` of each model on each fold, all models on the same folds. Folds are few, so they loop here."""
+    dealt = cut(nested_folds(rows, key, label, k, seed=seed))
+    names, out = _labels(rows, label), []
     for fold in range(k):
+        some = dealt.filter(F.col("fold") == fold)
         for name, fit in fits.items():
-            done = fit(dealt.filter(F.col("fold") != fold))(dealt.filter(F.col("fold") == fold))
-            scores.append((name, fold, summary(done.select(F.col(label).cast("string").alias("y_true"), F.col("y_pred").cast("string").alias("y_pred")), [str(x) for x in labels]).first()["macro_f1"]))
-    return spark.createDataFrame(scores, "model string, fold int, score double")
+            done, seconds = timed(lambda fit=fit: judge(fit(some.filter("part <> 'test'"))(some.filter("part = 'test'")), label, names))
+            out.append((name, fold, done))
+            log.info("fold %d, %s: macro-F1 %.3f in %.0f s", fold, name, done["macro_f1"], seconds)
+    return out
+
+
+def cross_validate(rows: DataFrame, key: str, label: str, fits: dict[str, Fit], k: int = 5, seed: int = 42) -> DataFrame:
+    """``(model, fold, score)``: macro-F1 of each model on each fold."""
+    scores = [(name, fold, done["macro_f1"]) for name, fold, done in fold_reports(rows, key, label, fits, k, seed)]
+    return rows.sparkSession.createDataFrame(scores, "model string, fold int, score double")
+
+
+def cross_report(reports: list[tuple[str, int, dict]], seed: int = 42, pair: tuple[str, str] | None = None) -> dict:
+    """Mean and sample deviation of every measure over folds; of a pair of models also those of their differences."""
+
+    def spread_of(values: list[float]) -> dict:
+        return {"mean": round(statistics.fmean(values), 4), "std": round(statistics.stdev(values), 4) if len(values) > 1 else 0.0}
+
+    by_model: dict[str, list[dict]] = {}
+    for name, _, done in reports:
+        by_model.setdefault(name, []).append(done)
+    models = {}
+    for name, done in by_model.items():
+        classes = done[0]["per_class"]
+        models[name] = {
+            **{measure: spread_of([d[measure] for d in done]) for measure in ("macro_f1", "accuracy")},
+            "per_class_f1": {c: spread_of([d["per_class"][c]["f1-score"] for d in done]) for c in classes},
+            "folds": [d["macro_f1"] for d in done],
+        }
+    tested = next(iter(by_model.values()))
+    n = sum(int(sum(c["support"] for c in d["per_class"].values())) for d in tested)
+    out = {"folds": len(tested), "seed": seed, "n": n, "models": models}
+    if pair:
+        differences = [a - b for a, b in zip(*(models[name]["folds"] for name in pair))]
+        won = sum(d > 0 for d in differences)
+        out["_minus_".join(pair)] = {**spread_of(differences), "folds_won": won, "per_fold": [round(d, 4) for d in differences]}
+    return out
+
+
+def leaderboard(scores: DataFrame) -> DataFrame:
+    """``(model, score, best)``: the mean of each model, and whether no other is above it."""
+    mean = scores.groupBy("model").agg(F.avg("score").alias("score"))
+    return mean.withColumn("best", F.col("score") == F.max("score").over(Window.partitionBy(F.lit(1))))  # one row a model
 
 
 def timed(fit: Callable[[], object]) -> tuple[object, float]:
