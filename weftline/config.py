@@ -32,6 +32,7 @@ class Themes:
     labels: tuple[str, ...] = ("friendship", "hope", "sacrifice", "battle", "self development", "betrayal", "love", "loneliness", "revenge", "family")
     chunk_max_tokens: int = 320
     batch_size: int = 32
+    batches: int = 8
 
 
 @dataclasses.dataclass(frozen=True)
@@ -47,6 +48,8 @@ class Articles:
     labels: tuple[str, ...] = ("Genjutsu", "Ninjutsu", "Taijutsu")
     seed: int = 42
     folds: int = 5
+    wiki: str = ""
+    category: str = ""
 
 
 @dataclasses.dataclass(frozen=True)
@@ -56,6 +59,7 @@ class Persona:
     name_boost: float = 0.08
     history_turns: int = 6
     demo_turns: int = 2
+    adapter_dir: str = "outputs/persona/adapters"
 
 
 @dataclasses.dataclass(frozen=True)

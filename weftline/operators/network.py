@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +78,11 @@ def leaders(metrics: DataFrame, k: int = 2, by: str = "community") -> DataFrame:
     return metrics.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(by, "place", "character")
 
 
+def labelled(metrics: DataFrame, k: int = 22, by: str = "pagerank") -> DataFrame:
+    """The k characters whose names a drawing shows; ties by name."""
+    return metrics.orderBy(F.desc(by), "character").limit(k)
+
+
 def node_styles(metrics: DataFrame) -> DataFrame:
     """Size by rank, colour by community; communities from the ninth on share one colour."""
     top = Window.partitionBy(F.lit(1))  # metrics are one row a character
@@ -90,11 +96,36 @@ def edge_styles(links: DataFrame) -> DataFrame:
     return links.crossJoin(F.broadcast(top)).withColumn("width", 0.5 + 6 * F.pow(F.col("weight") / F.col("top"), 0.6)).drop("top")
 
 
+def layout(names: list[str], links: list[tuple[str, str, float]], steps: int = 200, seed: int = 7) -> dict[str, tuple[float, float]]:
+    """Places in the unit square: ends of links draw together, all others push apart; for what one page shows."""
+    rng, n = np.random.default_rng(seed), len(names)
+    at, place = rng.random((n, 2)), {name: i for i, name in enumerate(names)}
+    pull = np.zeros((n, n))
+    for a, b, w in links:
+        pull[place[a], place[b]] = pull[place[b], place[a]] = w
+    pull /= pull.max(initial=1e-9)
+    ideal = 1 / np.sqrt(max(n, 1))
+    for step in range(steps):
+        apart = at[:, None] - at[None]
+        far = np.maximum(np.linalg.norm(apart, axis=2), 1e-3)
+        force = (apart * (ideal**2 / far**2 - pull * far / ideal)[..., None]).sum(axis=1)
+        length = np.maximum(np.linalg.norm(force, axis=1, keepdims=True), 1e-9)
+        at = at + force / length * np.minimum(length, 0.1 * (1 - step / steps))
+    low, high = at.min(axis=0, initial=0), at.max(axis=0, initial=1)
+    return {name: tuple(((at[i] - low) / np.maximum(high - low, 1e-9)).tolist()) for i, name in enumerate(names)}
+
+
 def page(links: DataFrame, metrics: DataFrame, top_edges: int = 250, height: str = "720px") -> str:
-    """A self-contained HTML page of the strongest links and their characters."""
-    shown = strongest(links, top_edges).collect()  # at most top_edges
-    ends = {x for row in shown for x in (row["source"], row["target"])}
-    nodes = [r.asDict() for r in node_styles(metrics).filter(F.col("character").isin(sorted(ends))).select("character", "size", "colour", "mentions", "community").collect()]
+    """A self-contained HTML page: a drawing of the strongest links and their characters, and its data."""
+    shown = edge_styles(strongest(links, top_edges)).collect()  # at most top_edges
+    ends = sorted({x for row in shown for x in (row["source"], row["target"])})
+    drawn = node_styles(metrics).filter(F.col("character").isin(ends)).orderBy(F.desc("pagerank"), "character")
+    nodes = [r.asDict() for r in drawn.select("character", "size", "colour", "mentions", "community").collect()]
+    names = {r["character"] for r in labelled(drawn).collect()}
+    at = {name: (20 + 960 * x, 20 + 680 * y) for name, (x, y) in layout(ends, [(r["source"], r["target"], r["weight"]) for r in shown]).items()}
+    lines = "".join('<line x1="{:.1f}" y1="{:.1f}" x2="{:.1f}" y2="{:.1f}" stroke="#999" stroke-opacity="0.5" stroke-width="{:.2f}"><title>{}</title></line>'.format(*at[r["source"]], *at[r["target"]], r["width"], html.escape(f"{r['source']} - {r['target']}: {r['weight']:.1f}")) for r in shown)
+    dots = "".join('<circle cx="{:.1f}" cy="{:.1f}" r="{:.1f}" fill="{}"><title>{}</title></circle>'.format(*at[n["character"]], n["size"] / 3, n["colour"], html.escape(n["character"])) for n in nodes)
+    words = "".join('<text x="{:.1f}" y="{:.1f}" font-size="12" text-anchor="middle">{}</text>'.format(*at[n["character"]], html.escape(n["character"])) for n in nodes if n["character"] in names)
     data = json.dumps({"nodes": nodes, "links": [r.asDict() for r in shown]}, ensure_ascii=False).replace("</", "<\\/")
-    rows = "".join(f"<li>{html.escape(r['source'])} - {html.escape(r['target'])}: {r['weight']:.1f}</li>" for r in shown)
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Network</title></head><body><div style="height:{html.escape(height)};overflow:auto"><ol>{rows}</ol></div><script type="application/json" id="network">{data}</script></body></html>'
+    drawing = f'<svg viewBox="0 0 1000 720" style="width:100%;height:{html.escape(height)}">{lines}{dots}{words}</svg>'
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Network</title></head><body>{drawing}<script type="application/json" id="network">{data}</script></body></html>'

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import classify, dialogue, graph, memory, mentions, network, themes
+from weftline.operators import classify, dialogue, graph, memory, mentions, network, themes, training
 from weftline.session import cut, spread
 from weftline.sources import wikitext
 
@@ -352,6 +352,16 @@ def largest_component(spark: SparkSession, sf: str) -> DataFrame:
     return network.induced(links, graph.largest_component(links)).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"{REACH} SELECT component, count(*) AS size FROM parts GROUP BY component ORDER BY size DESC, component LIMIT 100")
+def component_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.component_sizes(graph.components(whole(spark, sf)))
+
+
+@query(f"WITH {FOUND}, {edge_sql('', 8)}, e AS (SELECT source AS a, weight FROM edges UNION ALL SELECT target, weight FROM edges), s AS (SELECT a AS character, sum(weight) AS strength FROM e GROUP BY a) SELECT character, round(strength, 6) AS strength FROM s ORDER BY s.strength DESC, character LIMIT 22")
+def labelled_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return network.labelled(network.degrees(network.network(mention_rows(spark, sf))), by="strength").select("character", F.round("strength", 6).alias("strength"))
+
+
 @query()
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
     return graph.betweenness(whole(spark, sf)).select("character", F.round("betweenness", 6).alias("betweenness"))
@@ -454,6 +464,40 @@ def paired_diff(spark: SparkSession, sf: str) -> DataFrame:
     return classify.paired(fold_scores(spark, sf), "long", "short").select(F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "folds_won")
 
 
+@query(f"WITH {FOLD_SCORES}, m AS (SELECT model, avg(score) AS score FROM s GROUP BY model) SELECT model, round(score, 4) AS score, score = (SELECT max(score) FROM m) AS best FROM m")
+def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.leaderboard(fold_scores(spark, sf)).select("model", F.round("score", 4).alias("score"), "best")
+
+
+@query(f"""WITH f AS (SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY {SEEDED}, doc_id) - 1) % 5 AS own FROM labels),
+x AS (SELECT *, unnest(range(5)) AS fold FROM f), t AS (SELECT *, row_number() OVER (PARTITION BY fold, quality ORDER BY {SEEDED}, doc_id) AS p, count(*) OVER (PARTITION BY fold, quality) AS n FROM x WHERE own <> fold)
+SELECT doc_id, CAST(fold AS INTEGER) AS fold, CASE WHEN p <= floor(n * 0.15 + 0.5) THEN 'val' ELSE 'train' END AS part FROM t UNION ALL SELECT doc_id, CAST(fold AS INTEGER), 'test' FROM x WHERE own = fold""")
+def nested_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.nested_folds(table(spark, sf, "labels"), "doc_id", "quality").select("doc_id", "fold", "part")
+
+
+@query("""WITH runs AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+e AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS epoch, unnest(embedding)::DOUBLE AS score FROM runs),
+b AS (SELECT *, max(score) OVER (PARTITION BY vec_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+l AS (SELECT *, max(CASE WHEN before IS NULL OR score > before THEN epoch END) OVER (PARTITION BY vec_id ORDER BY epoch) AS best_epoch FROM b),
+ends AS (SELECT vec_id, coalesce(min(epoch) FILTER (epoch - best_epoch >= 2), max(epoch)) AS epochs FROM l GROUP BY vec_id)
+SELECT l.vec_id, CAST(l.best_epoch AS INTEGER) AS best_epoch, round(s.score, 6) AS best, CAST(epochs AS INTEGER) AS epochs FROM ends JOIN l ON l.vec_id = ends.vec_id AND l.epoch = ends.epochs JOIN e s ON s.vec_id = l.vec_id AND s.epoch = l.best_epoch""")
+def early_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector as the scores of a run by epoch."""
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    runs = table(spark, sf, "embeddings").filter((F.size("embedding") > 0) & usable)
+    stop = training.early_stop(F.col("embedding"))
+    return runs.select("vec_id", stop["best_epoch"].alias("best_epoch"), F.round(stop["best"], 6).alias("best"), stop["epochs"].alias("epochs"))
+
+
+@query()
+def baseline_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Both baselines on one split of the labelled documents: accuracy and macro-F1 on its test part."""
+    rows = memory.embed(labelled_texts(spark, sf), F.col("text"))
+    done = classify.run_baselines(rows, "label", classify.baseline_fits("label"))
+    return spark.createDataFrame([(name, r["accuracy"], r["macro_f1"]) for name, r in done.items()], "model string, accuracy double, macro_f1 double")
+
+
 @query("SELECT lang, source, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY lang, source")
 def row_shares(spark: SparkSession, sf: str) -> DataFrame:
     return classify.shares(table(spark, sf, "documents"), ["lang", "source"]).withColumn("percent", F.round("percent", 6))

@@ -173,3 +173,18 @@ def wiki_listing_requests(spark: SparkSession, sf: str) -> DataFrame:
     listed = F.struct(F.sort_array(F.collect_list(F.struct(F.col("url").alias("title")))).alias("categorymembers"))
     responses = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 500).alias("response")).agg(F.to_json(F.struct(listed.alias("query"))).alias("value"))  # a response lists 500 titles
     return files.wiki_listing(responses, keys=["response"])
+
+
+@query("""WITH p AS (SELECT page_id // 40 AS response, url FROM pages), n AS (SELECT response, count(*) AS n, row_number() OVER (ORDER BY response DESC) AS back FROM p GROUP BY response),
+b AS (SELECT *, greatest(130 - coalesce(sum(n) OVER (ORDER BY response ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS room FROM n),
+r AS (SELECT response, url, row_number() OVER (PARTITION BY response ORDER BY url) AS place FROM p)
+SELECT b.response, coalesce(string_agg(url, '|' ORDER BY place) FILTER (place <= room), '') AS titles, CASE WHEN any_value(room) > any_value(n) AND any_value(back) > 1 THEN 'c' || (b.response + 1) END AS cursor FROM b JOIN r ON r.response = b.response GROUP BY b.response""")
+def wiki_listing_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings of 40 titles, each with a cursor to the next, read up to 130 titles."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col("url").alias("title")))).alias("categorymembers")
+    lists = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 40).alias("response")).agg(listed)
+    last = lists.agg(F.max("response").alias("last"))
+    token = F.when(F.col("response") < F.col("last"), F.struct(F.concat(F.lit("c"), F.col("response") + 1).alias("cmcontinue")))
+    value = F.to_json(F.struct(F.struct("categorymembers").alias("query"), token.alias("continue")))
+    responses = lists.crossJoin(F.broadcast(last)).select("response", value.alias("value"))  # one row
+    return files.wiki_chain(responses, "response", 130).select("response", F.array_join("titles", "|").alias("titles"), "cursor")

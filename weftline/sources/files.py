@@ -121,13 +121,19 @@ def materialise(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     return spark.read.parquet(path)
 
 
-def resume(spark: SparkSession, path: str, groups: DataFrame, key: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Scores of all groups at ``path``, computing only those whose key is not there yet."""
+def resume(spark: SparkSession, path: str, groups: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], batches: int = 1) -> DataFrame:
+    """Scores of all groups at ``path``, computing only those whose key is not there yet.
+
+    What is left is dealt by its key into ``batches`` jobs, each written when it is done: a run that is ended
+    keeps all jobs before, and the next run goes on from there.
+    """
     rest = groups
     if _exists(spark, f"{path}/_SUCCESS"):
         rest = groups.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    if not rest.isEmpty():
-        score(rest).write.mode("append").parquet(path)
+    for batch in range(batches):
+        some = rest.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == batch)
+        if not some.isEmpty():
+            score(some).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -169,3 +175,20 @@ def wiki_listing(responses: DataFrame, body: Column | str = "value", batch: int
     members = rows.select(*by, F.posexplode(F.from_json(body, shape)["query"]["categorymembers"]).alias("at", "m"))
     grouped = members.groupBy(*by, F.floor(F.col("at") / batch).alias("request")).agg(F.sort_array(F.collect_list(F.struct("at", "m.title"))).alias("x"))
     return grouped.select(*keys, "request", F.array_join(F.transform("x", lambda x: x["title"]), "|").alias("titles"))
+
+
+def wiki_chain(responses: DataFrame, order: str, limit: int | None = None, body: Column | str = "value") -> DataFrame:
+    """``(order, titles, cursor)`` of the staged listings of one category, one row a response.
+
+    Titles beyond ``limit`` in all are left out. The cursor is what the next listing continues from: null after
+    the last response, and once the limit is reached. Counts of responses, not their titles, meet in one window.
+    """
+    shape = "query struct<categorymembers: array<struct<title: string>>>, continue struct<cmcontinue: string>"
+    parsed = responses.select(order, F.from_json(body, shape).alias("r"))
+    rows = parsed.select(order, F.transform("r.query.categorymembers", lambda m: m["title"]).alias("titles"), F.col("r.continue.cmcontinue").alias("cursor"))
+    if limit is None:
+        return rows
+    counts = rows.select(order, F.size("titles").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a response
+    room = counts.select(order, F.greatest(F.lit(limit) - before, F.lit(0)).cast("int").alias("room"))
+    return rows.join(room, order).select(order, F.slice("titles", F.lit(1), F.col("room")).alias("titles"), F.when(F.col("room") > F.size("titles"), F.col("cursor")).alias("cursor"))
