@@ -127,3 +127,24 @@ def test_overview_and_reports_before_any_stage(spark, tmp_path):
     (tmp_path / "outputs" / "models" / "metrics.json").write_text(json.dumps({"data": {"train": 3, "test": 1}}))
     assert service.report() == {"data": {"train": 3, "test": 1}, "crossval": None} and service.overview()["articles"] == 4
     assert not any(p["has_adapter"] for p in service.personas())
+
+
+def test_an_adapter_is_judged_on_records_held_out(spark, tmp_path):
+    class Tuned:
+        seen = None
+
+        def loss(self, rows):
+            self.rest = {r["completion"] for r in rows.collect()}
+            return 2.0 if self.seen is None else 1.0
+
+        def fit(self, rows, epochs):
+            self.seen = {r["completion"] for r in rows.collect()}
+
+        def save(self, path):
+            self.path = path
+
+    tuner = Tuned()
+    records = spark.createDataFrame([(f"p{i % 50}", f"c{i % 50}") for i in range(100)], "prompt string, completion string")
+    out = training.tune_adapter(tuner, records, "at", share=0.3)
+    assert out["examples"] + out["held_out"] == 100 and 0 < out["held_out"] < 60 and (out["loss_before"], out["loss_after"]) == (2.0, 1.0)
+    assert tuner.path == "at" and tuner.seen.isdisjoint(tuner.rest)
