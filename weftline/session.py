@@ -52,12 +52,23 @@ def scratch(spark: SparkSession, name: str = "table") -> str:
     return path
 
 
+def written(df: DataFrame) -> tuple[str, DataFrame]:
+    """The path of ``df`` as a table in the shared folder, and the table."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later plan reads, before the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written in the shared folder and read again: nothing before it is computed or planned once more.
 
     Unlike a checkpoint of rows it is columnar and compressed, a reader takes the columns that it needs, and no
     constraints of the former plan are carried on, which loops would multiply.
     """
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)[1]
