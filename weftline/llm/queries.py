@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import alignment, centroids, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, quality, sharding, token_counts, toxicity, transducer
+from weftline.llm import alignment, centroids, embedding_dedup, exact_dedup, html_extract, minhash_dedup, packing, personal, quality, sharding, token_counts, toxicity, transducer
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_packing": packing.op10_packing,
+    "op11_personal": personal.op11_personal,
     "op12_centroids": centroids.op12_centroids,
     "op13_alignment": alignment.op13_alignment,
 }
