@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from weftline.llm import labels, quality, toxicity
 
@@ -91,7 +92,9 @@ def test_cosines_are_exact():
     texts, marks = made(8, 60)
     model = quality.fit(texts, marks)
     probe = [t.encode() for t in made(9, 20)[0]]
-    projected = model.weighted(probe) @ model.axes
+    projected = np.zeros((len(probe), model.axes.shape[1]))
+    for text, column, value in zip(*model.weighted(probe)):
+        projected[text] += value * model.axes[column]
     projected /= np.linalg.norm(projected, axis=1, keepdims=True)
     for row, score in zip(projected, model.scores(probe)):
         cosine = np.array([row @ v for v in model.vectors])
@@ -148,6 +151,72 @@ def test_null_and_repeated_ids_are_scored(spark):
         assert len({r["score"] for r in out if r["doc_id"] == 4}) <= 2
 
 
+def test_windows_score_as_the_matrices_say():
+    net = toxicity.fit(*made(1, 24), rounds=1)
+    words = toxicity.read_words([t.encode() for t in made(5, 30)[0]] + [b""])
+    at, _ = toxicity.windows(words, blank := len(words.hashes))
+    assert np.allclose(net.logits(net.projected(words), at, blank), net.forward(net.inputs(words)[0] @ net.p["w"] + net.p["b"], at, blank), atol=1e-4)
+
+
+@pytest.fixture(scope="module")
+def fitted():
+    texts, marks = made(7, 120)
+    return toxicity.fit(texts, marks, rounds=2), quality.fit(texts, marks)
+
+
+def test_scores_hang_on_the_text_alone(fitted):
+    probe = [t.encode() for t in made(12, 256)[0]] + [b"", b"!!", b"a " * 9000, b"x" * 20_000]
+    for model in fitted:
+        alone = np.concatenate([model.scores([t]) for t in probe])
+        for size in (2, 7, 256):
+            for turn in (0, 1, 3):
+                moved = probe[turn:] + probe[:turn]
+                got = np.concatenate([model.scores(moved[k : k + size]) for k in range(0, len(moved), size)])
+                assert np.roll(got, turn).tobytes() == alone.tobytes(), (type(model), size)
+
+
+@pytest.mark.parametrize("size", [700, 3000])
+def test_long_texts_score_in_blocks_as_in_one_piece(fitted, monkeypatch, size):
+    rng = random.Random(size)
+    words = made(13, 40)[0]
+    probe = [rng.choice((" ", "\n", "  ", ", ")).join(words[:k]).encode() for k in (4, 9, 17, 30)] + [b"stupid " * 3000, b". " * 5000 + b"stupid", b"word " * 2000 + b"stupid moron " * 8]
+    for module, model in zip((toxicity, quality), fitted):
+        whole = model.scores(probe)
+        monkeypatch.setattr(module, "BYTES", size)
+        assert np.concatenate([model.scores([t]) for t in probe]).tobytes() == whole.tobytes()
+
+
+def test_stretches_have_the_windows_of_the_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "BYTES", 500)
+    monkeypatch.setattr(toxicity, "LONGEST_WORD", 90)
+    rng = random.Random(4)
+    for n in [*range(0, 400, 7), 3000]:
+        text = b" ".join(bytes(rng.choice(b"abc") for _ in range(rng.choice((1, 5, 9, 200)))) for _ in range(n))
+        parts = list(toxicity.stretches(text))
+        seen = []
+        for piece in ([text], parts):
+            rows = []
+            for part in piece:
+                words = toxicity.read_words([part])
+                at, _ = toxicity.windows(words, len(words.hashes))
+                rows += [tuple(np.append(words.hashes, 0)[at[:, k]]) for k in range(at.shape[1])]
+            seen.append(rows)
+        assert seen[0] == seen[1], n
+
+
+@pytest.mark.parametrize("k", [0, 1])
+def test_a_text_of_many_megabytes_needs_little_memory(fitted, k):
+    import tracemalloc
+
+    text = (" ".join(made(14, 40)[0]) + "\n").encode() * 700
+    assert len(text) > 20_000_000
+    tracemalloc.start()
+    score = fitted[k].scores([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and most < 150e6
+
+
 def test_samples_leave_out_what_is_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}" if i != 3 else None) for i in range(400)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, i % 3 == 0 and 1 or 0) for i in range(400)] + [(None, 1), (7, None)], "doc_id long, toxic int")

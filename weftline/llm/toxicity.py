@@ -4,6 +4,9 @@ A word's input is its own vector (words of the sample; one more for all others)
 its character n-grams. Overlapping windows of words run through both directions; attention weighs the
 states, and a text scores as its highest window. Fitting picks, again and again, the window of each text
 that decides its score, so that only texts need labels.
+
+A score hangs on its text alone: sums of products run feature by feature, over windows in blocks of one shape that
+are filled up with blanks, so no other text changes their order.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ GRAM_BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
 #: Steps of a round at least; a small sample is passed over again until there are so many.
 UPDATES = 24
-#: Distinct words whose n-grams are laid out at a time; a batch of windows has fewer.
-WORDS_AT_ONCE = 20_000
+#: Distinct words whose n-grams are laid out at a time, windows that are scored at a time, bytes of text.
+WORDS_AT_ONCE, WINDOWS, BYTES = 20_000, 256, 1 << 19
+#: Bytes of a run that is one word; a longer run is several, one behind the other.
+LONGEST_WORD = 4096
 
 _WORD_BYTE = np.zeros(256, dtype=bool)
 _WORD_BYTE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -60,12 +65,21 @@ class Words:
         return Words(self.hashes[which], data, np.concatenate(([0], ends)), np.zeros(0, np.int64), np.zeros(1, np.int64))
 
 
+def _bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` begin and end."""
+    edge = np.diff(_WORD_BYTE[data].astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if (parts := -(-(ends - starts) // LONGEST_WORD)).max(initial=1) > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(starts, parts) + nth * LONGEST_WORD
+        ends = np.minimum(np.repeat(ends, parts), starts + LONGEST_WORD)
+    return starts, ends
+
+
 def read_words(texts: list[bytes]) -> Words:
     """Runs of letters, digits and bytes above 127, with A-Z lower-cased."""
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
-    inside = _WORD_BYTE[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = _bounds(data)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_VALUES[data] * _powers(_BASE, len(data)), out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
@@ -100,6 +114,27 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order], own[order]
 
 
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that together have its windows, each but the last whole windows and no more."""
+    if len(text) <= 2 * BYTES:
+        yield text
+        return
+    carry = b""
+    for at in range(0, len(text), BYTES):
+        part = carry + text[at : at + BYTES]
+        if at + BYTES >= len(text):
+            yield part
+            return
+        starts, ends = _bounds(np.frombuffer(part, dtype=np.uint8))
+        words = [part[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        goes_on = len(words) > 0 and ends[-1] == len(part)
+        # so many windows that the text reaches over the last of them
+        n = max(0, (len(words) - goes_on - (WINDOW - STRIDE) - 1) // STRIDE)
+        if n:
+            yield b" ".join(words[: (n - 1) * STRIDE + WINDOW])
+        carry = b" ".join(words[n * STRIDE :]) + (b"" if goes_on else b" ")
+
+
 def windows(words: Words, blank: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all overlapping windows (WINDOW by windows), padded with ``blank``, and the text of each.
 
@@ -120,6 +155,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``w.T @ x`` for columns ``x`` of their own, added in the order of rows (matrix products add as it suits their tiles)."""
+    out = w[0][:, None] * x[0]
+    part = np.empty_like(out)
+    for k in range(1, len(x)):
+        np.multiply(w[k][:, None], x[k], out=part)
+        out += part
+    return out
+
+
 class Network:
     """Parameters, scores and gradients."""
 
@@ -224,19 +269,58 @@ class Network:
         g["w"], g["b"] = x.T @ d_projected, d_projected.sum(axis=0)
         return g, d_projected @ p["w"].T
 
-    def window_scores(self, texts: list[bytes], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all windows of all texts, and the text of each."""
-        words = read_words(texts)
-        projected = self.inputs(words)[0] @ self.p["w"] + self.p["b"]
-        at, text = windows(words, len(words.hashes))
-        return np.concatenate([self.forward(projected, at[:, k : k + block], len(words.hashes)) for k in range(0, at.shape[1], block)]), text
+    def projected(self, words: Words) -> np.ndarray:
+        """What the distinct words (and a last one, a blank) put into both directions, features by words."""
+        return _product(np.ascontiguousarray(self.inputs(words)[0].T), self.p["w"]) + self.p["b"][:, None]
+
+    def logits(self, projected: np.ndarray, at: np.ndarray, blank: int) -> np.ndarray:
+        """Logits of windows as of ``forward``, each by sums of its own."""
+        n = at.shape[1]
+        padded = np.full((len(at), -(-n // WINDOWS) * WINDOWS), blank)
+        padded[:, :n] = at
+        return np.concatenate([self._block(projected, np.ascontiguousarray(padded[:, k : k + WINDOWS]), blank) for k in range(0, padded.shape[1], WINDOWS)])[:n]
+
+    def _block(self, projected: np.ndarray, at: np.ndarray, blank: int) -> np.ndarray:
+        p, h, (steps, n) = self.p, HIDDEN, at.shape
+        states = np.empty((steps, 2 * h, n), np.float32)
+        for way in (0, 1):
+            own, u, c = projected[way * 3 * h : (way + 1) * 3 * h], p["u"][way], p["c"][way][:, None]
+            state = np.zeros((h, n), np.float32)
+            for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
+                x, pre = np.take(own, at[t], axis=1), _product(state, u)
+                gates = _sigmoid(x[: 2 * h] + pre[: 2 * h])
+                new = np.tanh(x[2 * h :] + gates[h:] * (pre[2 * h :] + c))
+                state = new + gates[:h] * (state - new)
+                states[t, way * h : (way + 1) * h] = state
+        flat = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(2 * h, -1)
+        hidden = np.tanh(_product(flat, p["att"]) + p["att_b"][:, None])
+        weight = _product(hidden, p["att_v"][:, None]).reshape(steps, n)
+        real = at != blank
+        real[0] |= ~real.any(axis=0)
+        weight = np.exp(np.where(real, weight - weight.max(axis=0), -np.inf))
+        weight /= weight.sum(axis=0)
+        return _product((states * weight[:, None]).sum(axis=0), p["out"][:, None])[0] + p["out_b"][0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Per text the probability of its highest window."""
-        logits, text = self.window_scores(texts)
+        """Per text the probability of its highest window, to six digits."""
         best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, text, logits)
-        return 1 / (1 + np.exp(-best.astype(np.float64)))
+
+        def score(some: list[tuple[int, bytes]]) -> None:
+            words = read_words([part for _, part in some])
+            at, part = windows(words, blank := len(words.hashes))
+            np.maximum.at(best, np.array([k for k, _ in some])[part], self.logits(self.projected(words), at, blank))
+
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            for part in stretches(text):
+                if some and size + len(part) > BYTES:
+                    score(some)
+                    some, size = [], 0
+                some.append((k, part))
+                size += len(part)
+        if some:
+            score(some)
+        return np.round(1 / (1 + np.exp(-best.astype(np.float64))), 6)
 
 
 class _Adam:
@@ -269,8 +353,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 7, batch: int = 128,
         if turn < 2:  # no window is known to decide yet: two of each text by chance
             key = rng.random(len(text))
         else:
-            projected = net.inputs(words)[0] @ net.p["w"] + net.p["b"]
-            key = np.concatenate([net.forward(projected, at[:, k : k + 2048], blank) for k in range(0, at.shape[1], 2048)])
+            key = net.logits(net.projected(words), at, blank)
         order = np.lexsort((-key, text))
         rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         chosen = order[rank < (2 if turn < 2 else 1)] if turn < 2 else order[(rank == 0) | ((rank < 3) & (y[text[order]] == 0))]
@@ -303,8 +386,9 @@ def score_toxicity(docs: DataFrame, model: Network | float, id_col: str = "doc_i
     and, last, the two under names that are free there.
 
     Whole texts are scored, in overlapping windows; null texts count as empty, and texts without words score
-    as one blank window does. Rows are independent: ids may be null or repeat, and an empty table gives an empty
-    table. The model (some MB) is broadcast; nothing is shuffled.
+    as one blank window does. Rows are independent, and equal texts score alike: ids may be null or repeat, and an
+    empty table gives an empty table. A text of more than 2 * BYTES is read in stretches, so it costs little more
+    memory than its own bytes. The model (some MB) is broadcast; nothing is shuffled.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -321,7 +405,7 @@ def score_toxicity(docs: DataFrame, model: Network | float, id_col: str = "doc_i
             at = 0
             while at < len(texts):
                 some, size = [], 0
-                while at + len(some) < len(texts) and (not some or size < 1 << 19):
+                while at + len(some) < len(texts) and (not some or size < 4 * BYTES):
                     some.append(texts[at + len(some)] or b"")
                     size += len(some[-1])
                 scores = net.scores(some) if isinstance(net, Network) else np.full(len(some), net)
