@@ -88,6 +88,16 @@ def test_quality_votes_by_neighbours(spark):
     assert quality.score_quality(rows.limit(0), model).count() == 0
 
 
+def test_axes_span_what_a_dense_decomposition_spans():
+    rng = np.random.default_rng(3)
+    dense = rng.random((60, 200)) * (rng.random((60, 200)) < 0.2) + np.outer(rng.random(60), rng.random(200)) * 3
+    of, column = np.nonzero(dense)
+    axes = quality._axes(of, column, dense[of, column], 60, 200, 8)
+    _, values, right = np.linalg.svd(dense)
+    assert np.allclose(axes.T @ axes, np.eye(8), atol=1e-6)
+    assert np.allclose(np.linalg.norm(dense @ axes, axis=0), values[:8], rtol=2e-2) and abs(axes[:, 0] @ right[0]) > 1 - 1e-9
+
+
 def test_cosines_are_exact():
     texts, marks = made(8, 60)
     model = quality.fit(texts, marks)

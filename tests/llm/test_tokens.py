@@ -131,6 +131,21 @@ def test_packing_invariants(spark, vocabulary):
     assert packing.pack(rows.limit(0), bpe.default_path()).count() == 0
 
 
+def test_second_step_places_by_the_same_rule_in_former_order(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = [{"doc_id": k, "piece": 0, "start": 0, "length": rng.randint(1, 40), "ids_crc32": k, "sequence_id": k // 3, "offset": k % 3} for k in range(500)]
+    bins = packing.BestFit(64, 4)
+    expected = {r["doc_id"]: bins.place(r["length"]) for r in rows}
+    rng.shuffle(rows)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("", (), {"partitionId": lambda self: 2})())
+    schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in packing.SCHEMA.split(", ")])
+    batches = [pa.RecordBatch.from_pylist(rows[k : k + 90], schema) for k in range(0, 500, 90)]
+    out = pa.Table.from_batches(packing._again(iter(batches), 64, 4)).to_pylist()
+    assert {r["doc_id"]: (r["sequence_id"] - packing.AGAIN - (2 << 40), r["offset"]) for r in out} == expected
+
+
 def test_unfilled_sequences_are_packed_again(spark):
     # 24 partitions of few documents: one by one they would leave nearly every sequence unfilled
     rows = spark.range(0, 720, 1, 24).selectExpr("if(id % 7 = 0, null, id) doc_id", "repeat(' word', cast(id * 37 % 90 as int)) text", "id sequence_id")

@@ -118,14 +118,13 @@ def encoder(path: str):
     return _encoders[path]
 
 
-def _again(batches: Iterator[pa.RecordBatch], capacity: int, left_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of unfilled sequences packed anew, the longest first: best fit with all that one task holds at hand."""
+def _again(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of unfilled sequences packed anew by the same rule, in the order of their former places."""
     some = [batch for batch in batches if batch.num_rows]
     if not some:
         return
-    rows = pa.Table.from_batches(some).sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
-    # two open bins hold more than one's capacity together, so these are enough
-    bins, base = BestFit(capacity, max(2 * left_tokens // capacity, 1)), AGAIN + (TaskContext.get().partitionId() << 40)
+    rows = pa.Table.from_batches(some).sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+    bins, base = BestFit(capacity, open_bins), AGAIN + (TaskContext.get().partitionId() << 40)
     places = np.array([bins.place(length) for length in rows["length"].to_pylist()], dtype=np.int64)
     for name, values in (("sequence_id", base + places[:, 0]), ("offset", places[:, 1])):
         rows = rows.set_column(rows.column_names.index(name), name, pa.array(values))
@@ -140,9 +139,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     columns may have any name, and an empty table gives an empty table.
 
     Every partition packs the stream of its own documents, in order and with ``open_bins`` open bins; what it
-    holds is bounded by them. Bins that are open at its end, the least filled ones, are packed again: their
-    pieces meet by sequence in tasks of about ``left_tokens`` tokens (a piece counts 64 more, so short ones are
-    bounded too), and those of many partitions share sequences. Only these pieces are shuffled. Both steps
+    holds is bounded by them. Bins that are open at its end, the least filled ones, are packed again by the same
+    rule: their pieces meet by sequence in tasks of about ``left_tokens`` tokens (a piece counts 64 more, so short
+    ones are bounded too), and those of many partitions share sequences. Only these pieces are shuffled. Both steps
     are written before they are read, so numbers of sequences stay as they are whatever reads them.
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
@@ -175,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     filled, unfilled = placed.filter("not unfilled").drop("unfilled"), placed.filter("unfilled").drop("unfilled")
     size = unfilled.agg(F.sum(F.col("length") + 64)).first()[0] or 0
     tasks = max(-(-size // left_tokens), 1)
-    return filled.union(cut(unfilled.repartition(tasks, "sequence_id").mapInArrow(lambda batches: _again(batches, capacity, left_tokens), schema)))
+    return filled.union(cut(unfilled.repartition(tasks, "sequence_id").mapInArrow(lambda batches: _again(batches, capacity, open_bins), schema)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

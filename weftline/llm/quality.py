@@ -31,7 +31,7 @@ RANK, NEIGHBOURS = 48, 15
 #: Buckets that words and pairs are hashed to. All terms that two texts of the sample have are used.
 BUCKETS = 1 << 18
 #: Axes beyond RANK, and passes, of the randomised decomposition.
-SPARE, PASSES = 16, 4
+SPARE, PASSES = 16, 3
 #: Share of the squared length of a vector that its words make up.
 WORD_SHARE = 0.25
 #: Bytes of text, and rows of the product, that are worked on at a time; longer texts are read in blocks.
@@ -213,28 +213,29 @@ def fit(texts: list[str], labels: list[int]) -> Model | float:
 
 def _axes(of: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, width: int, rank: int) -> np.ndarray:
     """The first right singular vectors of a sparse matrix (entries in order of rows), by a randomised range finder."""
-    order = np.argsort(column, kind="stable")
-    by_row, by_column = np.flatnonzero(np.diff(of, prepend=-1)), np.flatnonzero(np.diff(column[order], prepend=-1))
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    rows = list(zip(of[begins], begins, np.append(begins[1:], len(of))))
 
     def times(m: np.ndarray) -> np.ndarray:
         out = np.zeros((n, m.shape[1]))
-        for j in range(m.shape[1]):
-            out[of[by_row], j] = np.add.reduceat(value * m[column, j], by_row)
+        for row, a, b in rows:
+            out[row] = value[a:b] @ m[column[a:b]]
         return out
 
     def turned(m: np.ndarray) -> np.ndarray:
         out = np.zeros((width, m.shape[1]))
-        for j in range(m.shape[1]):
-            out[column[order][by_column], j] = np.add.reduceat((value * m[of, j])[order], by_column)
+        for row, a, b in rows:  # a column stands once in a row
+            out[column[a:b]] += value[a:b, None] * m[row]
         return out
 
-    basis = np.random.default_rng(11).standard_normal((width, min(rank + SPARE, width, n)))
+    left = times(np.random.default_rng(11).standard_normal((width, min(rank + SPARE, width, n))))
     for _ in range(PASSES):
-        basis = np.linalg.qr(turned(np.linalg.qr(times(basis))[0]))[0]
-    left = times(basis)
-    values, turn = np.linalg.eigh(left.T @ left)
+        left = times(turned(np.linalg.qr(left)[0]))
+    right = turned(np.linalg.qr(left)[0])
+    values, turn = np.linalg.eigh(right.T @ right)
     best = np.argsort(-values)[:rank]
-    return basis @ turn[:, best[values[best] > 1e-9]]
+    best = best[values[best] > 1e-9]
+    return right @ (turn[:, best] / np.sqrt(values[best]))
 
 
 def score_quality(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
