@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as X
+from weftline.operators.ordered import fold
 
 
 def arc_table(spark: SparkSession, arcs: list[tuple[int, int, str]] = fixed.ARCS) -> DataFrame:
@@ -51,10 +54,21 @@ def dialogue(lines: DataFrame, min_episodes: int = 5, window_s: float = 150.0, d
     return rows.filter("not is_song") if drop_songs else rows
 
 
+class _Script:
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+
+    def take(self, at: object, text: str) -> tuple:
+        self.parts.append(text)
+        return ()
+
+    def end(self) -> Iterator[tuple]:
+        yield (" ".join(self.parts),)
+
+
 def scripts(lines: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """One text per group: its lines in order, joined by a space. A group is an episode, a document, a conversation."""
-    in_order = F.sort_array(F.collect_list(F.struct(order, text)))
-    return lines.filter(F.col(text).isNotNull()).groupBy(*keys).agg(F.array_join(F.transform(in_order, lambda x: x[text]), " ").alias("script"))
+    return fold(lines.filter(F.col(text).isNotNull()).select(*keys, order, text), keys, [order], _Script, "script string")
 
 
 def with_previous(lines: DataFrame, keys: list[str], order: str, columns: dict[str, str], empty: str | None = None) -> DataFrame:

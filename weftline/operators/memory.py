@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators.dialogue import keep_first, with_previous
+from weftline.operators.ordered import fold
 
 #: Lines of a scene, and lines between the beginnings of two scenes.
 SCENE, STRIDE = 8, 4
@@ -80,14 +82,34 @@ def voice(lines: DataFrame, spoken: DataFrame | None, cards: list[Card], min_wor
     return keep_first(rows, ["character", "line"], ["at"]).drop("at")
 
 
+class _Windows:
+    """The last lines of a group, and how many there were."""
+
+    def __init__(self, size: int, stride: int) -> None:
+        self.lines, self.size, self.stride, self.n = collections.deque(maxlen=size), size, stride, 0
+
+    def _text(self) -> str:
+        return " ".join(line for line in self.lines if line is not None)
+
+    def take(self, at: object, text: str | None) -> Iterator[tuple]:
+        self.lines.append(text)
+        self.n += 1
+        first = self.n - self.size
+        if first >= 0 and first % self.stride == 0:
+            yield first, self._text()
+
+    def end(self) -> Iterator[tuple]:
+        if self.n < self.size:
+            yield 0, self._text()
+
+
 def scenes(lines: DataFrame, keys: list[str] = ["episode", "arc"], order: str = "line_idx", size: int = SCENE, stride: int = STRIDE) -> DataFrame:  # noqa: B006
     """``(*keys, first, text)``: overlapping windows of lines, at 0, stride, ... up to the last full one.
 
-    A shorter group is one window; up to stride - 1 lines after the last full window are in none.
+    A shorter group is one window; up to stride - 1 lines after the last full window are in none. Lines pass once, in
+    order, and only a window of them is held.
     """
-    grouped = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("lines"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - size, F.lit(0)), F.lit(stride))
-    return grouped.select(*keys, "lines", F.explode(starts).alias("first")).select(*keys, "first", F.array_join(F.transform(F.slice("lines", (F.col("first") + 1).cast("int"), size), lambda x: x["text"]), " ").alias("text"))
+    return fold(lines.select(*keys, order, "text"), keys, [order], lambda: _Windows(size, stride), "first int, text string")
 
 
 # -- embeddings

@@ -9,33 +9,47 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
+from weftline.operators.ordered import fold, in_order
 
 #: What scores a chunk against a label: a column function (chunk, label) -> probability.
 Scorer = Callable[[Column, Column], Column]
 
 
+class _Packing:
+    """The chunk of a group that is open, and how many were before it."""
+
+    def __init__(self, budget: int) -> None:
+        self.budget, self.chunk = budget, 0
+        self._open()
+
+    def _open(self) -> None:
+        self.first, self.size, self.texts = None, 0, []
+
+    def end(self) -> Iterator[tuple]:
+        if self.texts:
+            yield self.chunk, self.first, len(self.texts), self.size, " ".join(self.texts)
+            self.chunk += 1
+            self._open()
+
+    def take(self, at: object, n: int, text: str) -> Iterator[tuple]:
+        if self.size + n > self.budget:
+            yield from self.end()
+        if not self.texts:
+            self.first = at
+        self.size += n
+        self.texts.append(text)
+
+
 def chunks(lines: DataFrame, budget: int, keys: list[str] = ["episode"], order: str = "line_idx", tokens: Column | None = None) -> DataFrame:  # noqa: B006
     """``(*keys, chunk_id, first_line, n_lines, tokens, text)``: whole lines packed in order, greedily.
 
-    A chunk closes before the line that would take it above the budget; a longer line is a chunk alone.
-    The fold over a group's lines carries the current chunk's number and size and gives each line its chunk, so
-    texts are joined afterwards, once. A group (an episode, a document) must fit a row.
+    A chunk closes before the line that would take it above the budget; a longer line is a chunk alone. A group's
+    lines pass once, in order, and only the open chunk is held.
     """
     size = X.word_count(F.col("text")) if tokens is None else tokens
-    grouped = lines.filter(F.col("text").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, size.cast("int").alias("n"), "text"))).alias("lines"))
-    state = "struct<chunk:int,size:int,ids:array<int>>"
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(-1).alias("size"), F.array().cast("array<int>").alias("ids")).cast(state)
-
-    def step(acc: Column, line: Column) -> Column:
-        closes = (acc["size"] >= 0) & (acc["size"] + line["n"] > budget)
-        chunk = acc["chunk"] + F.when(closes, 1).otherwise(0)
-        total = F.when(closes | (acc["size"] < 0), line["n"]).otherwise(acc["size"] + line["n"])
-        return F.struct(chunk.alias("chunk"), total.alias("size"), F.concat(acc["ids"], F.array(chunk)).alias("ids")).cast(state)
-
-    ids = F.aggregate("lines", start, step)["ids"]
-    rows = grouped.select(*keys, F.explode(F.arrays_zip(ids.alias("chunk_id"), F.col("lines").alias("line"))).alias("x")).select(*keys, "x.chunk_id", "x.line")
-    of_chunk = rows.groupBy(*keys, "chunk_id").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.sum("line.n").alias("tokens"))
-    return of_chunk.select(*keys, "chunk_id", F.col("lines")[0][order].alias("first_line"), F.size("lines").alias("n_lines"), "tokens", F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("text"))
+    sized = lines.filter(F.col("text").isNotNull()).select(*keys, order, size.cast("long").alias("n"), "text")
+    schema = f"chunk_id int, first_line {sized.schema[order].dataType.simpleString()}, n_lines int, tokens long, text string"
+    return fold(sized, keys, [order], lambda: _Packing(budget), schema)
 
 
 def label_table(spark: SparkSession, labels: list[str], template: str = "This dialogue is about {}.") -> DataFrame:
@@ -125,7 +139,10 @@ def wide(episodes: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:
 
 
 def rolling(episodes: DataFrame, span: int = 9, order: str = "episode") -> DataFrame:
-    """Centred moving mean of each theme over ``span`` episodes, cut short at the ends."""
+    """Centred moving mean of each theme over ``span`` episodes, cut short at the ends.
+
+    A theme's episodes are dealt over ranges of episodes that overlap by half a span.
+    """
     half = span // 2
-    around = Window.partitionBy("theme").orderBy(order).rowsBetween(-half, half)
-    return episodes.withColumn("rolling", F.avg("score").over(around))
+    mean = lambda window: {"rolling": F.avg("score").over(window.rowsBetween(-half, half))}
+    return in_order(episodes, ["theme", order], mean, half, half, ["theme"], "__number").drop("__number")

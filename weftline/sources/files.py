@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as X
+from weftline.operators.dialogue import keep_first
+from weftline.operators.ordered import in_order
 
 EPISODE = r"(?i)Season\s*(\d+)\s*-\s*(\d+)"
 SRT_TIME = r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
@@ -80,8 +82,13 @@ def transcript(spark: SparkSession, path: str, min_words: int = 1) -> DataFrame:
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema="name string, line string")
     rows = rows.withColumn("at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())).dropna(subset=["name", "line"])
     rows = rows.select("at", X.squeeze(F.col("name")).alias("speaker"), X.clean_line(F.col("line")).alias("line")).filter(X.word_count(F.col("line")) >= min_words)
-    order = Window.orderBy("at")  # one transcript is one sequence
-    return rows.select((F.row_number().over(order) - 1).alias("turn"), "speaker", "line", F.lag("speaker").over(order).alias("prev_speaker"), F.lag("line").over(order).alias("prev_line"))
+    return transcript_turns(rows, "at")
+
+
+def transcript_turns(rows: DataFrame, at: str) -> DataFrame:
+    """``(turn, speaker, line, prev_speaker, prev_line)`` of ``(at, speaker, line)``: one sequence by ``at``, dealt over ranges of it."""
+    before = lambda window: {f"prev_{c}": F.lag(c).over(window) for c in ("speaker", "line")}
+    return in_order(rows, [at], before, before=1).select(F.col("number").cast("int").alias("turn"), "speaker", "line", "prev_speaker", "prev_line")
 
 
 ARTICLE = "name string, jutsu_name string, classification array<string>, jutsu_type string, description string, jutsu_description string"
@@ -103,9 +110,7 @@ def label_articles(rows: DataFrame, order: str, labels: list[str]) -> DataFrame:
     classes = X.classes_of(F.col("classification"), F.col("jutsu_type"))
     tidy = rows.select(order, "name", classes.alias("classes"), X.primary_label(classes, labels).alias("label"), X.squeeze(F.coalesce("description", F.lit(""))).alias("description"))
     tidy = tidy.filter(F.col("label").isNotNull() & (F.length("description") > 20))
-    first = Window.partitionBy("name").orderBy(order)
-    tidy = tidy.withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return tidy.select("name", "classes", "label", "description", F.concat(X.squeeze(F.col("name")), F.lit(". "), "description").alias("text"))
+    return keep_first(tidy, ["name"], [order]).select("name", "classes", "label", "description", F.concat(X.squeeze(F.col("name")), F.lit(". "), "description").alias("text"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
