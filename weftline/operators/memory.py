@@ -232,18 +232,15 @@ def scene_label() -> Column:
 # -- prompts
 
 
-def system_prompt(card: Card, voice_lines: list[str], scene_lines: list[str]) -> str:
-    """The system message of a persona: who it is, how it talks, what it said and what it may remember."""
-    parts = [
-        f"Speak as {card.full_name}, in character throughout, and never as a program.",
-        *(f"{title}: {value}" for title, value in (("Identity", card.identity), ("Personality", card.personality), ("Speech", card.speech), ("People", card.relationships)) if value),
-    ]
-    if voice_lines:
-        parts.append("Lines of yours, for their tone:\n" + "\n".join(f"- {line}" for line in voice_lines))
-    if scene_lines:
-        parts.append("Scenes that may matter:\n" + "\n".join(f"- {line}" for line in scene_lines))
-    parts.append(f"Answer as {card.name} would, in a few short spoken sentences. {card.speech}".rstrip())
-    return "\n\n".join(parts)
+def system_text(card: Card, said: Column, seen: Column) -> Column:
+    """The system message of a persona: who it is, how it talks, lines that it ``said`` and scenes that it has ``seen``.
+
+    Parts that are empty are left out.
+    """
+    about = [f"{title}: {value}" for title, value in (("Identity", card.identity), ("Personality", card.personality), ("Speech", card.speech), ("People", card.relationships)) if value]
+    listed = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}\n- "), F.array_join(lines, "\n- ")))
+    first, last = f"Speak as {card.full_name}, in character throughout, and never as a program.", f"Answer as {card.name} would, in a few short spoken sentences. {card.speech}".rstrip()
+    return F.array_join(F.array(*map(F.lit, [first, *about]), listed("Lines of yours, for their tone:", said), listed("Scenes that may matter:", seen), F.lit(last)), "\n\n")
 
 
 def query_text(history: Column, message: Column) -> Column:
@@ -273,13 +270,37 @@ def prompt(system: Column, exchanges: Column, history: Column, message: Column,
     return F.concat(one("system", system), demonstrations(exchanges, demos), recent(history, turns), one("user", message))
 
 
+def prompts(asks: DataFrame, card: Card, voices: DataFrame, scene_rows: DataFrame, examples: int = 4, demos: int = 2, scenes: int = 3, name_boost: float = 0.08, turns: int = 6, embedder: Embedder | None = None, search: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """``(query_id, messages, voice, scenes)`` of ``asks(query_id, history, message)``: whole prompts of one persona.
+
+    The nearest exchanges of ``voices`` open the conversation, the next ones and the nearest scenes are cited in the
+    system message. Many questions are asked at once where ``search`` is ``nearest_of_many``; at most ``examples``
+    + ``demos`` lines and ``scenes`` labels come to a question.
+    """
+    embedder, search = embedder or hashed_grams, search or nearest
+    asked = asks.withColumn("asked", query_text(F.col("history"), F.col("message")))
+    vectors = lambda text: embed(asked.select("query_id", text.alias("asked")), F.col("asked"), embedder).select("query_id", F.col("embedding").alias("query"))
+    in_place = lambda found, *of: found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", *of))).alias("found"))
+    said = in_place(search(voices.filter(F.col("character") == card.name), vectors(F.col("asked")), examples + demos, ["line", "context"]), "line", "context")
+    cited = search(scene_rows, vectors(F.concat(F.lit(f"{card.name}: "), "asked")), scenes, ["episode", "first", "arc", "text"], named(card.name, name_boost))
+    seen = in_place(cited.withColumn("label", scene_label()), "label")
+    rows = asked.join(said.withColumnRenamed("found", "said"), "query_id", "left").join(seen.withColumnRenamed("found", "seen"), "query_id", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    exchanges = F.coalesce("said", none(rows.schema["said"].dataType.elementType.simpleString()))
+    labels = F.coalesce(F.transform("seen", lambda x: x["label"]), none("string"))
+    lines = F.transform(exchanges, lambda x: x["line"])
+    # what was replayed as conversation is not cited again
+    system = system_text(card, F.filter(lines, lambda x, k: k >= demos), labels)
+    return rows.select("query_id", prompt(system, exchanges, F.col("history"), F.col("message"), demos, turns).alias("messages"), lines.alias("voice"), labels.alias("scenes"))
+
+
 def training_records(voices: DataFrame, card: Card, min_words: int = 3) -> DataFrame:
     """``(prompt, completion)`` of a character's exchanges with a context and enough words; an error if there is none."""
     rows = voices.filter((F.col("character") == card.name) & (F.length("context") > 0) & (X.word_count(F.col("line")) >= min_words))
     if rows.isEmpty():
         raise ValueError(f"no exchanges of {card.name}")
     one = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return rows.select(F.array(one("system", F.lit(system_prompt(card, [], []))), one("user", F.col("context"))).alias("prompt"), F.array(one("assistant", F.col("line"))).alias("completion"))
+    return rows.select(F.array(one("system", system_text(card, F.array(), F.array())), one("user", F.col("context"))).alias("prompt"), F.array(one("assistant", F.col("line"))).alias("completion"))
 
 
 # -- comparing replies

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -608,10 +610,53 @@ def prompt_messages(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.max_by("text", "turn").alias("message"))
     history = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
     none = F.array().cast("array<struct<context:string,line:string>>")
-    made = memory.prompt(F.lit(memory.system_prompt(CARD[0], [], [])), none, history, F.col("message"))
+    made = memory.prompt(memory.system_text(CARD[0], F.array(), F.array()), none, history, F.col("message"))
     return rows.select("conv_id", F.size(made).cast("long").alias("n_messages"), memory.query_text(history, F.col("message")).alias("query"))
 
 
+def letter_counts(texts: pd.Series) -> np.ndarray:
+    """How often each small letter occurs: vectors whose products are whole numbers, in any order of sums."""
+    found = texts.fillna("")
+    return np.stack([found.str.count(chr(97 + k)).to_numpy(float) for k in range(26)], axis=1)
+
+
+COUNTED = lambda c: f"[CAST(length({c}) - length(replace({c}, chr(97 + k::INT), '')) AS DOUBLE) FOR k IN range(26)]"
+
+
+def cited(title: str, lines: str) -> str:
+    return f"CASE WHEN len({lines}) > 0 THEN '{title}' || chr(10) || '- ' || array_to_string({lines}, chr(10) || '- ') END"
+
+
+@query(f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+v AS (SELECT context, line, {COUNTED("context || ' ' || line")} AS e FROM (SELECT coalesce(prev, '') AS context, text AS line, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS n FROM c WHERE role = 'assistant' AND {WORDS('text')} >= 4) WHERE n = 1),
+n AS (SELECT conv_id AS episode, count(*) AS n FROM conversations GROUP BY conv_id), placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at FROM conversations),
+w AS (SELECT episode, unnest(range(0, greatest(n - 8, 0) + 1, 4)) AS first FROM n),
+s AS (SELECT *, {COUNTED('text')} AS e FROM (SELECT episode, {ARC('episode')} AS arc, first, string_agg(p.text, ' ' ORDER BY p.at) AS text FROM w JOIN placed p ON p.conv_id = episode AND p.at BETWEEN first AND first + 7 GROUP BY ALL)),
+m AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+q AS (SELECT m.conv_id AS query_id, any_value(u.text) AS message, coalesce(list({{'role': h.role, 'content': h.text}} ORDER BY h.turn) FILTER (h.turn IS NOT NULL), []) AS history FROM m JOIN conversations u ON u.conv_id = m.conv_id AND u.turn = m.turn LEFT JOIN conversations h ON h.conv_id = m.conv_id AND h.turn < m.turn GROUP BY m.conv_id),
+a AS (SELECT *, array_to_string(list_concat([x.content FOR x IN history[greatest(len(history) - 1, 1):] IF x.role = 'user'], [message]), ' ') AS asked, [x FOR x IN history IF x.role IN ('user', 'assistant')] AS talk FROM q),
+b AS (SELECT *, {COUNTED('asked')} AS e, {COUNTED("'assistant: ' || asked")} AS f FROM a),
+said AS (SELECT query_id, list(line ORDER BY place) AS lines, list(context ORDER BY place) AS contexts FROM (SELECT query_id, line, context, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(v.e, b.e) DESC, line, context) AS place FROM b, v) WHERE place <= 6 GROUP BY query_id),
+seen AS (SELECT query_id, list('(Episode ' || episode || ', ' || arc || ') ' || text ORDER BY place) AS labels FROM (SELECT query_id, s.*, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(s.e, b.f) + CASE WHEN contains(text, 'assistant') THEN 0.08 ELSE 0 END DESC, episode, first, arc, text) AS place FROM b, s) WHERE place <= 3 GROUP BY query_id),
+parts AS (SELECT query_id, concat_ws(chr(10) || chr(10), 'Speak as The Assistant, in character throughout, and never as a program.', {cited('Lines of yours, for their tone:', 'lines[3:]')}, {cited('Scenes that may matter:', 'labels')}, 'Answer as assistant would, in a few short spoken sentences.') AS system, talk, message,
+  list_concat(CASE WHEN contexts[1] <> '' THEN ['user: ' || contexts[1], 'assistant: ' || lines[1]] ELSE [] END, CASE WHEN contexts[2] <> '' THEN ['user: ' || contexts[2], 'assistant: ' || lines[2]] ELSE [] END) AS demos FROM b LEFT JOIN said USING (query_id) LEFT JOIN seen USING (query_id))
+SELECT query_id, array_to_string(list_concat(['system: ' || system], demos, [x.role || ': ' || x.content FOR x IN talk[greatest(len(talk) - 11, 1):]], ['user: ' || message]), chr(10) || '----' || chr(10)) AS prompt FROM parts""")
+def whole_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation's last question of a user, with all that is retrieved for it from the others' exchanges and scenes."""
+    rows = turns(spark, sf)
+    spoken = dialogue.with_previous(rows, ["episode"], "line_idx", {"text": "prev_line"}).select((F.col("episode") * 1000 + F.col("line_idx")).alias("turn"), F.col("role").alias("speaker"), F.col("text").alias("line"), "prev_line")
+    card = memory.Card("assistant", "The Assistant")
+    voices = memory.embed(memory.voice(rows.select("episode", "line_idx", "text"), spoken, [card]), F.concat_ws(" ", "context", "line"), letter_counts)
+    scene_rows = memory.embed(memory.scenes(dialogue.with_arc(rows, ARCS)), F.col("text"), letter_counts)
+    whole_talk = F.sort_array(F.collect_list(F.struct("line_idx", "role", F.col("text").alias("content"))))
+    asked = rows.groupBy(F.col("episode").alias("query_id")).agg(whole_talk.alias("all"), F.max(F.when(F.col("role") == "user", F.struct("line_idx", "text"))).alias("last")).filter("last is not null")
+    earlier = F.transform(F.filter("all", lambda x: x["line_idx"] < F.col("last.line_idx")), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    asks = asked.select("query_id", earlier.alias("history"), F.col("last.text").alias("message"))
+    made = memory.prompts(cut(asks), card, cut(voices), cut(scene_rows), embedder=letter_counts, search=memory.nearest_of_many)
+    told = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return made.select("query_id", F.array_join(told, "\n----\n").alias("prompt"))
+
+
 @query(f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
 v AS (SELECT * FROM (SELECT coalesce(prev, '') AS context, text AS line, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS n FROM c WHERE role = 'assistant' AND {WORDS('text')} >= 4) WHERE n = 1)
 SELECT context AS user_content, line AS completion FROM v WHERE length(context) > 0""")
