@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import classify, dialogue, graph, memory, mentions, network, themes, training
+from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, themes, training
 from weftline.session import cut, spread
 from weftline.sources import wikitext
 
@@ -396,6 +396,16 @@ def gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("episode", "line_idx", "character")
 
 
+@query()
+def mention_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of all documents by a field fitted on phrases of the cast, with the gate of words that are commonly written small."""
+    rows = cut(lines(spark, sf).select("episode", F.col("line_idx").cast("long").alias("line_idx"), "text"))
+    small = rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![\p{L}\p{N}])(\p{Ll}+)(?![\p{L}\p{N}])"), F.lit(1))).alias("word"))
+    field = names.fit_on(rows, name_aliases())
+    found = mentions.extract(rows, spark, names.model(field), name_aliases(), cut(mentions.frequencies(small)))
+    return found.select("episode", "line_idx", "character", "source")
+
+
 # -- labels
 
 
