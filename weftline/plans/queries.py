@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, themes, training
+from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, themes, training, vectors
 from weftline.session import cut, spread
 from weftline.sources import wikitext
 
@@ -581,6 +581,22 @@ def recall_scenes(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "place", F.col("episode").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '(\p{L}+)', 1) AS w FROM documents), p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT w[i] AS a, w[i + d] AS b FROM w, range(1, 5) t(d), unnest(range(1, len(w) - d + 1)) u(i)) GROUP BY ALL),
+c AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM p UNION ALL SELECT b, a, n FROM p) GROUP BY a, b), t AS (SELECT a, sum(n) AS s FROM c GROUP BY a), x AS (SELECT c.a, c.b, c.n, ln(c.n * (SELECT sum(s) FROM t) / t.s / u.s) AS x FROM c JOIN t ON t.a = c.a JOIN t u ON u.a = c.b WHERE t.s >= 5 AND u.s >= 5)
+SELECT a, b, round(x, 6) AS information FROM x WHERE x > 0""")
+def word_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Positive mutual information of words within four words of each other."""
+    found = vectors.mutual_information(vectors.pair_counts(spread(table(spark, sf, "documents").select("text"))))
+    return found.select("a", "b", F.round("x", 6).alias("information"))
+
+
+@query()
+def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of all documents from words of all documents."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return vectors.document_vectors(docs, cut(vectors.word_vectors(docs).words))
+
+
 CENTRES = """means AS (SELECT label, i, avg(embedding[i + 1]::DOUBLE) AS x FROM embeddings, range(64) r(i) GROUP BY label, i), lengths AS (SELECT label, sqrt(sum(x * x)) AS l FROM means GROUP BY label)"""
 
 
