@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, themes, training, vectors
+from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, neural, themes, training, vectors
 from weftline.session import cut, spread
 from weftline.sources import wikitext
 
@@ -528,6 +528,20 @@ def tfidf_logreg(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", F.col("label").alias("y_true"), "y_pred", classify.argmax(F.col("probabilities")).alias("likeliest"))
 
 
+@query()
+def cv_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Every labelled text's prediction by the network of its test fold; five folds are fitted in one set of passes."""
+    rows = cut(table(spark, sf, "labels").dropDuplicates(["doc_id"]).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.col("quality").cast("string").alias("label"), "text"))
+    return neural.cross_validate(rows, "doc_id", "label", ["0", "1"])[0]
+
+
+@query()
+def fine_tuned(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss and macro-F1 on the validation split by epoch, of a network trained on the labelled texts."""
+    done = training.fine_tune(neural.Network("label", ["0", "1"]), labelled_texts(spark, sf), "label")
+    return spark.createDataFrame([(h["epoch"], h["loss"], h["val_macro_f1"], h["epoch"] == done["best_epoch"], done["macro_f1"]) for h in done["history"]], "epoch int, loss double, val_macro_f1 double, best boolean, test_macro_f1 double")
+
+
 @query()
 def embedding_logreg(spark: SparkSession, sf: str) -> DataFrame:
     rows = classify.stratified_split(table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("label"), "embedding"), "vec_id", "label")
