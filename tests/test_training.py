@@ -125,7 +125,7 @@ def test_overview_and_reports_before_any_stage(spark, tmp_path):
     assert out["lines"] == 0 and out["characters"] == 0 and not any(out["ready"].values())
     (tmp_path / "outputs" / "models").mkdir(parents=True)
     (tmp_path / "outputs" / "models" / "metrics.json").write_text(json.dumps({"data": {"train": 3, "test": 1}}))
-    assert service.report() == {"data": {"train": 3, "test": 1}, "crossval": None} and service.overview()["articles"] == 4
+    assert service.report() == {"data": {"train": 3, "test": 1}, "crossval": None} and service.overview()["jutsus"] == 4
     assert not any(p["has_adapter"] for p in service.personas())
 
 

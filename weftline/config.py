@@ -30,6 +30,7 @@ class Subtitles:
 class Themes:
     hypothesis_template: str = "This dialogue is about {}."
     labels: tuple[str, ...] = ("friendship", "hope", "sacrifice", "battle", "self development", "betrayal", "love", "loneliness", "revenge", "family")
+    model_name: str = "lexical"
     chunk_max_tokens: int = 320
     batch_size: int = 32
     batches: int = 8
@@ -37,6 +38,7 @@ class Themes:
 
 @dataclasses.dataclass(frozen=True)
 class Characters:
+    model_name: str = "names"
     window_lines: int = 10
     decay_tau: float = 4.0
     min_mentions: int = 8
@@ -46,6 +48,7 @@ class Characters:
 @dataclasses.dataclass(frozen=True)
 class Articles:
     labels: tuple[str, ...] = ("Genjutsu", "Ninjutsu", "Taijutsu")
+    model_name: str = "tfidf_logreg"
     seed: int = 42
     folds: int = 5
     wiki: str = ""
@@ -54,6 +57,8 @@ class Articles:
 
 @dataclasses.dataclass(frozen=True)
 class Persona:
+    base_model: str = ""
+    embedding_model: str = "hashed_grams"
     retrieved_examples: int = 4
     scenes: int = 3
     name_boost: float = 0.08

@@ -224,6 +224,19 @@ def top_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return themes.excerpts(scored_rows(spark, sf), "tion", 5, ["episode", "chunk_id"]).select("episode", F.col("chunk_id").cast("long").alias("chunk_id"), "text")
 
 
+#: Labels and episodes of a question, as many of these as one may ask for.
+ASKED, SPAN = [" chach", "reer ", "  "], (1, 20)
+
+
+@query(f"""{CHUNKS}, labels_(theme) AS (VALUES ('chach'), ('reer')), words AS (SELECT episode, [w FOR w IN regexp_split_to_array(lower(text), '[^a-z]+') IF w <> ''] AS w FROM chunks WHERE episode BETWEEN {SPAN[0]} AND {SPAN[1]})
+SELECT episode, theme, count(*) AS n_chunks, round(avg(CASE WHEN len(w) > 0 THEN len([x FOR x IN w IF starts_with(x, theme[1:4])]) / len(w) ELSE 0 END), 6) AS score FROM words, labels_ GROUP BY episode, theme""")
+def asked_themes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of one's own over a range of episodes, blanks around labels and blank labels gone."""
+    some = lines(spark, sf).filter(F.col("episode").isin(list(range(SPAN[0], SPAN[1] + 1))))
+    scored = themes.score(themes.chunks(some, BUDGET), themes.label_table(spark, ASKED))
+    return themes.by_episode(scored).withColumn("score", F.round("score", 6))
+
+
 @query(f"{SCORED} SELECT episode, theme, round(avg(score) OVER (PARTITION BY theme ORDER BY episode ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS rolling FROM episodes")
 def theme_rolling9(spark: SparkSession, sf: str) -> DataFrame:
     return themes.rolling(theme_rows(spark, sf)).select("episode", "theme", F.round("rolling", 6).alias("rolling"))
@@ -565,6 +578,11 @@ def voice_table(spark: SparkSession, sf: str) -> DataFrame:
     return memory.voice(rows.select("episode", "line_idx", "text"), spoken, CARD)
 
 
+@query(f"SELECT character, source, count(*) AS n FROM ({ORACLES['voice_table']}) GROUP BY character, source")
+def voice_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return voice_table(spark, sf).groupBy("character", "source").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {LINES}, n AS (SELECT episode, max(line_idx) + 1 AS n FROM lines GROUP BY episode), w AS (SELECT episode, unnest(range(0, greatest(n - 8, 0) + 1, 4)) AS first FROM n)
 SELECT w.episode, {ARC('w.episode')} AS arc, w.first, string_agg(l.text, ' ' ORDER BY l.line_idx) AS text FROM w JOIN lines l ON l.episode = w.episode AND l.line_idx BETWEEN w.first AND w.first + 7 GROUP BY ALL""")
 def scene_windows(spark: SparkSession, sf: str) -> DataFrame:

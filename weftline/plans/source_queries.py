@@ -27,7 +27,6 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-ALIAS_CASES = ["Sasuke-kun", "Lady Tsunade", "Naruto's", "SAKURA", "Sakur--", "Gennai", "Uchiha", "hey", "Pervy Sage", "Naruto Uzumaki-kun", "Kak-", "Bo"]
 # surfaces s -> names: cut-off names by their beginning, others by aliases of ever shorter forms, then by their shape
 RESOLVED = f"""known AS MATERIALIZED (SELECT lower(a) AS a, c FROM (VALUES {values(fixed.alias_rows())}) t(a, c)), stop AS (SELECT w FROM (VALUES {values([(w,) for w in fixed.STOPLIST])}) t(w)),
 bare AS (SELECT surface, trim(surface, {quoted(" .,!?…" + chr(34) + chr(39))}) AS raw FROM s),
@@ -40,9 +39,15 @@ SELECT p.surface, CASE WHEN p.cut THEN b.c ELSE coalesce(x.c, y.c, z.c, CASE WHE
 FROM proper p LEFT JOIN begun b ON b.surface = p.surface LEFT JOIN known x ON x.a = lower(plain) LEFT JOIN known y ON y.a = lower(untitled) LEFT JOIN known z ON z.a = lower(string_split(untitled, ' ')[1])"""
 
 
-@query(f"WITH s AS (SELECT surface FROM (VALUES {values([(x,) for x in ALIAS_CASES])}) t(surface)), {RESOLVED}")
+SPOKEN = "SELECT episode, line_idx, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{3,}(?:[- ][A-Z]?[a-z]+)?)', 1)) AS surface FROM lines"
+
+
+@query(f"WITH {LINES}, said AS ({SPOKEN}), s AS (SELECT DISTINCT surface FROM said), r AS (SELECT * FROM (WITH {RESOLVED})) SELECT episode, r.character, count(*) AS n FROM said JOIN r USING (surface) WHERE r.character IS NOT NULL GROUP BY episode, r.character")
 def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return mentions.resolve(spark.createDataFrame([(x,) for x in ALIAS_CASES], "surface string"), spark).select("surface", "character")
+    """How often each document names whom: capitalised words, with a second word where one follows, resolved once each."""
+    said = mentions.capitalised(lines(spark, sf), r"\b([A-Z][a-z]{3,}(?:[- ][A-Z]?[a-z]+)?)").select("episode", "line_idx", "surface")
+    names = mentions.resolve(said.select("surface").distinct(), spark).filter("character is not null").select("surface", "character")
+    return said.join(names, "surface").groupBy("episode", "character").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LINES}, s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{{3,}})', 1)) AS surface FROM lines), {RESOLVED}")
