@@ -183,3 +183,13 @@ def test_placement_agrees_with_a_plain_list_of_bins():
             assert packing_.place(length) == (chosen[0], capacity - chosen[1])
             if chosen[1] - length:
                 bins.append([chosen[0], chosen[1] - length])
+
+
+def test_null_and_repeated_ids_and_names_that_clash(spark):
+    rows = [(None, "two words"), (None, None), (3, "two words"), (3, "two words"), (3, "other"), (4, "")]
+    docs = spark.createDataFrame([(*r, 7, "x", True) for r in rows], "doc_id long, text string, n_tokens long, ids_sha256 string, over_limit boolean")
+    for run in (transducer.round_trip, token_counts.token_counts):
+        out = run(docs, bpe.default_path())
+        counts = sorted((str(r["doc_id"]), r["n_tokens"]) for r in out.collect())
+        assert counts == [("3", 1), ("3", 2), ("3", 2), ("4", 0), ("None", 0), ("None", 2)]
+        assert run(docs.limit(0), bpe.default_path()).count() == 0

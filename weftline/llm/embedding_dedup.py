@@ -56,7 +56,7 @@ def _quantised(classes: DataFrame) -> DataFrame:
                 codes, scales, errors = quantise(_matrix(some))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(3), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scales), pa.array(errors), some.column(1)], names=["id", "size", "codes", "scale", "error", "vector"])
 
-    return classes.select("id", "vector", F.size("vector").alias("dim"), "size").mapInArrow(of_partition, "id long, size long, codes binary, scale double, error double, vector array<double>")
+    return classes.select("id", "vector", F.size("vector").alias("dim"), "size").mapInArrow(of_partition, f"id long, size long, codes binary, scale double, error double, vector {classes.schema['vector'].dataType.simpleString()}")
 
 
 class _Forest:
@@ -94,7 +94,7 @@ def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iter
     ids = [np.asarray(t.column("id")) for t in (left, right)]
     sizes = [np.asarray(t.column("size")) for t in (left, right)]
     codes = [np.frombuffer(b"".join(t.column("codes").to_pylist()), dtype=np.int8).reshape(len(t), -1).astype(np.float32) for t in (left, right)]
-    full = [t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (left, right)]
+    full = [t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (left, right)]  # as stored
     scales = [np.asarray(t.column("scale")) for t in (left, right)]
     errors = [np.asarray(t.column("error")) for t in (left, right)]
     n, m = len(left), len(right)
@@ -106,7 +106,7 @@ def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iter
         # in units of the left scale, and in 32 bits: a coarse pass finds the few pairs that bounds must decide
         products = _products_of(codes[0][rows], codes[1])
         floor = (threshold - SLACK - errors[0][rows][:, None] - (1 + errors[0][rows][:, None]) * errors[1][None, :].max()) / scales[0][rows][:, None]
-        i, j = np.nonzero(products * scales[1].astype(np.float32)[None, :] >= (floor * (1 - 1e-5) - 1e-5).astype(np.float32))
+        i, j = np.nonzero(products * scales[1].astype(np.float32)[None, :] >= (floor - np.abs(floor) * 1e-5 - 1e-5).astype(np.float32))
         if same:
             above = j > i + at
             i, j = i[above], j[above]
@@ -118,7 +118,7 @@ def _tile(left: pa.Table, right: pa.Table, same: bool, threshold: float) -> Iter
         band = np.flatnonzero(~linked & (np.abs(value - threshold) <= bound))
         for k in range(0, len(band), PAIRS):
             some = band[k : k + PAIRS]
-            linked[some] = _cosines(full[0][i[some] + at], full[1][j[some]]) >= threshold
+            linked[some] = _cosines(full[0][i[some] + at].astype(np.float64), full[1][j[some]].astype(np.float64)) >= threshold
         a, b = i[linked] + at, j[linked]
         np.add.at(counts[0], a, sizes[1][b])
         np.add.at(counts[1], b, sizes[0][a])
@@ -174,10 +174,12 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # components of four bytes stay so until cosines are computed: their cast to double is exact
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
     usable = F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value to a comparison but not to a key
-    keyed = rows.withColumn("vector", F.when(usable & F.col("vec_id").isNotNull(), F.transform("vector", lambda x: x + F.lit(0.0))))
+    keyed = rows.withColumn("vector", F.when(usable & F.col("vec_id").isNotNull(), F.transform("vector", lambda x: x + F.lit(0.0)).cast(kind)))
     keyed = keyed.select("vec_id", "vector", F.xxhash64("vector").alias("hash"), F.md5(F.to_json(F.struct("vector"))).alias("key"))
     keyed = cut(keyed.withColumn("key", F.when(F.col("vector").isNotNull(), F.concat("key", F.hex("hash")))).drop("hash"))
     classes = cut(keyed.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("vector").alias("vector")))

@@ -114,7 +114,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: s
     """Per row: doc_id, n_bytes, n_tokens, over_limit, fit_bytes; with ``with_prefixes`` the counts themselves.
 
     ``fit_bytes`` is the longest prefix, in bytes of whole characters, of at most ``limit`` tokens; ``prefix_counts``
-    holds the count at every byte. Null texts count as empty. Rows are independent: nothing is shuffled.
+    holds the count at every byte. Null texts count as empty. Rows are independent: nothing is shuffled. Ids of
+    documents may be null or repeat, each row has its own result, other columns may have any name, and an empty
+    table gives an empty table.
     """
     columns = [("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("over_limit", pa.bool_(), "boolean"), ("fit_bytes", pa.int64(), "long")]
     if with_prefixes:

@@ -186,7 +186,9 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_outputs`` also ids and decoded text.
 
     Every whole text is encoded, then decoded from its ids. Null texts count as empty. Rows are independent:
-    nothing is shuffled, and ids and text are hashed part by part as they leave the transducers.
+    nothing is shuffled, and ids and text are hashed part by part as they leave the transducers. Ids of documents may
+    be null or repeat, each row has its own result, other columns may have any name, and an empty table gives an
+    empty table.
     """
     columns = [("doc_id", pa.int64(), "long"), ("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
     if with_outputs:
