@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, neural, themes, training, vectors
+from weftline.operators import classify, dialogue, graph, memory, mentions, names, network, neural, themes, topics, training, vectors
 from weftline.session import cut, spread
 from weftline.sources import wikitext
 
@@ -224,6 +224,14 @@ def top_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return themes.excerpts(scored_rows(spark, sf), "tion", 5, ["episode", "chunk_id"]).select("episode", F.col("chunk_id").cast("long").alias("chunk_id"), "text")
 
 
+@query()
+def topic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all documents against labels by seeded topics, which are fitted on all chunks."""
+    chunked = cut(chunk_rows(spark, sf).select("episode", "chunk_id", "text"))
+    found = topics.factorise(chunked, ["episode", "chunk_id"], LABELS)
+    return topics.score(found, chunked.drop("text"), ["episode", "chunk_id"])
+
+
 #: Labels and episodes of a question, as many of these as one may ask for.
 ASKED, SPAN = [" chach", "reer ", "  "], (1, 20)
 
