@@ -225,3 +225,45 @@ def test_every_term_of_enough_texts_is_a_feature(spark):
                 for at in range(len(word) + 3 - n):
                     grams.setdefault(f" {word} "[at : at + n], set()).add(i)
     assert found[1] == {gram for gram, texts in grams.items() if len(texts) >= 3}
+
+
+def test_pairs_are_shuffled_once_in_as_many_tasks_as_mentions_ask_for(spark):
+    rows = [(e, "a", (i * 7) % 30, f"N{(i * i + e) % 9}", 0.0) for e in range(4) for i in range(25)]
+    few = network.edges(spark.createDataFrame(rows, NAMES))
+    many = network.edges(spark.createDataFrame(rows, NAMES), at_once=5)
+    key = lambda r: (r["source"], r["target"], round(r["weight"], 9), r["cooccurrences"], r["episodes"])
+    assert sorted(map(key, few.collect())) == sorted(map(key, many.collect())) and few.count() > 20
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and "Union" not in network.degrees(many)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_louvain_of_a_graph_of_more_links_than_a_task_takes(spark):
+    rng = np.random.default_rng(3)
+    names = [f"n{i:03d}" for i in range(120)]
+    edges = [(names[i], names[j], 3.0 if i % 4 == j % 4 else 1.0) for i in range(120) for j in range(i + 1, 120) if rng.random() < (0.5 if i % 4 == j % 4 else 0.05)]
+    links = spark.createDataFrame(edges, "source string, target string, weight double")
+    found = {r["character"]: r["community"] for r in graph.louvain(links, at_most=300).collect()}
+    assert found == {name: i % 4 for i, name in enumerate(names)}
+    keyed = links.withColumn("arc", F.lit("x")).union(spark.createDataFrame([("p", "q", 1.0, "y")], "source string, target string, weight double, arc string"))
+    by_arc = {(r["arc"], r["character"]): r["community"] for r in graph.louvain(keyed, ["arc"], at_most=300).collect()}
+    assert by_arc == {**{("x", k): v for k, v in found.items()}, ("y", "p"): 0, ("y", "q"): 0}
+
+
+def test_betweenness_leaves_out_links_that_no_shortest_path_takes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    edges = [(f"n{i:02d}", f"n{j:02d}", float(rng.integers(1, 5)) * (20 if i == 0 else 1)) for i in range(40) for j in range(i + 1, 40) if rng.random() < 0.6]
+    edges += [(f"p{i:03d}", f"p{i + 1:03d}", 1.0) for i in range(90)]  # a path longer than the passes, apart from the rest
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    place, around = {x: i for i, x in enumerate(names)}, [[] for _ in names]
+    for a, b, w in edges:
+        around[place[a]].append((place[b], 1 / w))
+        around[place[b]].append((place[a], 1 / w))
+    want = sum(graph.shortest_path_shares(around, k) for k in range(len(names))) / (len(names) - 1) / (len(names) - 2)
+    links = spark.createDataFrame(edges, "source string, target string, weight double")
+    got = {r["character"]: r["betweenness"] for r in graph.betweenness(links).collect()}
+    assert np.allclose([got[x] for x in names], want, atol=1e-12)
+    assert graph._without_detours(graph._numbered(links)[1], len(names)).count() < len(edges) / 2
+    numbered = [(place[a], place[b], 1 / w) for a, b, w in edges if a[0] == "n"]
+    both = np.array(sorted([(b, a, x) for a, b, x in numbered] + numbered, key=lambda e: e[1]))
+    some = graph.shares_at_once(both[:, 0].astype(int), both[:, 1].astype(int), both[:, 2], len(names), np.arange(10))
+    assert np.allclose(some, sum(graph.shortest_path_shares(around, k) for k in range(10)), atol=1e-9)
