@@ -267,3 +267,11 @@ def test_betweenness_leaves_out_links_that_no_shortest_path_takes(spark, monkeyp
     both = np.array(sorted([(b, a, x) for a, b, x in numbered] + numbered, key=lambda e: e[1]))
     some = graph.shares_at_once(both[:, 0].astype(int), both[:, 1].astype(int), both[:, 2], len(names), np.arange(10))
     assert np.allclose(some, sum(graph.shortest_path_shares(around, k) for k in range(10)), atol=1e-9)
+
+
+def test_words_of_a_chunk_are_taken_once_for_all_labels(spark):
+    chunked = spark.createDataFrame([(1, "The battle, the BATTERY and 7"), (2, "9 8"), (3, None)], "episode int, text string")
+    scored = themes.score(chunked, themes.label_table(spark, ["batt", "the", "ands"]))
+    assert {(r["episode"], r["theme"]): r["score"] for r in scored.collect()} == {(1, "batt"): 0.4, (1, "the"): 0.4, (1, "ands"): 0.0, **{(e, t): 0.0 for e in (2, 3) for t in ("batt", "the", "ands")}}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.index("Join") < plan.index("split(")
