@@ -148,3 +148,23 @@ def test_an_adapter_is_judged_on_records_held_out(spark, tmp_path):
     out = training.tune_adapter(tuner, records, "at", share=0.3)
     assert out["examples"] + out["held_out"] == 100 and 0 < out["held_out"] < 60 and (out["loss_before"], out["loss_after"]) == (2.0, 1.0)
     assert tuner.path == "at" and tuner.seen.isdisjoint(tuner.rest)
+
+
+def test_the_gradient_of_texts_is_summed_in_as_many_parts_as_there_are_cores(spark, monkeypatch):
+    parts, made = [], classify._logistic
+
+    class Seen(type(made(1.0, 1.0))):
+        def _fit(self, rows):
+            parts.append(rows.rdd.getNumPartitions())
+            return super()._fit(rows)
+
+    def seen(c, total):
+        out = Seen()
+        made(c, total)._copyValues(out)
+        return out
+
+    monkeypatch.setattr(classify, "_logistic", seen)
+    rows = spark.createDataFrame([(f"word{k % 7} and other{k % 5} here", "ab"[k % 2]) for k in range(60)], "text string, label string").repartition(23)
+    model = classify.tfidf_logistic(rows, "label", min_words=1, min_chars=1)
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+    assert {r["y_pred"] for r in classify.predict(model, rows).collect()} <= {"a", "b"}
