@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +78,18 @@ def test_ranks_are_the_same_whether_values_are_sent_or_joined(spark):
         sent, joined = ({r["character"]: r[column] for r in run(links, at_once=n).collect()} for n in (100, 0))
         assert sent.keys() == joined.keys() and all(abs(sent[k] - joined[k]) < 1e-8 for k in sent)
         assert run(links.limit(0)).count() == 0
+
+
+def test_components_in_place_and_by_shuffles_agree_and_links_stay(spark):
+    rng = np.random.default_rng(4)
+    pairs = {tuple(sorted((f"v{a:03d}", f"v{b:03d}"))) for a, b in rng.integers(0, 300, (220, 2)) if a != b} | {(f"w{k:02d}", f"w{k + 1:02d}") for k in range(60)}
+    links = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "source string, target string, weight double").repartition(7)
+    found = lambda rows: {(r["character"], r["component"]) for r in rows.collect()}
+    assert found(graph.components(links)) == found(graph.components(links, at_once=0))
+    with graph._Links(links) as held:
+        plain = np.zeros((held.n, held.n))
+        place = {x: k for k, x in enumerate(held.names.to_pylist())}
+        for a, b in pairs:
+            plain[place[a], place[b]] = plain[place[b], place[a]] = 1.0
+        x = rng.random(held.n)
+        assert np.allclose(held.sums(x), plain @ x)
