@@ -93,3 +93,9 @@ def test_components_in_place_and_by_shuffles_agree_and_links_stay(spark):
             plain[place[a], place[b]] = plain[place[b], place[a]] = 1.0
         x = rng.random(held.n)
         assert np.allclose(held.sums(x), plain @ x)
+
+
+def test_an_embedder_gets_pieces_of_bounded_length(spark):
+    rows = spark.createDataFrame([(k, "x" * (1 + 997 * k % 5000)) for k in range(600)] + [(600, "y" * (memory.LETTERS + 5)), (601, None)], "k int, text string").coalesce(1)
+    met = memory.embed(rows, F.col("text"), lambda texts: np.full((len(texts), 1), texts.str.len().fillna(0).sum())).select("k", F.col("embedding")[0].alias("n")).toPandas().set_index("k")["n"]
+    assert len(met) == 602 and met.drop(600).max() <= memory.LETTERS < met[600] and met.nunique() > 3

@@ -128,13 +128,31 @@ def hashed_grams(texts: pd.Series, dim: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+#: Characters of texts that an embedder gets at a time (a longer text goes alone), and texts at most.
+LETTERS, TEXTS = 1 << 18, 1024
+
+
+def _pieces(batch: pd.Series) -> Iterator[pd.Series]:
+    """A batch of texts in pieces of bounded length, in order."""
+    begin, letters = 0, 0
+    for k, n in enumerate(batch.str.len().fillna(0).tolist()):
+        if k > begin and (letters + n > LETTERS or k - begin == TEXTS):
+            yield batch.iloc[begin:k]
+            begin, letters = k, 0
+        letters += n
+    yield batch.iloc[begin:]
+
+
 def embed(rows: DataFrame, text: Column, embedder: Embedder = hashed_grams) -> DataFrame:
-    """Rows with ``embedding``, by Arrow batches; a model is loaded by the function that the worker calls."""
+    """Rows with ``embedding``, by Arrow batches; a model is loaded by the function that the worker calls.
+
+    An embedder gets pieces of a batch, so that its own tables follow their length and not the batch's.
+    """
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(np.asarray(embedder(batch), dtype=float)))
+            yield pd.Series([x for piece in _pieces(batch) for x in np.asarray(embedder(piece), dtype=float)], index=batch.index)
 
     return rows.withColumn("embedding", encode(text))
 
