@@ -99,3 +99,14 @@ def test_an_embedder_gets_pieces_of_bounded_length(spark):
     rows = spark.createDataFrame([(k, "x" * (1 + 997 * k % 5000)) for k in range(600)] + [(600, "y" * (memory.LETTERS + 5)), (601, None)], "k int, text string").coalesce(1)
     met = memory.embed(rows, F.col("text"), lambda texts: np.full((len(texts), 1), texts.str.len().fillna(0).sum())).select("k", F.col("embedding")[0].alias("n")).toPandas().set_index("k")["n"]
     assert len(met) == 602 and met.drop(600).max() <= memory.LETTERS < met[600] and met.nunique() > 3
+
+
+def test_texts_are_not_copied_to_the_blocks_of_a_search(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(f"line {k % 37:02d}", f"said {k}", [float(rng.randrange(3)) for _ in range(4)]) for k in range(200)], "line string, context string, embedding array<double>")
+    asks = spark.createDataFrame([(q, [float(rng.randrange(3)) for _ in range(4)]) for q in range(30)], "query_id int, query array<double>")
+    got, want = (find(rows, asks, 5, ["line", "context"]) for find in (memory.nearest_of_many, memory.nearest))
+    own = lambda found: {(r["query_id"], r["place"], r["line"], r["context"], r["similarity"]) for r in found.collect()}
+    assert own(got) == own(want) and set(got.columns) == {"query_id", "place", "line", "context", "similarity"}
+    moved = next(x for x in got._jdf.queryExecution().analyzed().toString().splitlines() if "CoGroup" in x)
+    assert "__number" in moved and "context" not in moved

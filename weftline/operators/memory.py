@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as X
 from weftline.operators.dialogue import keep_first, with_previous
-from weftline.operators.ordered import fold
+from weftline.operators.ordered import fold, in_order
+from weftline.session import cut
 
 #: Lines of a scene, and lines between the beginnings of two scenes.
 SCENE, STRIDE = 8, 4
@@ -183,8 +184,14 @@ def nearest_of_many(memory: DataFrame, queries: DataFrame, k: int, keys: list[st
     """``(query_id, place, *keys, similarity)``: what ``nearest`` finds, for any number of queries.
 
     Blocks of queries meet blocks of rows, and only the best k of a block move on. Products are summed in the
-    order of ``X.dot``, so ties and their order are the same. Rows and queries without a vector are left out.
+    order of ``X.dot``, so ties and their order are the same. Rows and queries without a vector are left out. Where
+    keys are texts, places in their order stand for them until the nearest are found, so no text is copied to a block.
     """
+    if any(memory.schema[c].dataType.simpleString() == "string" for c in keys):
+        own = memory.filter("embedding is not null").select(*keys, "embedding", (F.lit(0.0) if boost is None else boost).cast("double").alias("boost"))
+        placed = cut(in_order(own, keys, lambda window: {}, number="__number"))
+        found = nearest_of_many(placed.select("__number", "embedding", "boost"), queries, k, ["__number"], F.col("boost"))
+        return found.join(placed.select("__number", *keys), "__number").select("query_id", *keys, "similarity", "place")
     rows = memory.filter("embedding is not null").select(*keys, "embedding", (F.lit(0.0) if boost is None else boost).cast("double").alias("boost"))
     asked = queries.filter("query is not null").select("query_id", "query")
     row_blocks = max(1, -(-rows.count() // ROWS_AT_ONCE))
