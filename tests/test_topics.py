@@ -52,3 +52,12 @@ def test_no_chunks(spark):
     none = spark.createDataFrame([], "chunk_id int, text string")
     found = topics.factorise(none, ["chunk_id"], ["sea"], rounds=2)
     assert found.losses == [] and topics.score(found, none, ["chunk_id"]).count() == 0
+
+
+def test_chunks_are_not_written_in_every_round(spark, monkeypatch):
+    times, write = [], topics.written
+    monkeypatch.setattr(topics, "written", lambda rows: times.append(1) or write(rows))
+    rows = spark.createDataFrame([(k, f"alpha{k % 3} beta{k % 2} gamma") for k in range(12)], "id int, text string")
+    found = topics.factorise(rows, ["id"], ["alpha"], rounds=11)
+    assert len(times) == 3 and len(found.losses) == 11 and found.rows.count() == 12
+    assert all(b <= a + 1e-9 for a, b in zip(found.losses, found.losses[1:]))

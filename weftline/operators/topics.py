@@ -6,6 +6,7 @@ never rises. A chunk's weights are updated where its row is; only sums by topic
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from weftline.session import cut, remove, written
 FREE, ROUNDS, STEM = 6, 20, 4
 #: What a seed's words weigh in their own topic at first, and the least that a denominator may be.
 SEEDED, TINY = 20.0, 1e-12
+#: Rounds between two in which chunks are written with their weights, and chunks whose words are counted at a time.
+KEPT, ROWS = 5, 512
 
 
 @dataclasses.dataclass
@@ -61,23 +64,37 @@ def word_update(h: np.ndarray, w_v: np.ndarray, gram: np.ndarray) -> np.ndarray:
 
 
 def factorise(chunks: DataFrame, keys: list[str], labels: list[str], free: int = FREE, rounds: int = ROUNDS, text: str = "text") -> Topics:
-    """Topics of ``chunks(*keys, text)``, whose keys tell rows apart; each round is one pass that writes new weights.
+    """Topics of ``chunks(*keys, text)``, whose keys tell rows apart; each round is one pass over counts of words.
 
-    What the driver holds is topics by words, of a checked number of words. Chunks without a known word have
+    Counts are made where a chunk's row is. Weights are written every ``KEPT`` rounds; in between a pass makes them again
+    from those last written and the topics since. What the driver holds is topics by words, of a checked number of words. Chunks without a known word have
     weights of zero.
     """
     spark = chunks.sparkSession
-    counts = cut(chunks.select(*keys, F.explode(words_of(F.coalesce(text, F.lit("")))).alias("word")).groupBy(*keys, "word").agg(F.count("*").cast("double").alias("n")))
-    words = vocabulary(counts)
+    worded = chunks.select(*keys, words_of(F.coalesce(text, F.lit(""))).alias("words"))
+    words = vocabulary(worded.select(F.explode(F.array_distinct("words")).alias("word")))
     h, k, n = seeds(words, labels, free), len(labels) + free, len(words)
-    numbers = F.broadcast(spark.createDataFrame([*enumerate(words)], "at int, word string"))
-    met = counts.join(numbers, "word").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("v"))
-    state = met.select(*keys, F.transform("v", lambda x: x["at"]).alias("at"), F.transform("v", lambda x: x["n"]).alias("x"), F.array_repeat(F.lit(1.0), k).alias("w"))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
-    names, old, losses = state.columns, None, []
-
-    def of_partition(batches: Iterator[pa.RecordBatch], h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        gram, sums, squares, norm = h @ h.T, np.zeros((k, n)), np.zeros((k, k)), 0.0
+    shared = spark.sparkContext.broadcast({word: at for at, word in enumerate(words)})
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in worded.schema.fields[:-1])
+    names, old, losses, since = [*keys, "at", "x", "w"], None, [], []
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = shared.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                some = batch.slice(first, ROWS)
+                found = [sorted(collections.Counter(numbers[w] for w in line if w in numbers).items()) for line in some.column("words").to_pylist()]
+                has = pa.array([bool(f) for f in found])
+                ends = np.cumsum([0, *(len(f) for f in found if f)]).astype(np.int32)
+                both = np.array([x for f in found for x in f], dtype=np.int32).reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(ends, both[:, 0].copy()), pa.ListArray.from_arrays(ends, both[:, 1].astype(float))
+                ones = pa.ListArray.from_arrays(np.arange(0, k * len(ends), k, dtype=np.int32), np.ones(k * (len(ends) - 1)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c).filter(has) for c in keys), *lists, ones], names=names)
+
+    state = worded.mapInArrow(counted, f"{own}, at array<int>, x array<double>, w array<double>")
+
+    def of_partition(batches: Iterator[pa.RecordBatch], since: list[np.ndarray], keep: bool) -> Iterator[pa.RecordBatch]:
+        sums, squares, norm = np.zeros((k, n)), np.zeros((k, k)), 0.0
         kinds_of, kinds = None, [pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             if not batch.num_rows:
@@ -85,26 +102,32 @@ def factorise(chunks: DataFrame, keys: list[str], labels: list[str], free: int =
             at, x = batch.column("at"), batch.column("x").flatten().to_numpy()
             owner, of = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()
             w = batch.column("w").flatten().to_numpy().reshape(-1, k)
-            v_h = np.stack([np.bincount(owner, weights=x * h[j, of], minlength=batch.num_rows) for j in range(k)], axis=1)
-            w = chunk_update(w, v_h, gram)
+            for h in since:
+                v_h = np.stack([np.bincount(owner, weights=x * h[j, of], minlength=batch.num_rows) for j in range(k)], axis=1)
+                w = chunk_update(w, v_h, h @ h.T)
             for j in range(k):
                 sums[j] += np.bincount(of, weights=x * w[owner, j], minlength=n)
             squares += w.T @ w
             norm += float((x**2).sum())
             lists = pa.ListArray.from_arrays(np.arange(0, w.size + 1, k, dtype=np.int32), np.ascontiguousarray(w).ravel())
             kinds_of = [*(batch.column(c).type for c in names[:-1]), lists.type]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), lists, *(pa.nulls(batch.num_rows, t) for t in kinds)], names=[*names, "group", "slice", "data"])
+            if keep:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), lists, *(pa.nulls(batch.num_rows, t) for t in kinds)], names=[*names, "group", "slice", "data"])
         if kinds_of:
             flat = np.concatenate([sums.ravel(), squares.ravel(), [norm]])
             parts = [flat[i : i + SLICE].tobytes() for i in range(0, len(flat), SLICE)]
             none = [pa.nulls(len(parts), t) for t in kinds_of]
             yield pa.RecordBatch.from_arrays([*none, pa.array([0] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=[*names, "group", "slice", "data"])
 
-    for _ in range(rounds):
-        path, rows = written(state.mapInArrow(lambda batches, h=h: of_partition(batches, h), f"{own}, {SUMS}"))
-        if old:
-            remove(spark, old)
-        old, state = path, rows.filter("slice is null").select(*names)
+    kept = f"{own}, at array<int>, x array<double>, w array<double>, {SUMS}"
+    for number in range(rounds):
+        since, keep = [*since, h], number % KEPT == 0 or number == rounds - 1
+        rows = state.mapInArrow(lambda batches, since=since, keep=keep: of_partition(batches, since, keep), kept)
+        if keep:
+            path, rows = written(rows)
+            if old:
+                remove(spark, old)
+            old, state, since = path, rows.filter("slice is null").select(*names), []
         done = rows.filter("slice is not null").select("group", "slice", "data").repartition("slice").mapInArrow(_added, SUMS).toArrow().sort_by("slice")
         if not done.num_rows:
             break
