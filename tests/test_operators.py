@@ -275,3 +275,21 @@ def test_words_of_a_chunk_are_taken_once_for_all_labels(spark):
     assert {(r["episode"], r["theme"]): r["score"] for r in scored.collect()} == {(1, "batt"): 0.4, (1, "the"): 0.4, (1, "ands"): 0.0, **{(e, t): 0.0 for e in (2, 3) for t in ("batt", "the", "ands")}}
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.index("Join") < plan.index("split(")
+
+
+def test_mentions_of_one_character_do_not_meet_in_one_task(spark, monkeypatch):
+    rows = [(e, "a", i, "Hot" if i % 2 else f"N{e}", 0.0) for e in range(20) for i in range(40)]
+    tasks, plain = [], network.cut
+
+    def counted(df):
+        if "block" in df.columns:  # mentions as they are combined
+            tasks.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return plain(df)
+
+    monkeypatch.setattr(network, "cut", counted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more characters than Spark sends of itself
+    try:
+        found = network.edges(network.frequent(spark.createDataFrame(rows, NAMES), 8), at_once=20)
+        assert found.count() == 20 and tasks[0] < 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
