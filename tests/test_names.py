@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import mentions, names
 
@@ -121,3 +122,33 @@ def test_build_from_subtitle_files(spark, tmp_path):
     found = {(r["character"], r["source"]) for r in made["mentions"].collect()}
     assert {("Naruto", "gazetteer"), ("Sasuke", "gazetteer"), ("Sakura", "gazetteer"), ("Wendril", "model")} <= found and not any(c in ("Quietly", "Then") for c, _ in found)
     assert api.build(spark, settings)["mentions"].count() == made["mentions"].count()
+
+
+def test_a_model_reads_each_line_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def model(lines):
+        def seen(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        rows = lines.mapInArrow(seen, lines.schema)
+        return rows.withColumns({"at": F.lit(0), "surface": F.regexp_extract("text", r"([A-Z]\w+)", 1)})
+
+    lines = spark.createDataFrame([(i, 0, f"then Zorander{chr(97 + i)} went") for i in range(12)], "episode long, line_idx long, text string")
+    common = spark.createDataFrame([("then", 6.0)], "word string, zipf double")
+    assert mentions.extract(lines, spark, model, [("Anna", "Anna")], common).count() == 12 and read.value == 12
+
+
+def test_words_split_over_all_texts_are_those_of_the_pattern():
+    rng = random.Random(4)
+    texts = ["", *("".join(rng.choice("aAé1٣中²\U0001f600\U00010400-'’_ \n.,") for _ in range(rng.randint(0, 30))) for _ in range(3000)), "-", "a'"]
+    distinct, numbers, counts = names.split_words(texts)
+    assert [[distinct[w] for w in own] for own in np.split(numbers, np.cumsum(counts)[:-1])] == [names._WORD.findall(t) for t in texts]
+    assert len(distinct) == len(set(distinct)) and names.split_words([""])[0] == []
+    field = names.Field(np.random.default_rng(2).normal(size=(names.BUCKETS, names.LABELS)), np.zeros((3, 3)), np.zeros(3))
+    own = [names._WORD.findall(t) for t in texts]
+    plain = field.node[names.Features().lines([w for w in own if w])].sum(axis=1)
+    for most in (200_000, 1):
+        assert np.array_equal(names.Scores(field, most).lines(distinct, numbers, counts), plain)
