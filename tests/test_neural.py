@@ -79,3 +79,20 @@ def test_nothing_to_train_on(spark):
     done, trained = neural.cross_validate(none, "key", "label", LABELS, k=2, epochs=1, steps=1, buckets=64)
     assert done.count() == 0 and trained.best_epoch == [1, 1]
     assert neural.macro_f1(np.array([[1, 1], [0, 1]])) == pytest.approx((2 / 3 + 2 / 3) / 2)
+
+
+def test_one_product_gives_the_values_of_all_models():
+    rng = np.random.default_rng(5)
+    texts = ["a b c d", "", "ship sail", None, "b b a"]
+    found = [neural.features(t, 64) for t in texts]
+    begins, at, x = np.cumsum([0, *(len(a) for a, _ in found)]), np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found])
+    models = neural.Models.fresh(3, 2, 64, 4)
+    models = models.of(rng.normal(size=models.flat().size))
+    used, full, hidden, p = models.probabilities(at, x, begins)
+    for m in range(3):
+        for r in range(len(texts)):
+            some = slice(begins[r], begins[r + 1])
+            own = np.tanh((models.w[m][at[some]] * x[some, None]).sum(axis=0) + models.b[m])
+            z = np.exp(own @ models.v[m] + models.c[m])
+            assert np.allclose(hidden[m, r], own, atol=1e-5) and np.allclose(p[m, r], z / z.sum(), atol=1e-5)
+    assert set(used) == set(at) and full.shape == (5, len(used))

@@ -22,19 +22,21 @@ from weftline.session import cut
 
 BUCKETS, HIDDEN, RATE, STEPS = 1 << 14, 8, 0.05, 4
 #: Numbers of the gradient that are added up at a time, and rows of a product.
-SLICE, ROWS = 1 << 16, 512
+SLICE, ROWS = 1 << 16, 256
 #: What a model does with a row.
 TRAIN, VAL, TEST, UNUSED = range(4)
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's words, pairs of words and character trigrams, and roots of their counts at length 1."""
-    words = (text or "").lower().split()
-    hashes = [zlib.crc32(w.encode()) for w in words] + [zlib.crc32(f"{a} {b}".encode()) for a, b in zip(words, words[1:])]
+    words = [w.encode() for w in (text or "").lower().split()]
+    hashes = [zlib.crc32(w) for w in words]
+    hashes += [zlib.crc32(b" " + second, first) for first, second in zip(hashes, words[1:])]  # of both words with a blank
     codes = np.frombuffer((text or "").encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
     grams = (codes[:-2] * 1_000_003 + codes[1:-1] * 8191 + codes[2:]) * 2_654_435_761 >> 7
-    found, counts = np.unique(np.concatenate([np.array(hashes, dtype=np.int64), grams]) % buckets, return_counts=True)
-    values = np.sqrt(counts)
+    counts = np.bincount(np.concatenate([np.array(hashes, dtype=np.int64), grams]) % buckets, minlength=buckets)
+    found = np.flatnonzero(counts)
+    values = np.sqrt(counts[found])
     return found.astype(np.int32), (values / max(np.sqrt((values**2).sum()), 1e-12)).astype(np.float32)
 
 
@@ -84,42 +86,47 @@ class Models:
             at += x.size
         return Models(*out)
 
-    def probabilities(self, m: int, at: np.ndarray, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and probabilities of rows by model ``m``; every row has a feature or stands at its end."""
-        sums = np.zeros((len(begins) - 1, self.w.shape[2]), np.float32)
-        full = np.flatnonzero(np.diff(begins))
-        if len(full):
-            sums[full] = np.add.reduceat(self.w[m][at] * x[:, None], begins[full], axis=0)
-        hidden = np.tanh(sums + self.b[m])
-        z = hidden @ self.v[m] + self.c[m]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return hidden, p / p.sum(axis=1, keepdims=True)
+    def probabilities(self, at: np.ndarray, x: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets that rows have, rows by these, and hidden values and probabilities (models, rows, ...), by one product for
+        all models. A row has a bucket once."""
+        k, buckets, hidden = self.w.shape
+        there = np.zeros(buckets, dtype=bool)
+        there[at] = True
+        used, place = np.flatnonzero(there), np.cumsum(there) - 1
+        full = np.zeros((len(begins) - 1, len(used)), np.float32)
+        full[np.repeat(np.arange(len(full)), np.diff(begins)), place[at]] = x
+        sums = full @ self.w[:, used].transpose(1, 0, 2).reshape(len(used), k * hidden)
+        values = np.tanh(sums.reshape(-1, k, hidden).transpose(1, 0, 2) + self.b[:, None])
+        z = values @ self.v + self.c[:, None]
+        p = np.exp(z - z.max(axis=2, keepdims=True))
+        return used, full, values, p / p.sum(axis=2, keepdims=True)
 
 
 def batch_sums(models: Models, y: np.ndarray, roles: np.ndarray, weights: np.ndarray, at: np.ndarray, x: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Gradient of the weighted log loss over TRAIN rows of all models, and behind it, for each model, that loss, its weight,
     and a table of VAL rows by label and prediction. ``roles`` are rows by models, ``weights`` models by labels."""
-    k, labels = models.c.shape
-    grads, more = [np.zeros(p.shape, np.float64) for p in (models.w, models.b, models.v, models.c)], np.zeros((k, 2 + labels * labels))
-    owner, order = np.repeat(np.arange(len(y)), np.diff(begins)), np.argsort(at, kind="stable")
-    in_order = at[order]
-    first = np.flatnonzero(np.diff(in_order, prepend=-1))  # of each bucket
-    for m in range(k):
-        hidden, p = models.probabilities(m, at, x, begins)
-        train, val = (roles[:, m] == TRAIN) & (y >= 0), (roles[:, m] == VAL) & (y >= 0)
-        weight = np.where(train, weights[m][y], 0)
-        more[m, 0] = -(weight * np.log(np.maximum(p[np.arange(len(y)), y], 1e-30))).sum()
-        more[m, 1] = weight.sum()
-        more[m, 2:] = np.bincount(y[val] * labels + p[val].argmax(axis=1), minlength=labels * labels)
-        d = p.copy()
-        d[np.arange(len(y)), y] -= 1
-        d *= weight[:, None]
-        grads[2][m], grads[3][m] = hidden.T @ d, d.sum(axis=0)
-        d_hidden = (d @ models.v[m].T) * (1 - hidden**2)
-        grads[1][m] = d_hidden.sum(axis=0)
-        if len(first):
-            grads[0][m, in_order[first]] = np.add.reduceat(x[order, None] * d_hidden[owner[order]], first, axis=0)
-    return np.concatenate([*(g.ravel() for g in grads), more.ravel()])
+    (k, buckets, hidden), labels = models.w.shape, models.c.shape[1]
+    by_bucket, grads, more = np.zeros((buckets, k * hidden)), [np.zeros(p.shape) for p in (models.b, models.v, models.c)], np.zeros((k, 2 + labels * labels))
+    for first in range(0, len(y), ROWS):
+        some, ends = slice(first, first + ROWS), begins[first : first + ROWS + 1]
+        own, inside = y[some], slice(ends[0], ends[-1])
+        used, full, values, p = models.probabilities(at[inside], x[inside], ends - ends[0])
+        each, d_hidden = np.arange(len(own)), np.zeros((len(own), k, hidden), np.float32)
+        for m in range(k):
+            train, val = (roles[some, m] == TRAIN) & (own >= 0), (roles[some, m] == VAL) & (own >= 0)
+            weight = np.where(train, weights[m][own], 0)
+            more[m, 0] -= (weight * np.log(np.maximum(p[m, each, own], 1e-30))).sum()
+            more[m, 1] += weight.sum()
+            more[m, 2:] += np.bincount(own[val] * labels + p[m, val].argmax(axis=1), minlength=labels * labels)
+            d = p[m].copy()
+            d[each, own] -= 1
+            d *= weight[:, None]
+            d_hidden[:, m] = (d @ models.v[m].T) * (1 - values[m] ** 2)
+            for grad, part in zip(grads, (d_hidden[:, m].sum(axis=0), values[m].T @ d, d.sum(axis=0))):
+                grad[m] += part
+        by_bucket[used] += full.T @ d_hidden.reshape(len(own), -1)
+    w = by_bucket.reshape(buckets, k, hidden).transpose(1, 0, 2)
+    return np.concatenate([w.ravel(), *(g.ravel() for g in grads), more.ravel()])
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,9 +160,8 @@ def total(rows: DataFrame, models: Models, weights: np.ndarray) -> np.ndarray:
         own, weight = shared.value
         sums = None
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch_sums(own, *(lambda y, roles, *rest: (y, roles, weight, *rest))(*_columns(batch.slice(k, ROWS))))
-                sums = part if sums is None else sums + part
+            part = batch_sums(own, *(lambda y, roles, *rest: (y, roles, weight, *rest))(*_columns(batch)))
+            sums = part if sums is None else sums + part
         if sums is not None:
             n = -(-len(sums) // SLICE)
             group = TaskContext.get().partitionId() % groups
@@ -249,10 +255,11 @@ def predictions(rows: DataFrame, models: Models, keep: list[str], labels: list[s
             for k in range(0, batch.num_rows, ROWS):
                 some = batch.slice(k, ROWS)
                 y, roles, at, x, begins = _columns(some)
+                p = shared.value.probabilities(at, x, begins)[-1]
                 for m in range(roles.shape[1]):
                     rows_ = np.flatnonzero(roles[:, m] == role)
                     if len(rows_):
-                        said = shared.value.probabilities(m, at, x, begins)[1][rows_].argmax(axis=1)
+                        said = p[m, rows_].argmax(axis=1)
                         yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(rows_)) for c in keep), pa.array(np.full(len(rows_), m, np.int32)), pa.array(names[y[rows_]], pa.string()), pa.array(names[said], pa.string())], names=[*keep, "fold", "y_true", "y_pred"])
 
     return own.mapInArrow(of_partition, schema)
