@@ -96,3 +96,11 @@ def test_one_product_gives_the_values_of_all_models():
             z = np.exp(own @ models.v[m] + models.c[m])
             assert np.allclose(hidden[m, r], own, atol=1e-5) and np.allclose(p[m, r], z / z.sum(), atol=1e-5)
     assert set(used) == set(at) and full.shape == (5, len(used))
+
+
+def test_features_of_validation_rows_are_taken_once(spark, rows, monkeypatch):
+    taken, plain = [], neural.featured
+    monkeypatch.setattr(neural, "featured", lambda *args, **more: taken.append(1) or plain(*args, **more))
+    split = classify.stratified_split(rows.limit(60), "key", "label")
+    training.fine_tune(neural.Network("label", LABELS, steps=1, buckets=64), split, "label", epochs=2)
+    assert len(taken) == 3  # of training, validation and test rows

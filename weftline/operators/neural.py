@@ -288,6 +288,7 @@ class Network:
         self.descent = Descent(Models.fresh(1, len(labels), buckets, hidden))
         self.kept = self.descent.models
         self._ready: tuple[DataFrame, DataFrame] | None = None
+        self._asked: tuple[DataFrame, DataFrame] | None = None
 
     def _rows(self, rows: DataFrame, role: int, keep: list[str]) -> DataFrame:
         return featured(rows.withColumn("roles", F.array(F.lit(role))), self.label, self.labels, [*keep, "roles"], self.text, self.buckets)
@@ -302,7 +303,9 @@ class Network:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         keep = [c for c in rows.columns if c not in ("y_true", "y_pred", "fold", "roles", "y", "at", "x")]
-        return predictions(self._rows(rows, TEST, keep), self.descent.models, keep, self.labels).drop("fold", "y_true")
+        if self._asked is None or self._asked[0] is not rows:  # the same rows are asked after every epoch
+            self._asked = (rows, cut(self._rows(rows, TEST, keep)))
+        return predictions(self._asked[1], self.descent.models, keep, self.labels).drop("fold", "y_true")
 
     def keep(self) -> None:
         self.kept = self.descent.models
