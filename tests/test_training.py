@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weftline import runtime
 from weftline.config import Settings
-from weftline.operators import classify, network, training
+from weftline.operators import classify, network, terms, training
 from weftline.plans import api
 from weftline.sources import crawl, files
 
@@ -168,3 +169,43 @@ def test_the_gradient_of_texts_is_summed_in_as_many_parts_as_there_are_cores(spa
     model = classify.tfidf_logistic(rows, "label", min_words=1, min_chars=1)
     assert parts and max(parts) <= spark.sparkContext.defaultParallelism
     assert {r["y_pred"] for r in classify.predict(model, rows).collect()} <= {"a", "b"}
+
+
+def test_terms_of_more_than_a_driver_holds_stay_in_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(terms, "BLOCK", 300)
+    monkeypatch.setattr(terms, "SHARD", 700)
+    monkeypatch.setattr(terms, "PLACES", 40)
+    rng = np.random.default_rng(1)
+    kinds = {"a": "sea ship sail wave port crew Ärger", "b": "field corn plough barn seed cow", "c": "court judge law trial jury plea x1"}
+    made = [(i, "abc"[i % 3], " ".join(rng.choice([*kinds["abc"[i % 3]].split(), "the", "tide", *kinds["abc"[(i + 1) % 3]].split()[:3]], rng.integers(1, 12)))) for i in range(120)]
+    rows = spark.createDataFrame([*made, (120, "a", "")], "id int, label string, text string").repartition(5)
+    model = classify.tfidf_logistic(rows, "label", at_once=0)
+    small = classify.tfidf_logistic(rows, "label")
+    assert isinstance(model, terms.TermModel) and not isinstance(small, terms.TermModel)
+    held = model.weights.collect()
+    found = [{t for r in held if r["kind"] == kind for t in bytes(r["terms"]).decode().split("\n")} for kind in (terms.WORDS, terms.CHARS)]
+    assert found == [set(stage.vocabulary) for stage in small.stages if hasattr(stage, "vocabulary")] and len({r["shard"] for r in held}) > 3
+    one, other = ({r["id"]: (r["y_pred"], r["probabilities"]) for r in classify.predict(m, rows).collect()} for m in (model, small))
+    assert len(one) == 121 and all(one[k][0] == other[k][0] for k in other)
+    assert all(abs(one[k][1][x] - other[k][1][x]) < 0.01 and abs(sum(one[k][1].values()) - 1) < 1e-9 for k in other for x in "abc")
+    classify.save(model, str(tmp_path / "model"))
+    again = {r["id"]: (r["y_pred"], r["probabilities"]) for r in classify.predict(classify.load(spark, str(tmp_path / "model")), rows).collect()}
+    assert all(again[k][0] == one[k][0] and np.isclose(again[k][1]["a"], one[k][1]["a"]) for k in one)
+
+
+def test_a_fit_over_shards_ends_at_the_least_loss():
+    class Plain:
+        def __init__(self, x):
+            self.x = x
+
+        def products(self, a):
+            return self.x @ (self.x.T @ a)
+
+    rng = np.random.default_rng(2)
+    x, y, share = rng.standard_normal((50, 80)), rng.integers(0, 3, 50), np.full(50, 1 / 50)
+    a, added, losses = terms.fit(Plain(x), y, share, 3, 0.05)
+    assert all(b <= c + 1e-12 for b, c in zip(losses[1:], losses))
+    w = x.T @ a
+    p = terms._chances(x @ w + added)[0] - np.eye(3)[y]
+    assert np.abs((x.T @ (share[:, None] * p))[:, :2] + 0.05 * w).max() < 2e-3 and np.abs((share[:, None] * p).sum(axis=0)).max() < 2e-3
+    assert terms.fit(Plain(x), np.zeros(50, int), share, 1, 0.05)[0].shape == (50, 0)

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import classify
+from weftline.operators.sums import SLICE, SUMS, _added
 from weftline.session import cut
 
 BUCKETS, HIDDEN, RATE, STEPS = 1 << 14, 8, 0.05, 4
-#: Numbers of the gradient that are added up at a time, and rows of a product.
-SLICE, ROWS = 1 << 16, 256
+#: Rows of a product.
+ROWS = 256
 #: What a model does with a row.
 TRAIN, VAL, TEST, UNUSED = range(4)
 
@@ -137,20 +138,6 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return y, roles, at.flatten().to_numpy(), x, begins
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of slices; a task holds one of each that it meets."""
-    sums: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for group, number, data in zip(*(batch.column(c).to_pylist() for c in ("group", "slice", "data"))):
-            values = np.frombuffer(data)
-            sums[group, number] = sums[group, number] + values if (group, number) in sums else values
-    for (group, number), values in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([number], pa.int32()), pa.array([values.tobytes()])], names=["group", "slice", "data"])
-
-
-SUMS = "group int, slice int, data binary"
-
-
 def total(rows: DataFrame, models: Models, weights: np.ndarray) -> np.ndarray:
     """``batch_sums`` over a table ``(y, roles, at, x)``, added up by slices in two levels of tasks."""
     shared = rows.sparkSession.sparkContext.broadcast((models, weights))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.neural import SLICE, SUMS, _added
+from weftline.operators.sums import SLICE, SUMS, _added
 from weftline.operators.vectors import WORDS_AT_ONCE, words_of
 from weftline.session import cut, remove, written
 

@@ -7,7 +7,6 @@ import functools
 import importlib
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +23,7 @@ def shown(value: object) -> None:
 
 
 def predict(spark: SparkSession, s: Settings, args: argparse.Namespace) -> None:
-    model = PipelineModel.load(s.out("models", "tfidf_logreg"))
+    model = classify.load(spark, s.out("models", "tfidf_logreg"))
     shown(api.Service(spark, s).classify(args.text, functools.partial(classify.predict, model)))
 
 
