@@ -293,3 +293,21 @@ def test_mentions_of_one_character_do_not_meet_in_one_task(spark, monkeypatch):
         assert found.count() == 20 and tasks[0] < 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_counts_of_shortest_paths_follow_the_edges_of_shortest_paths_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, numbers = 300, []
+    pairs = {(0, k): 2.0 for k in range(1, n)} | {tuple(sorted(map(int, rng.choice(np.arange(1, n), 2, replace=False)))): float(rng.integers(1, 8)) for _ in range(20_000)}
+    both = np.array(sorted([(a, b, x) for (a, b), x in pairs.items()] + [(b, a, x) for (a, b), x in pairs.items()], key=lambda e: e[1]))
+    start, end, length = both[:, 0].astype(int), both[:, 1].astype(int), both[:, 2]
+    sources, plain = np.arange(7, 27), np.bincount
+    monkeypatch.setattr(graph, "EDGES", 500)
+    monkeypatch.setattr(np, "bincount", lambda x, *rest: numbers.append(len(x)) or plain(x, *rest))
+    found = graph.shares_at_once(start, end, length, n, sources)
+    monkeypatch.undo()
+    around = [[] for _ in range(n)]
+    for a, b, x in both.tolist():
+        around[int(a)].append((int(b), x))
+    assert np.allclose(found, sum(graph.shortest_path_shares(around, int(k)) for k in sources), atol=1e-9)
+    assert numbers and max(numbers) < len(both) * len(sources) / 2  # not each edge for each source
