@@ -61,3 +61,13 @@ def test_chunks_are_not_written_in_every_round(spark, monkeypatch):
     found = topics.factorise(rows, ["id"], ["alpha"], rounds=11)
     assert len(times) == 3 and len(found.losses) == 11 and found.rows.count() == 12
     assert all(b <= a + 1e-9 for a, b in zip(found.losses, found.losses[1:]))
+
+
+def test_sums_are_as_many_as_cores_whatever_the_table_was_dealt_to(spark, monkeypatch):
+    parts, write = [], topics.written
+    monkeypatch.setattr(topics, "written", lambda rows: parts.append(rows.rdd.getNumPartitions()) or write(rows))
+    monkeypatch.setattr(topics, "PLACES", 7)
+    rows = [(k, f"alpha{k % 3} beta{k % 2} gamma " + "delta " * (k % 4)) for k in range(60)]
+    few, many = (topics.factorise(spark.createDataFrame(rows, "id int, text string").repartition(p), ["id"], ["alpha"], rounds=7) for p in (1, 23))
+    assert parts and max(parts) <= spark.sparkContext.defaultParallelism
+    assert few.words == many.words and np.allclose(few.h, many.h, rtol=1e-9) and np.allclose(few.losses, many.losses)

@@ -6,7 +6,6 @@ never rises. A chunk's weights are updated where its row is; only sums by topic
 
 from __future__ import annotations
 
-import collections
 import dataclasses
 from collections.abc import Iterator
 
@@ -23,8 +22,9 @@ from weftline.session import cut, remove, written
 FREE, ROUNDS, STEM = 6, 20, 4
 #: What a seed's words weigh in their own topic at first, and the least that a denominator may be.
 SEEDED, TINY = 20.0, 1e-12
-#: Rounds between two in which chunks are written with their weights, and chunks whose words are counted at a time.
-KEPT, ROWS = 5, 512
+#: Rounds between two in which chunks are written with their weights, chunks whose words are counted at a time, and
+#: words of chunks that meet their topics at a time (what a processor's cache holds).
+KEPT, ROWS, PLACES = 5, 4096, 1 << 13
 
 
 @dataclasses.dataclass
@@ -83,30 +83,40 @@ def factorise(chunks: DataFrame, keys: list[str], labels: list[str], free: int =
         for batch in batches:
             for first in range(0, batch.num_rows, ROWS):
                 some = batch.slice(first, ROWS)
-                found = [sorted(collections.Counter(numbers[w] for w in line if w in numbers).items()) for line in some.column("words").to_pylist()]
-                has = pa.array([bool(f) for f in found])
-                ends = np.cumsum([0, *(len(f) for f in found if f)]).astype(np.int32)
-                both = np.array([x for f in found for x in f], dtype=np.int32).reshape(-1, 2)
-                lists = pa.ListArray.from_arrays(ends, both[:, 0].copy()), pa.ListArray.from_arrays(ends, both[:, 1].astype(float))
+                lists = some.column("words")
+                coded = lists.flatten().dictionary_encode()
+                number = np.array([numbers.get(w, -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()]
+                owner = np.repeat(np.arange(some.num_rows), lists.value_lengths().to_numpy())[number >= 0]
+                both, times = np.unique(owner * max(1, n) + number[number >= 0], return_counts=True)
+                owner, number = np.divmod(both, max(1, n))
+                each = np.bincount(owner, minlength=some.num_rows)
+                has, ends = pa.array(each > 0), np.concatenate([[0], np.cumsum(each[each > 0])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, number.astype(np.int32)), pa.ListArray.from_arrays(ends, times.astype(float))
                 ones = pa.ListArray.from_arrays(np.arange(0, k * len(ends), k, dtype=np.int32), np.ones(k * (len(ends) - 1)))
                 yield pa.RecordBatch.from_arrays([*(some.column(c).filter(has) for c in keys), *lists, ones], names=names)
 
     state = worded.mapInArrow(counted, f"{own}, at array<int>, x array<double>, w array<double>")
 
     def of_partition(batches: Iterator[pa.RecordBatch], since: list[np.ndarray], keep: bool) -> Iterator[pa.RecordBatch]:
-        sums, squares, norm = np.zeros((k, n)), np.zeros((k, k)), 0.0
+        sums, squares, norm, topics = np.zeros(n * k), np.zeros((k, k)), 0.0, np.arange(k)
+        by_word, grams = np.ascontiguousarray(np.concatenate(since).T), [h @ h.T for h in since]  # a word's weights stand together
         kinds_of, kinds = None, [pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             if not batch.num_rows:
                 continue
             at, x = batch.column("at"), batch.column("x").flatten().to_numpy()
-            owner, of = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy()
+            each, of = at.value_lengths().to_numpy(), at.flatten().to_numpy()
             w = batch.column("w").flatten().to_numpy().reshape(-1, k)
-            for h in since:
-                v_h = np.stack([np.bincount(owner, weights=x * h[j, of], minlength=batch.num_rows) for j in range(k)], axis=1)
-                w = chunk_update(w, v_h, h @ h.T)
-            for j in range(k):
-                sums[j] += np.bincount(of, weights=x * w[owner, j], minlength=n)
+            ends, made = np.concatenate([[0], np.cumsum(each)]), []
+            edges = np.unique(np.r_[0, np.searchsorted(ends[:-1], np.arange(PLACES, ends[-1], PLACES)), batch.num_rows])
+            for a, b in zip(edges[:-1], edges[1:]):
+                word, times, own = of[ends[a] : ends[b]], x[ends[a] : ends[b], None], w[a:b]
+                v_h = np.add.reduceat(by_word[word] * times, ends[a:b] - ends[a])  # of all rounds
+                for r, gram in enumerate(grams):
+                    own = chunk_update(own, v_h[:, r * k : (r + 1) * k], gram)
+                np.add.at(sums, (word[:, None] * np.int64(k) + topics).ravel(), (np.repeat(own, each[a:b], axis=0) * times).ravel())
+                made.append(own)
+            w = np.concatenate(made)
             squares += w.T @ w
             norm += float((x**2).sum())
             lists = pa.ListArray.from_arrays(np.arange(0, w.size + 1, k, dtype=np.int32), np.ascontiguousarray(w).ravel())
@@ -114,7 +124,7 @@ def factorise(chunks: DataFrame, keys: list[str], labels: list[str], free: int =
             if keep:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), lists, *(pa.nulls(batch.num_rows, t) for t in kinds)], names=[*names, "group", "slice", "data"])
         if kinds_of:
-            flat = np.concatenate([sums.ravel(), squares.ravel(), [norm]])
+            flat = np.concatenate([sums.reshape(n, k).T.ravel(), squares.ravel(), [norm]])
             parts = [flat[i : i + SLICE].tobytes() for i in range(0, len(flat), SLICE)]
             none = [pa.nulls(len(parts), t) for t in kinds_of]
             yield pa.RecordBatch.from_arrays([*none, pa.array([0] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=[*names, "group", "slice", "data"])
@@ -122,7 +132,8 @@ def factorise(chunks: DataFrame, keys: list[str], labels: list[str], free: int =
     kept = f"{own}, at array<int>, x array<double>, w array<double>, {SUMS}"
     for number in range(rounds):
         since, keep = [*since, h], number % KEPT == 0 or number == rounds - 1
-        rows = state.mapInArrow(lambda batches, since=since, keep=keep: of_partition(batches, since, keep), kept)
+        # a task's sums are as long as there are words, so tasks are as many as cores
+        rows = state.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(lambda batches, since=since, keep=keep: of_partition(batches, since, keep), kept)
         if keep:
             path, rows = written(rows)
             if old:
